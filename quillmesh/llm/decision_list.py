@@ -13,6 +13,10 @@ from quillmesh.llm.text_stats import COUNTS, RATIOS, text_stats
 
 #: Labelled documents to learn from, at most.
 SAMPLE = 12_000
+#: Ratios that fall or rise with a text's length alone; rules on them would reject long clean texts.
+LENGTH_BOUND = {"distinct_share", "log_words"}
+#: The fixed rules at the head of the list.
+BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
 @dataclass(frozen=True)
@@ -117,8 +121,9 @@ def rule_column(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE, **options) -> list[Rule]:
     """Learns from at most ``bound`` labelled documents; label 0 marks what to reject."""
-    rows = text_stats(labelled_sample(docs, labels, label, bound), "doc_id", "y").orderBy("doc_id").toPandas()
-    names = ["n_words", *RATIOS]
+    sample = text_stats(labelled_sample(docs, labels, label, bound), "doc_id", "y")
+    rows = sample.where(f"not ({BASE_FAILED})").orderBy("doc_id").toPandas()
+    names = [n for n in RATIOS if n not in LENGTH_BOUND]
     return learn(rows[names].to_numpy(np.float64), (rows["y"] == 0).to_numpy(bool), names, **options)
 
 
@@ -131,6 +136,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, **opt
     """
     rules = fit(docs, labels, bound=bound, **options)
     stats = text_stats(docs, "doc_id")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = stats.select("doc_id", *COUNTS, failed.alias("base_failed"), rule_column(rules).alias("rule"))
+    judged = stats.select("doc_id", *COUNTS, F.expr(BASE_FAILED).alias("base_failed"), rule_column(rules).alias("rule"))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")

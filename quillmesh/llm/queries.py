@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import quality_rules
 from quillmesh.llm.html_density import extract_text
+from quillmesh.llm.jaccard_join import jaccard_components
 from quillmesh.llm.piece_codec import encode_documents
 
 
@@ -23,10 +24,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_piece_codec": op2_piece_codec,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
