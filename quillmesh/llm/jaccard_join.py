@@ -55,7 +55,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """id, key, n and the set: all of it, or its pool of smallest hashes, which holds half more than the prefix."""
+    """id, key, n and the set: all of it, or its pool of smallest hashes, which holds a quarter more than the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,28 +65,56 @@ def _sets(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 n = [len(s) for s in sets]
                 if not whole:
-                    sets = [s[: (p := len(s) - -(-percent * len(s) // 100) + 1) + max(8, p // 2)] for s in sets]
+                    sets = [s[: (p := len(s) - -(-percent * len(s) // 100) + 1) + max(3, p // 4)] for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), _lists(sets)], names=["id", "key", "n", "pool"])
 
     return df.mapInArrow(run, "id bigint, key binary, n bigint, pool array<bigint>")
 
 
-def _ordered(sets: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Each pool with heavy shingles last, and how many others it has."""
+def _linked(df: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of whole texts whose exact similarity reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                u, v = shingle_set(x, width), shingle_set(y, width)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(100 * both >= percent * (len(u) + len(v) - both) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return df.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+#: A side of up to this many short rows is broadcast after counting it; a larger one is shuffled.
+SMALL_SIDE = 400_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else df
+
+
+def _prefixes(sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
+    """id, n, p, pre (p + 1 elements, heavy ones last), late (whether element p is heavy), full (whether the pool reaches so far)."""
     bad = sets.select("id", F.explode("pool").alias("s")).join(heavy, "s").groupBy("id").agg(F.collect_set("s").alias("bad"))
-    return sets.join(bad, "id", "left").select(
-        "id", "n",
-        F.when(F.col("bad").isNull(), F.col("pool")).otherwise(F.concat(F.array_except("pool", "bad"), F.array_sort("bad"))).alias("pool"),
-        (F.size("pool") - F.coalesce(F.size("bad"), F.lit(0))).alias("light"),
-    )
+    pool = F.when(F.col("bad").isNull(), F.col("pool")).otherwise(F.concat(F.array_except("pool", "bad"), F.array_sort("bad")))
+    light = F.size("pool") - F.coalesce(F.size("bad"), F.lit(0))
+    p = F.expr(f"cast(n - cast(ceil({percent} * n / 100.0d) as bigint) + 1 as int)")
+    out = sets.join(bad, "id", "left").select("id", "n", p.alias("p"), pool.alias("pool"), light.alias("light"))
+    return out.select("id", "n", "p", F.expr("slice(pool, 1, p + 1)").alias("pre"), F.expr("p > light").alias("late"), F.expr("light > p or size(pool) = n").alias("full"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold."""
-    x = sets.select(F.col("id").alias("a"), F.col("pool").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("pool").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared) of the pairs that sizes and prefixes don't rule out.
+
+    Of two prefixes the one that ends first is known whole on both sides: what it doesn't share is missing from the other set.
+    """
+    side = lambda id_, x: cut.select(F.col("id").alias(id_), F.expr(f"struct(n, p, late, slice(pre, 1, p) as e, pre[p - 1] as last) as {x}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = both.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    both = both.withColumn("shared", F.size(F.array_intersect("x.e", "y.e"))).withColumn("need", F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent}.0d)"))
+    x_first = "(x.late = y.late and x.last <= y.last) or (y.late and not x.late)"
+    return both.where(f"case when {x_first} then x.n - (x.p - shared) else y.n - (y.p - shared) end >= need").select("a", "b", "shared")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id") -> DataFrame:
@@ -100,61 +128,60 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     every = scratch.table(_sets(source, width, percent, False), "pools")
-    classes = every.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     smallest = percent // (100 - percent)  # smaller sets only link with equal ones
-    sets = scratch.table(every.where(F.col("n") >= smallest).join(classes.where("id is not null"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "n", "pool"), "sets")
+    classes = every.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
+    copies = every.select("id", "key").join(classes.withColumnRenamed("id", "least"), "key").where("id > least").select("id", "key").distinct()
+    copies = _sized(scratch.table(copies, "copies"))
+    first = lambda sets: sets.where(F.col("id").isNotNull() & (F.col("n") >= smallest)).join(copies, ["id", "key"], "left_anti")
+    sets = first(every).select("id", "n", "pool")
 
     # the global order, and the size from which inverted lists are cheaper than subsets
     counts = scratch.table(sets.select(F.explode("pool").alias("s")).groupBy("s").count().where("count > 1"), "counts")
-    heavy = counts.where(F.col("count") >= HEAVY).select("s")
+    heavy = _sized(counts.where(F.col("count") >= HEAVY).select("s"))
     total = sets.agg(F.sum(F.size("pool")).alias("t")).first()["t"] or 0
     more = counts.where(F.col("count") < HEAVY).agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("cc")).first()
     scan = (total - (more["c"] or 0) + (more["cc"] or 0)) / max(total, 1)
     longest = int(2 * scan) - 1  # a prefix of p elements has p * (p + 1) / 2 subsets, and scans p lists
     border = max(smallest, (longest * 100) // (100 - percent))
-    prefix = F.expr(f"n - cast(ceil({percent} * n / 100.0d) as bigint) + 1")
-
-    ordered = _ordered(sets, heavy)
-    enough = scratch.table(ordered.where((F.col("light") > prefix) | (F.size("pool") == F.col("n"))), "prefixes")
-    short = sets.join(enough.select("id"), "id", "left_anti").select("id")
-    whole = _sets(source.join(short, "id", "left_semi"), width, percent, True).dropDuplicates(["id", "key"])
-    rest = scratch.table(_ordered(whole, heavy), "rest")
-    cut = enough.unionByName(rest).select("id", "n", prefix.cast("int").alias("p"), "pool")
-
-    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", F.explode(F.slice("pool", 1, F.col("p"))).alias("s")).select("id", "n", F.xxhash64(F.lit(1), "s").alias("sig"))
-    firsts = F.expr("slice(pool, 1, p + 1)")
-    pairs_of = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
-    double = cut.where(F.col("n") < border).select("id", "n", firsts.alias("pre")).select("id", "n", F.explode(F.expr(pairs_of)).alias("sig"))
+
+    near = scratch.table(_prefixes(sets, heavy, percent), "near")
+    short = _sized(near.where("not full").select("id").distinct())
+    far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", "pool"), heavy, percent)
+    cut = near.where("full").unionByName(scratch.table(far, "far")).drop("full")
+
+    single = cut.where(F.col("n") >= border * percent // 100).select("id", F.explode(F.expr("slice(pre, 1, p)")).alias("s")).select("id", F.xxhash64(F.lit(1), "s").alias("sig"))
+    subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
+    double = cut.where(F.col("n") < border).select("id", F.explode(F.expr(subsets)).alias("sig"))
     entries = single.unionByName(double)
-    buckets = entries.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot")
-    members = scratch.table(entries.join(buckets, "sig"), "members")
-    scratch.free("pools", "members")
+    lists = entries.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot")
+    members = scratch.table(entries.join(lists, "sig"), "members")
 
-    ids = members.select("id").distinct()
-    # ids may repeat in the source: then each of their sets counts
-    sets = scratch.table(_sets(source.join(ids, "id", "left_semi"), width, percent, True).dropDuplicates(["id", "key"]).select("id", "pool"), "whole")
+    # first each member with the pivot that shares most, then whatever the links leave apart
     pairs = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = _possible(pairs, cut, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = tried = None
     for turn in range(3):
-        tried = scratch.table(pairs if tried is None else tried.unionByName(pairs), f"tried{turn}")
-        found = _verified(pairs, sets, percent)
+        pairs = scratch.table(pairs, f"pairs{turn}")
+        ids = _sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = source.join(ids, "id", "left_semi")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        found = _linked(both, width, percent)
         links = scratch.table(found if links is None else links.unionByName(found), f"links{turn}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         parts = scratch.table(components(links, scratch, f"turn{turn}"), f"parts{turn}")
-        scratch.free("pools", "members", "whole", f"tried{turn}", f"links{turn}", f"parts{turn}")
         if turn == 2:
             break
         # lists whose members lie in several components, and of these members' pairs those not tried
-        named = members.select("sig", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = members.select("sig", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
         named = scratch.table(named.join(mixed, "sig"), f"mixed{turn}")
-        heads = named.groupBy("sig", "component").agg(F.min_by("id", "id").alias("b"), F.min_by("n", "id").alias("m")) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"), F.col("n").alias("m"))
-        cross = named.alias("x").join(heads.withColumnRenamed("component", "other"), "sig").where("component != other" if turn == 0 else "component < other")
-        cross = cross.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         if named.isEmpty():
             break
-        pairs = scratch.table(cross.join(tried, ["a", "b"], "left_anti"), f"pairs{turn}")
+        heads = named.groupBy("sig", "component").agg(F.min("id").alias("b")) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"))
+        cross = named.join(heads.withColumnRenamed("component", "other"), "sig").where("component != other" if turn == 0 else "component < other")
+        cross = cross.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        pairs = _possible(cross.join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
 
     of_set = classes.join(parts, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
     out = every.select("id", "key", "n").join(of_set, "key", "left")
-    # an id with several sets: the smallest of their components, which the links have joined already
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
