@@ -9,7 +9,10 @@ from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import quality_rules
 from quillmesh.llm.html_density import extract_text
 from quillmesh.llm.jaccard_join import jaccard_components
+from quillmesh.llm.pair_rank import rank_quality
 from quillmesh.llm.piece_codec import encode_documents
+from quillmesh.llm.toxicity_cnn import score_toxicity
+from quillmesh.llm.url_markov import judge_urls
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +31,30 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+#: (host, path, allow)
+URL_RULES = [("com", "/en/", False), ("example.com", "/en/7", True), ("net", "/de/", True), ("example.net", "/de/8", False), ("org", "/es/", False)]
+
+
+def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_piece_codec": op2_piece_codec,
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
+    "op3_url_markov": op3_url_markov,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
+    "op9_pair_rank": op9_pair_rank,
 }
 
 SQL: dict[str, str] = {}
