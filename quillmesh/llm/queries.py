@@ -13,6 +13,7 @@ from quillmesh.llm.pair_rank import rank_quality
 from quillmesh.llm.piece_codec import encode_documents
 from quillmesh.llm.toxicity_cnn import score_toxicity
 from quillmesh.llm.url_markov import judge_urls
+from quillmesh.llm.warc_chunks import archive_round_trip
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op3_url_markov": op3_url_markov,
+    "op6_warc_chunks": op6_warc_chunks,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_pair_rank": op9_pair_rank,
 }
