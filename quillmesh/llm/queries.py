@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import quality_rules
+from quillmesh.llm.decontaminate import find_leaks
 from quillmesh.llm.html_density import extract_text
 from quillmesh.llm.jaccard_join import jaccard_components
 from quillmesh.llm.pair_rank import rank_quality
@@ -52,6 +53,10 @@ def op9_pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_piece_codec": op2_piece_codec,
@@ -61,6 +66,7 @@ QUERIES = {
     "op6_warc_chunks": op6_warc_chunks,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_pair_rank": op9_pair_rank,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {}
