@@ -134,7 +134,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, **opt
     Null and empty texts have zero counts and fail the base. Repeated rows are judged alike; null ids stay null;
     empty tables give no rows; other columns are ignored. Without usable labels only the base rules hold.
     """
-    rules = fit(docs, labels, bound=bound, **options)
-    stats = text_stats(docs, "doc_id")
-    judged = stats.select("doc_id", *COUNTS, F.expr(BASE_FAILED).alias("base_failed"), rule_column(rules).alias("rule"))
-    return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+    return rule_verdicts(docs, fit(docs, labels, bound=bound, **options), ["doc_id"])
+
+
+def rule_verdicts(docs: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame:
+    """``carry`` columns, COUNTS, base_failed, kept and the rule that fired; ``carry`` may hold the text itself."""
+    names = {c: f"_carry{k}" for k, c in enumerate(carry)}  # no clash with the statistics' names
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), "text")
+    judged = text_stats(rows, *names.values()).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", rule_column(rules))
+    kept = ~F.col("base_failed") & F.col("rule").isNull()
+    return judged.select(*(F.col(n).alias(c) for c, n in names.items()), *(c for c in COUNTS if c not in names), "base_failed", kept.alias("kept"), "rule")

@@ -10,6 +10,7 @@ from quillmesh.llm.decision_list import quality_rules
 from quillmesh.llm.decontaminate import find_leaks
 from quillmesh.llm.html_density import extract_text
 from quillmesh.llm.jaccard_join import jaccard_components
+from quillmesh.llm.license_index import scan_licenses
 from quillmesh.llm.pair_rank import rank_quality
 from quillmesh.llm.piece_codec import encode_documents
 from quillmesh.llm.toxicity_cnn import score_toxicity
@@ -45,6 +46,10 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op3_url_markov": op3_url_markov,
     "op6_warc_chunks": op6_warc_chunks,
+    "op7_license_index": op7_license_index,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_pair_rank": op9_pair_rank,
     "op10_decontaminate": op10_decontaminate,
