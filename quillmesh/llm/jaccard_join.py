@@ -21,7 +21,7 @@ from quillmesh.llm.common import Scratch
 from quillmesh.llm.components import components
 
 #: A shingle in the pools of this many sets goes to the end of the order. It steers cost, not results.
-HEAVY = 48
+HEAVY = 16
 #: Words whose hash a worker remembers, at most.
 REMEMBERED = 1_000_000
 _words: dict[bytes, int] = {}
@@ -149,15 +149,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", "pool"), heavy, percent)
     cut = near.where("full").unionByName(scratch.table(far, "far")).drop("full")
 
-    single = cut.where(F.col("n") >= border * percent // 100).select("id", F.explode(F.expr("slice(pre, 1, p)")).alias("s")).select("id", F.xxhash64(F.lit(1), "s").alias("sig"))
+    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
     subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
-    double = cut.where(F.col("n") < border).select("id", F.explode(F.expr(subsets)).alias("sig"))
+    double = cut.where(F.col("n") < border).select("id", "n", F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
     entries = single.unionByName(double)
-    lists = entries.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot")
+    first_of = [F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.min_by("i", "id").alias("j")]
+    lists = entries.groupBy("sig").agg(F.max("id").alias("last"), *first_of).where("b < last").drop("last")
     members = scratch.table(entries.join(lists, "sig"), "members")
 
     # first each member with the pivot that shares most, then whatever the links leave apart
-    pairs = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    # sizes alone, and the places i and j of a shared shingle: before them at most min(i, j) are shared
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and 1 + least(i, j) + least(n - i - 1, m - j - 1) >= ceil({percent} * (n + m) / {100 + percent}.0d)"
+    pairs = members.where(f"id != b and {fits}").select(F.col("id").alias("a"), "b").distinct()
     pairs = _possible(pairs, cut, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = tried = None
     for turn in range(3):
@@ -172,13 +175,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         if turn == 2:
             break
         # lists whose members lie in several components, and of these members' pairs those not tried
-        named = members.select("sig", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = members.select("sig", "id", "n", "i").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
         named = scratch.table(named.join(mixed, "sig"), f"mixed{turn}")
         if named.isEmpty():
             break
-        heads = named.groupBy("sig", "component").agg(F.min("id").alias("b")) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"))
-        cross = named.join(heads.withColumnRenamed("component", "other"), "sig").where("component != other" if turn == 0 else "component < other")
+        heads = named.groupBy("sig", "component").agg(*first_of) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+        cross = named.join(heads.withColumnRenamed("component", "other"), "sig").where(f"{'component != other' if turn == 0 else 'component < other'} and {fits}")
         cross = cross.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         pairs = _possible(cross.join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
 
