@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import Scratch
+
 #: Similar windows differ in about 13 of 64 bits, with a deviation of 3; four deviations more are admitted.
 BITS, RADIUS = 64, 27
 #: A side of up to this many short rows is broadcast after counting it; a larger one is shuffled.
@@ -30,15 +32,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _shingles(words: str, width: int) -> str:
-    """SQL: the hash of each window of ``width`` words, its lowest 12 bits replaced by the window's characters."""
-    parts = ", ".join(f"{words}[i + {j}]" for j in range(width))
-    return f"transform(sequence(0, size({words}) - {width}), i -> (xxhash64({parts}) & -4096L) | least(length(concat({parts})), 4095))"
+    """SQL: the hash of each window of ``width`` words, its lowest 12 bits replaced by the window's characters.
+
+    Each word is first packed into its hash and, in 8 bits, its characters; both counts stop at their largest value.
+    """
+    parts = [f"pw[i + {j}]" for j in range(width)]
+    weight = " + ".join(f"({p} & 255L)" for p in parts)
+    each = f"transform(sequence(0, size(pw) - {width}), i -> (xxhash64({', '.join(parts)}) & -4096L) | least({weight}, 4095L))"
+    packed = f"transform({words}, q -> (xxhash64(q) & -256L) | least(length(q), 255))"
+    return _let("pw", packed, f"if(size(pw) >= {width}, {each}, cast(array() as array<bigint>))")
 
 
 def _multiset(shingles: str) -> str:
     """SQL: shingles told apart by how often they came before, so that set operations count copies; weights stay."""
-    return f"transform(array_sort({shingles}), (q, qi) -> (xxhash64(q, qi - array_position(array_sort({shingles}), q)) & -4096L) | (q & 4095))"
+    return _let("so", f"sort_array({shingles})", "transform(so, (q, qi) -> (xxhash64(q, qi - array_position(so, q)) & -4096L) | (q & 4095))")
 
 
 def _weight(shingles: str) -> str:
@@ -46,8 +59,9 @@ def _weight(shingles: str) -> str:
 
 
 def _simhash(shingles: str) -> str:
-    vote = f"aggregate({shingles}, 0L, (a, h) -> a + if((shiftright(xxhash64(h), b) & 1) = 1, h & 4095, -(h & 4095)))"
-    return f"aggregate(transform(sequence(0, {BITS - 1}), b -> if({vote} > 0, shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"
+    vote = "aggregate(sh, 0L, (a, x) -> a + if((shiftright(x.h, b) & 1) = 1, x.w, -x.w))"
+    bits = f"transform(sequence(0, {BITS - 1}), b -> if({vote} > 0, shiftleft(1L, b), 0L))"
+    return _let("sh", f"transform({shingles}, q -> struct(xxhash64(q) as h, q & 4095 as w))", f"aggregate({bits}, 0L, (a, x) -> a | x)")
 
 
 def _blocks(fingerprint: str) -> Column:
@@ -60,11 +74,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window has as many words as the item, or
     the document's where that is shorter. Shingles have ``width`` words, or all of an item's if it has fewer, and weigh their
-    characters. The similarity is the shared weight over the larger of both weights; pairs reach ``percent`` % of it.
+    characters, of which a word has 255 and a shingle 4095 at most. The similarity is the shared weight over the larger of both weights; pairs reach ``percent`` % of it.
     Items and documents without words leak nothing; rows without an id are left out; rows of one id count as one document;
     ties go to the first window. Empty tables give no rows; other columns are ignored.
     """
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("w"))
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bench = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), words_of(F.col("text")).alias("iw")).where("size(iw) > 0")
     bench = bench.withColumn("m", F.size("iw")).withColumn("k", F.least("m", F.lit(width)))
     lengths = [r["k"] for r in bench.select("k").distinct().collect()]  # at most ``width`` numbers
@@ -87,14 +101,15 @@ def _leaks(source: DataFrame, bench: DataFrame, k: int, percent: int) -> DataFra
     anchors = ranked.select("item_id", "m", F.explode(F.expr(f"filter(all, (x, i) -> {before})")).alias("x")).select("item_id", "m", F.col("x.h").alias("h"), F.explode("x.ats").alias("at"))
     anchors = _sized(anchors)
 
-    places = source.where(F.size("w") >= k).select("doc_id", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", k))).alias("pos", "h"))
+    hashes = source.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.expr(_shingles("w", k)).alias("hs"))
+    places = hashes.select("doc_id", (F.size("hs") + k - 1).alias("n"), F.posexplode("hs").alias("pos", "h"))
     starts = places.join(anchors, "h").select("doc_id", "item_id", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m"))).alias("start")).distinct()
     hashed = F.expr(_multiset("ih"))
     index = bench.select("item_id", "m", "total", hashed.alias("im"), F.expr(_simhash("ih")).alias("ifp")).withColumn("iblocks", _blocks("ifp"))
-    windows = starts.join(_sized(index, SMALL_SIDE // 50), "item_id")
-
-    texts = source.join(windows, "doc_id").select("doc_id", "item_id", "start", "total", "im", "ifp", "iblocks", F.expr("slice(w, start + 1, m)").alias("w"))
-    prints = texts.where(F.size("w") >= k).withColumn("h", F.expr(_shingles("w", k))).withColumn("fp", F.expr(_simhash("h")))
+    # windows are few: where counting proves it they go to the texts, else both are shuffled
+    windows = _sized(Scratch(source.sparkSession).table(starts, "windows"))
+    texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text"))).drop("text").join(_sized(index, SMALL_SIDE // 50), "item_id")
+    prints = texts.select("doc_id", "item_id", "start", "total", "im", "ifp", "iblocks", F.expr(_shingles("slice(w, start + 1, m)", k)).alias("h")).where("size(h) > 0").withColumn("fp", F.expr(_simhash("h")))
     near = prints.where(F.arrays_overlap(_blocks("fp"), F.col("iblocks")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS))
     shared = F.expr(_weight(f"array_intersect(im, {_multiset('h')})"))
     scored = near.select("doc_id", "item_id", "start", shared.alias("shared"), F.greatest("total", F.expr(_weight("h"))).alias("most"))
