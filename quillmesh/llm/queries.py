@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.llm import oracle
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import quality_rules
 from quillmesh.llm.decontaminate import find_leaks
@@ -39,7 +40,7 @@ URL_RULES = [("com", "/en/", False), ("example.com", "/en/7", True), ("net", "/d
 
 
 def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).drop("score")
 
 
 def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,9 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_url_markov": oracle.url_sql(URL_RULES),
+    "op5_jaccard_join": oracle.JACCARD,
+    "op6_warc_chunks": oracle.WARC,
+    "op10_decontaminate": oracle.LEAKS,
+}
