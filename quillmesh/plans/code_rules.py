@@ -13,15 +13,15 @@ from quillmesh.sources import code_facts as facts
 
 #: Fixed values: (type, code, severity, confidence) of each action.
 ACTIONS = {
-    "safe": ("safe-pattern", "RLD-200", "low", "high"),
-    "loop": ("confirmed-infinite-loop", "RLD-200", "high", "high"),
-    "no-deps": ("confirmed-infinite-loop", "RLD-201", "high", "high"),
-    "guarded": ("potential-issue", "RLD-501", "medium", "medium"),
-    "memo": ("potential-issue", "RLD-420", "low", "medium"),
+    "safe": ("safe-pattern", 200, "low", "high"),
+    "loop": ("confirmed-infinite-loop", 200, "high", "high"),
+    "no-deps": ("confirmed-infinite-loop", 201, "high", "high"),
+    "guarded": ("potential-issue", 501, "medium", "medium"),
+    "memo": ("potential-issue", 420, "low", "medium"),
 }
 
 
-def hook_findings(files: DataFrame) -> DataFrame:
+def hook_findings(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
     """(path, line, hook, dependency, setter, type, code, severity, confidence)."""
     hooks = facts.hooks(files)
     pairs = facts.state_pairs(files)
@@ -43,9 +43,9 @@ def hook_findings(files: DataFrame) -> DataFrame:
     bare = hooks.where(effect & F.col("deps").isNull()).join(pairs, "path").where(F.expr("regexp_like(body, concat('\\\\b', setter, '\\\\s*\\\\('))"))
     steps.append(bare.select(*key, F.lit(0).alias("dep_pos"), F.lit(0).alias("step"), F.col("state").alias("dependency"), "setter", F.lit("no-deps").alias("action")))
     won = rel.first_match(steps, key, ["dep_pos", "step", "setter"])
-    catalog = files.sparkSession.createDataFrame([(a, *v) for a, v in ACTIONS.items()], "action string, type string, code string, severity string, confidence string")
+    catalog = files.sparkSession.createDataFrame([(a, *v) for a, v in ACTIONS.items()], "action string, type string, code int, severity string, confidence string")
     won = won.join(F.broadcast(catalog), "action")  # as many rows as ACTIONS
-    return won.join(facts.ignored_lines(files), ["path", "line"], "left_anti").select(*key, "dependency", "setter", "type", "code", "severity", "confidence")
+    return won.join(facts.ignored_lines(files, marker), ["path", "line"], "left_anti").select(*key, "dependency", "setter", "type", "code", "severity", "confidence")
 
 
 def import_cycles(files: DataFrame, longest: int = 8) -> DataFrame:

@@ -92,11 +92,11 @@ def hooks(files: DataFrame) -> DataFrame:
     return rows.select("path", "line", F.regexp_extract("call", r"(use\w+)", 1).alias("hook"), body.alias("body"), F.when(F.col("call").rlike(tail), roots).alias("deps"))
 
 
-def ignored_lines(files: DataFrame) -> DataFrame:
-    """(path, line) that an ignore comment on the same or the previous line silences."""
+def ignored_lines(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
+    """(path, line) that a comment ``marker`` on the line, or ``marker``-next-line on the one before, silences."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    same = lines.where(F.col("text").rlike(r"(//|/\*)\s*rld-ignore\b")).select("path", (F.col("at") + 1).alias("line"))
-    after = lines.where(F.col("text").rlike(r"(//|/\*)\s*rld-ignore-next-line\b")).select("path", (F.col("at") + 2).alias("line"))
+    same = lines.where(F.col("text").rlike(rf"(//|/\*)\s*{marker}\b")).select("path", (F.col("at") + 1).alias("line"))
+    after = lines.where(F.col("text").rlike(rf"(//|/\*)\s*{marker}-next-line\b")).select("path", (F.col("at") + 2).alias("line"))
     return same.union(after).distinct()
 
 

@@ -15,7 +15,7 @@ export const A = () => {
   useEffect(() => { setName('y'); });
   const f = useCallback(() => { setCount(c => c + 1); }, [count]);
   const g = useCallback(() => { setCount(count + 1); }, [count]);
-  // rld-ignore-next-line
+  // loop-ignore-next-line
   useEffect(() => { setCount(count + 2); }, [count]);
   useEffect(() => { console.log(1); }, []);
 };
@@ -47,7 +47,7 @@ def test_facts(spark):
 def test_rules_and_cycles(spark):
     files = table(spark)
     assert {(r.line, r.code, r.type) for r in hook_findings(files).collect()} == {
-        (7, "RLD-200", "confirmed-infinite-loop"), (8, "RLD-501", "potential-issue"), (9, "RLD-201", "confirmed-infinite-loop"), (11, "RLD-420", "potential-issue"),
+        (7, 200, "confirmed-infinite-loop"), (8, 501, "potential-issue"), (9, 201, "confirmed-infinite-loop"), (11, 420, "potential-issue"),
     }
     assert [r.cycle for r in import_cycles(files).collect()] == [["/p/a.tsx", "/p/b.ts"]]
     assert hook_findings(files.limit(0)).count() == 0
