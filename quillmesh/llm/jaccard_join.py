@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Scratch
@@ -95,26 +95,31 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
-    """id, n, p, pre (p + 1 elements, heavy ones last), late (whether element p is heavy), full (whether the pool reaches so far)."""
+    """id, n, p, pre (p + 1 elements or more, heavy ones last), light (how many of them are not heavy), full (whether the pool reaches so far)."""
     bad = sets.select("id", F.explode("pool").alias("s")).join(heavy, "s").groupBy("id").agg(F.collect_set("s").alias("bad"))
     pool = F.when(F.col("bad").isNull(), F.col("pool")).otherwise(F.concat(F.array_except("pool", "bad"), F.array_sort("bad")))
     light = F.size("pool") - F.coalesce(F.size("bad"), F.lit(0))
     p = F.expr(f"cast(n - cast(ceil({percent} * n / 100.0d) as bigint) + 1 as int)")
     out = sets.join(bad, "id", "left").select("id", "n", p.alias("p"), pool.alias("pool"), light.alias("light"))
-    return out.select("id", "n", "p", F.expr("slice(pool, 1, p + 1)").alias("pre"), F.expr("p > light").alias("late"), F.expr("light > p or size(pool) = n").alias("full"))
+    # what stands first in the order is known to here
+    known = F.expr("greatest(p + 1, if(size(pool) = n, 2 * p + 8, least(light, 2 * p)))").alias("known")
+    out = out.select("id", "n", "p", "pool", "light", known, F.expr("light > p or size(pool) = n").alias("full"))
+    return out.select("id", "n", "p", F.expr("slice(pool, 1, known)").alias("pre"), F.expr("least(light, known, size(pool))").alias("light"), "full")
 
 
 def _possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared) of the pairs that sizes and prefixes don't rule out.
 
-    Of two prefixes the one that ends first is known whole on both sides: what it doesn't share is missing from the other set.
+    Up to where the first of two prefixes ends, both are known whole: what one has there and the other lacks is missing from
+    the other set. Rare shingles stand first, so the edits that part two copies of one text are among them.
     """
-    side = lambda id_, x: cut.select(F.col("id").alias(id_), F.expr(f"struct(n, p, late, slice(pre, 1, p) as e, pre[p - 1] as last) as {x}"))
+    side = lambda id_, x: cut.select(F.col("id").alias(id_), F.expr(f"struct(n, light, pre as e, size(pre) > light as late, element_at(pre, -1) as last) as {x}"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     both = both.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    both = both.withColumn("shared", F.size(F.array_intersect("x.e", "y.e"))).withColumn("need", F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent}.0d)"))
     x_first = "(x.late = y.late and x.last <= y.last) or (y.late and not x.late)"
-    return both.where(f"case when {x_first} then x.n - (x.p - shared) else y.n - (y.p - shared) end >= need").select("a", "b", "shared")
+    both = both.select("a", "b", "x", "y", F.size(F.array_intersect("x.e", "y.e")).alias("shared"), F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent}.0d)").alias("need"), F.expr(f"if({x_first}, struct(x.late, x.last), struct(y.late, y.last))").alias("end"))
+    upto = lambda x: f"if(end.late, {x}.light + size(filter({x}.e, (q, i) -> i >= {x}.light and q <= end.last)), size(filter({x}.e, (q, i) -> i < {x}.light and q <= end.last)))"
+    return both.where(f"x.n - ({upto('x')} - shared) >= need and y.n - ({upto('y')} - shared) >= need").select("a", "b", "shared")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id") -> DataFrame:
@@ -149,18 +154,27 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", "pool"), heavy, percent)
     cut = near.where("full").unionByName(scratch.table(far, "far")).drop("full")
 
-    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
+    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", "p", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
+    firsts = F.expr("slice(pre, 1, p + 1)").alias("pre")
     subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
-    double = cut.where(F.col("n") < border).select("id", "n", F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
+    double = cut.where(F.col("n") < border).select("id", "n", firsts).select("id", "n", F.lit(None).cast("int").alias("p"), F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
     entries = single.unionByName(double)
-    first_of = [F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.min_by("i", "id").alias("j")]
-    lists = entries.groupBy("sig").agg(F.max("id").alias("last"), *first_of).where("b < last").drop("last")
-    members = scratch.table(entries.join(lists, "sig"), "members")
+    lists = entries.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sig")
+    shared = scratch.table(entries.join(lists, "sig"), "shared")
+    # u: elements before place i that stand in no list. The order puts them before the shared shingle, so a partner that
+    # has that shingle in its prefix would have them there too
+    before = F.row_number().over(Window.partitionBy("id").orderBy("i", "sig")) - 1
+    single = shared.where("p is not null").select("sig", "id", "n", "i", (F.col("i") - before).alias("u"))
+    members = single.unionByName(shared.where("p is null").select("sig", "id", "n", "i", F.lit(0).alias("u")))
+    members = scratch.table(members, "members")
+    # of several members the one with fewest such elements stands for them: it is nearest to what they have in common
+    rank = F.struct("u", "id")
+    first_of = [F.min_by(c, rank).alias(d) for c, d in (("id", "b"), ("n", "m"), ("i", "j"), ("u", "v"))]
 
     # first each member with the pivot that shares most, then whatever the links leave apart
-    # sizes alone, and the places i and j of a shared shingle: before them at most min(i, j) are shared
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and 1 + least(i, j) + least(n - i - 1, m - j - 1) >= ceil({percent} * (n + m) / {100 + percent}.0d)"
-    pairs = members.where(f"id != b and {fits}").select(F.col("id").alias("a"), "b").distinct()
+    # sizes, elements that the partner lacks, and the places i and j of a shared shingle: before them at most min(i, j) are shared
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - u, m - v, 1 + least(i, j) + least(n - i - 1, m - j - 1)) >= ceil({percent} * (n + m) / {100 + percent}.0d)"
+    pairs = members.join(members.groupBy("sig").agg(*first_of), "sig").where(f"id != b and {fits}").select(F.col("id").alias("a"), "b").distinct()
     pairs = _possible(pairs, cut, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = tried = None
     for turn in range(3):
@@ -175,12 +189,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         if turn == 2:
             break
         # lists whose members lie in several components, and of these members' pairs those not tried
-        named = members.select("sig", "id", "n", "i").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
         named = scratch.table(named.join(mixed, "sig"), f"mixed{turn}")
         if named.isEmpty():
             break
-        heads = named.groupBy("sig", "component").agg(*first_of) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+        heads = named.groupBy("sig", "component").agg(*first_of) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("u").alias("v"))
         cross = named.join(heads.withColumnRenamed("component", "other"), "sig").where(f"{'component != other' if turn == 0 else 'component < other'} and {fits}")
         cross = cross.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         pairs = _possible(cross.join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
