@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of a session without ``spark.checkpoint.dir``; Spark allows no change of that setting.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quillmesh-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder and not _own:
+        _own.append(tempfile.mkdtemp(prefix="quillmesh-"))
+    return folder or _own[0]
 
 
 class Scratch:
