@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each node's density is its characters per tag, lowered by the share of link characters and link tags. The sum of its
-children's densities finds the node that holds the article; the smallest density on that node's path up to the body is the
-threshold, above which other subtrees are searched for text as well.
+children's densities finds the node that holds the article; from there the text is that of the ``main`` around it, or of the
+body, without boilerplate elements and, outside the article, without blocks of mostly link text.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ APART = RAW | frozenset("head nav footer aside form button select option dialog
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+LISTS = frozenset("ul ol dl table".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
 #: An open element of the second kind ends when a start tag of the first kind comes.
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -162,8 +164,21 @@ def _measure(nodes: list[Node]) -> None:
         node.total = sum(k.density if k.tag in BLOCK else k.total for k in node.kids if isinstance(k, Node) and not k.apart)
 
 
+def _drop_menus(top: Node) -> None:
+    """Sets blocks of two links or more apart whose text is mostly link text; paragraphs and headings stay."""
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        inner = [k for k in node.kids if isinstance(k, Node) and not k.apart]
+        if node.tag in LISTS or not any(k.tag in BLOCK for k in inner):
+            node.apart = node.tag in BLOCK and node.tag not in PROSE and node.link_tags > 1 and 2 * node.link_chars > node.chars
+        else:
+            stack += inner
+
+
 def _choose(nodes: list[Node]) -> None:
-    """Marks the maximum-sum subtree, and that of each child of a node at or above the threshold."""
+    """Marks the article's root: the ``main`` around the maximum-sum subtree, or the body. On the way up from that subtree, or
+    from the article around it, only unmarked menus are dropped."""
     best: dict[int, Node] = {}
     for node in reversed(nodes):
         top = node
@@ -171,17 +186,16 @@ def _choose(nodes: list[Node]) -> None:
             if isinstance(kid, Node) and not kid.apart and best[id(kid)].tag in BLOCK and best[id(kid)].total > top.total:
                 top = best[id(kid)]
         best[id(node)] = top
-    node = best[id(nodes[0])]
-    least = node.density
-    while node.up is not None:
-        node = node.up
-        least = min(least, node.density)
-    stack = [nodes[0]]
-    while stack:
-        node = stack.pop()
-        if node.chars and node.density >= least - 1e-9:
-            best[id(node)].chosen = True
-            stack.extend(k for k in node.kids if isinstance(k, Node) and not k.apart)
+    path = [best[id(nodes[0])]]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    whole = max((i for i, n in enumerate(path) if n.tag == "main"), default=len(path) - 1)
+    kept = max((i for i, n in enumerate(path[: whole + 1]) if n.tag == "article"), default=0)
+    for below, node in zip(path[kept:whole], path[kept + 1 : whole + 1], strict=True):
+        for kid in node.kids:
+            if isinstance(kid, Node) and not kid.apart and kid is not below:
+                _drop_menus(kid)
+    path[whole].chosen = True
 
 
 def _blocks(root: Node) -> list[str]:
@@ -231,8 +245,6 @@ def main_text(page: str | None) -> str:
     if not body.chars:
         return ""
     _choose(nodes)
-    if not any(n.chosen for n in nodes):
-        body.chosen = True
     return "\n".join(_blocks(body))
 
 

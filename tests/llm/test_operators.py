@@ -53,6 +53,16 @@ def test_main_text(spark):
     assert extract_text(rows.limit(0)).count() == 0
 
 
+def test_main_text_keeps_thin_blocks():
+    p = lambda tag, n: f"<p>{tag} {'x' * n}</p>"
+    for root in ("article", "main", "div"):
+        page = f"<body><{root}><h1>Title {'t' * 34}</h1>{p('lead', 145)}<div>{p('body', 495) * 10}</div><section>{p('second', 143) * 2}</section><section>{p('third', 193) * 5}</section></{root}></body>"
+        assert [x.split()[0] for x in main_text(page).split("\n")] == ["Title", "lead", *["body"] * 10, *["second"] * 2, *["third"] * 5]
+    menu = "<ul><li><a href=a>Home page</a><li><a href=b>Archive</a></ul>"
+    assert main_text(f"<div>{menu}<h2><a href=c>Head</a></h2>{p('lead', 9)}<article>{p('body', 300) * 3}{menu}</article></div>").split("\n")[:2] == ["Head", "lead xxxxxxxxx"]
+    assert main_text(f"<div>{menu}<article>{p('body', 300) * 3}{menu}</article></div>").count("Archive") == 1
+
+
 def test_pieces_equal_library(spark):
     model, rnd = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(5)
     letters = "ab \n\t▁ theé😀中文Ω\x00 ingtion<>s/0x9A"
