@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas".split())
 #: Elements that never hold article text, by the HTML standard's meaning of them.
-APART = RAW | frozenset("head nav footer aside form button select option dialog menu object audio video label".split())
+APART = RAW | frozenset("head nav footer aside button select option dialog menu object audio video label".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -29,12 +29,17 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 FENCE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|aside|rail|footer|foot|header|masthead|topbar"
-    r"|cookies?|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|form|search|share|sharing|social|related|recommended|recommendations|comments?|commentlist|respond|replies|reply|disqus|discussion"
-    r"|copyright|legal|pagination|pager|widget|toolbar|hidden)(?:$|[\s_-])",
-    re.I,
+#: Names of boilerplate in a class or id. A whole token counts, or one whose parts are all such names or words of PLACES.
+APART_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored promo promos promotion promotions nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar"
+    " cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations comment comments commentlist respond replies reply disqus discussion"
+    " copyright legal pagination pager widget toolbar hidden".split()
 )
+PLACES = frozenset("site page main top bottom left right primary secondary global sub post posts article articles entry links link list items item box area bar block section container wrapper wrap inner outer row col column the and".split())
+#: Inside an article, or with a word for it, such a block holds the title.
+HEADS = frozenset("header masthead".split())
+#: Names that layouts and scripts give to wrappers of a whole page too; the others name what stands beside an article.
+WRAPPERS = HEADS | frozenset("form hidden modal overlay popup search login signup toolbar".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/>]|$))", re.I)
@@ -44,34 +49,75 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "apart", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen")
+    __slots__ = ("tag", "up", "kids", "apart", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen", "doubt")
 
-    def __init__(self, tag: str, up: Node | None, apart: bool):
-        self.tag, self.up, self.apart = tag, up, apart
+    def __init__(self, tag: str, up: Node | None, apart: bool, doubt: str = ""):
+        self.tag, self.up, self.apart, self.doubt = tag, up, apart, doubt
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.chosen = False
 
 
-def _set_apart(tag: str, attrs: str, up: Node) -> bool:
-    if tag in APART or (tag == "header" and up.tag not in ("article", "main", "section")):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in ATTR.findall(attrs):
+def _in_text(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main", "section"):
+        node = node.up
+    return node is not None
+
+
+def _named(value: str, up: Node) -> str:
+    """The kind of doubt that a class or id raises, by its tokens."""
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        names = APART_NAMES.intersection(parts)
+        if not names or not APART_NAMES.union(PLACES).issuperset(parts):
+            continue
+        if names <= HEADS and (not {"page", "post", "posts", "article", "articles", "entry", "section"}.isdisjoint(parts) or _in_text(up)):
+            continue
+        return "named" if names <= WRAPPERS else "beside"
+    return ""
+
+
+def _doubt(tag: str, attrs: str, up: Node) -> str:
+    """Why an element may be boilerplate unless it turns out to hold the article: "", "named" or "beside"."""
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    found = "named" if tag == "form" else ""
+    for name, *values in ATTR.findall(attrs or ""):
         value, name = "".join(values).strip(), name.lower()
         if name in ("class", "id"):
-            if APART_NAMES.search(value):
-                return True
+            found = found or _named(value, up)
         elif name == "role":
             if value.lower() in APART_ROLES:
-                return True
+                found = "named" if value.lower() in ("form", "search", "dialog") else "beside"
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            found = found or "named"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            found = found or "named"
+    return found
+
+
+def _settle(root: Node) -> None:
+    """Sets doubtful elements apart, unless they hold the page's ``main``, an article or most text outside links.
+
+    What stands beside an article must hold every article of the page, or most text of a page without any.
+    """
+    nodes, held = _walk(root), {}
+    for node in reversed(nodes):
+        prose, articles, main = 0, int(node.tag == "article"), node.tag == "main"
+        for kid in node.kids:
+            if isinstance(kid, str):
+                prose += len(SPACE.sub("", kid))
+            elif not kid.apart:
+                p, n, m = held[id(kid)]
+                prose, articles, main = prose + (p if kid.tag != "a" else 0), articles + n, main or m
+        held[id(node)] = prose, articles, main
+    text, every, _ = held[id(root)]
+    for node in nodes:
+        prose, articles, main = held[id(node)]
+        most = 2 * prose > text
+        spared = main or (articles == every and (articles > 0 or most) if node.doubt == "beside" else articles > 0 or most)
+        node.apart = (node.up is not None and node.up.apart) or (node.doubt != "" and not spared)
 
 
 def parse(page: str) -> Node:
@@ -119,7 +165,8 @@ def parse(page: str) -> Node:
                 top = node.up
                 if tag == "tr" and top.tag == "tr":
                     top = top.up
-        node = Node(tag, top, top.apart or _set_apart(tag, attrs, top))
+        hard = top.apart or tag in APART or (tag == "header" and not _in_text(top))
+        node = Node(tag, top, hard, "" if hard else _doubt(tag, attrs, top))
         top.kids.append(node)
         if tag in RAW:
             m = RAW_END[tag].search(page, at)
@@ -234,6 +281,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     nodes = _walk(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     if body is not root:

@@ -63,6 +63,20 @@ def test_main_text_keeps_thin_blocks():
     assert main_text(f"<div>{menu}<article>{p('body', 300) * 3}{menu}</article></div>").count("Archive") == 1
 
 
+def test_main_text_keeps_layout_elements():
+    text = "".join(f"<p>body {k} {'x' * 80}</p>" for k in range(6))
+    want = ["Title", *(f"body {k} {'x' * 80}" for k in range(6))]
+    noise = '<div class="site-footer">Imprint</div><div class="cookie-notice">Cookies</div><div class="main-nav"><a href=a>Home</a></div><div class="sidebar">Aside</div><div class="ad">Buy</div>'
+    for wrapper in ('class="overflow-hidden"', 'class="has-sidebar wide"', 'class="no-sidebar"', 'id="content-sidebar-wrap"', 'class="modal"', 'class="sidebar"', 'class="page-header"'):
+        for inner in ("article", "main", "div"):
+            assert main_text(f"<body>{noise}<div {wrapper}><{inner}><h1>Title</h1>{text}</{inner}></div></body>").split("\n") == want
+    assert main_text(f"<form id=f><input><button>Go</button><label>Mail</label>{noise}<div><h1>Title</h1>{text}</div></form>").split("\n") == want
+    for head in ("article-header", "entry-header", "header", "post-header"):
+        assert main_text(f"<article><div class='{head}'><h1>Title</h1></div>{text}</article>{noise}").split("\n") == want
+    talk = f"<div class='comments'><article class='reply'>{text * 3}</article></div>"
+    assert main_text(f"<article><h1>Title</h1>{text}</article>{talk}<form>Your mail <input></form>").split("\n") == want
+
+
 def test_pieces_equal_library(spark):
     model, rnd = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(5)
     letters = "ab \n\t▁ theé😀中文Ω\x00 ingtion<>s/0x9A"
