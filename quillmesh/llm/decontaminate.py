@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame expressions alone: SimHash of item-sized windows, multi-index Hamming blocks,
 then an exact weighted-shingle similarity.
 
-Each item has anchors, shingles of more than a fifth of its weight: a window of similarity 0.8 holds one of them, so windows
-start only where an anchor says. A window goes on if one of RADIUS + 1 blocks of its fingerprint equals the item's, which
-any fingerprint within RADIUS bits must, and the distance is within RADIUS; the exact similarity decides.
+Each item has anchors, shingles of more than a fifth of its weight: a window of similarity 0.8 holds one of them, so every
+window that covers an anchor is tried, at any offset. Those go on whose shingles of the item, copies not limited, weigh
+enough. Then one of RADIUS + 1 blocks of the fingerprint must equal the item's, which any fingerprint within RADIUS bits
+does, and the distance be within RADIUS; the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from quillmesh.llm.common import Scratch
 
 #: Similar windows differ in about 13 of 64 bits, with a deviation of 3; four deviations more are admitted.
 BITS, RADIUS = 64, 27
+#: The low bits of a shingle, its characters: no text has more.
+WEIGHT = (1 << 31) - 1
 #: A side of up to this many short rows is broadcast after counting it; a larger one is shuffled.
 SMALL_SIDE = 200_000
 _SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -38,35 +41,31 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _shingles(words: str, width: int) -> str:
-    """SQL: the hash of each window of ``width`` words, its lowest 12 bits replaced by the window's characters.
-
-    Each word is first packed into its hash and, in 8 bits, its characters; both counts stop at their largest value.
-    """
-    parts = [f"pw[i + {j}]" for j in range(width)]
-    weight = " + ".join(f"({p} & 255L)" for p in parts)
-    each = f"transform(sequence(0, size(pw) - {width}), i -> (xxhash64({', '.join(parts)}) & -4096L) | least({weight}, 4095L))"
-    packed = f"transform({words}, q -> (xxhash64(q) & -256L) | least(length(q), 255))"
-    return _let("pw", packed, f"if(size(pw) >= {width}, {each}, cast(array() as array<bigint>))")
+    """SQL: the hash of each window of ``width`` words, its lowest 31 bits replaced by the window's characters."""
+    parts, sizes = [f"pw[i + {j}]" for j in range(width)], [f"pl[i + {j}]" for j in range(width)]
+    each = f"transform(sequence(0, size(pw) - {width}), i -> (xxhash64({', '.join(parts)}) & {~WEIGHT}L) | ({' + '.join(sizes)}))"
+    packed = _let("pl", "transform(ws, q -> cast(length(q) as bigint))", f"if(size(pw) >= {width}, {each}, cast(array() as array<bigint>))")
+    return _let("ws", words, _let("pw", "transform(ws, q -> xxhash64(q))", packed))
 
 
 def _multiset(shingles: str) -> str:
     """SQL: shingles told apart by how often they came before, so that set operations count copies; weights stay."""
-    return _let("so", f"sort_array({shingles})", "transform(so, (q, qi) -> (xxhash64(q, qi - array_position(so, q)) & -4096L) | (q & 4095))")
+    return _let("so", f"sort_array({shingles})", f"transform(so, (q, qi) -> (xxhash64(q, qi - array_position(so, q)) & {~WEIGHT}L) | (q & {WEIGHT}L))")
 
 
 def _weight(shingles: str) -> str:
-    return f"aggregate({shingles}, 0L, (a, h) -> a + (h & 4095))"
+    return f"aggregate({shingles}, 0L, (a, h) -> a + (h & {WEIGHT}L))"
 
 
 def _simhash(shingles: str) -> str:
     vote = "aggregate(sh, 0L, (a, x) -> a + if((shiftright(x.h, b) & 1) = 1, x.w, -x.w))"
     bits = f"transform(sequence(0, {BITS - 1}), b -> if({vote} > 0, shiftleft(1L, b), 0L))"
-    return _let("sh", f"transform({shingles}, q -> struct(xxhash64(q) as h, q & 4095 as w))", f"aggregate({bits}, 0L, (a, x) -> a | x)")
+    return _let("sh", f"transform({shingles}, q -> struct(xxhash64(q) as h, q & {WEIGHT}L as w))", f"aggregate({bits}, 0L, (a, x) -> a | x)")
 
 
-def _blocks(fingerprint: str) -> Column:
-    """Block number and bits of each block, as one integer."""
-    return F.array(*(F.expr(f"(shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L) + {j << 8}L") for j, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False))))
+def _blocks(fingerprint: str) -> str:
+    """SQL: block number and bits of each block, as one integer."""
+    return f"array({', '.join(f'(shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L) + {j << 8}L' for j, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False)))})"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -74,7 +73,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window has as many words as the item, or
     the document's where that is shorter. Shingles have ``width`` words, or all of an item's if it has fewer, and weigh their
-    characters, of which a word has 255 and a shingle 4095 at most. The similarity is the shared weight over the larger of both weights; pairs reach ``percent`` % of it.
+    characters. The similarity is the shared weight over the larger of both weights; pairs reach ``percent`` % of it.
     Items and documents without words leak nothing; rows without an id are left out; rows of one id count as one document;
     ties go to the first window. Empty tables give no rows; other columns are ignored.
     """
@@ -94,23 +93,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 def _leaks(source: DataFrame, bench: DataFrame, k: int, percent: int) -> DataFrame:
     bench = bench.withColumn("ih", F.expr(_shingles("iw", k))).withColumn("total", F.expr(_weight("ih")))
     # anchors: the heaviest shingles, until those left weigh less than a similar window needs
-    spots = bench.select("item_id", "m", "total", F.posexplode("ih").alias("at", "h"))
-    each = spots.groupBy("item_id", "m", "total", "h").agg(F.sum(F.expr("h & 4095")).alias("weight"), F.collect_list("at").alias("ats"))
-    ranked = each.groupBy("item_id", "m", "total").agg(F.array_sort(F.collect_list(F.struct((-F.expr("h & 4095")).alias("w"), "h", "weight", "ats"))).alias("all"))
+    spots = bench.select("item_id", "m", "total", F.explode("ih").alias("h"))
+    size = F.expr(f"h & {WEIGHT}L")
+    each = spots.groupBy("item_id", "m", "total", "h").agg(F.sum(size).alias("weight"))
+    ranked = each.groupBy("item_id", "m", "total").agg(F.array_sort(F.collect_list(F.struct((-size).alias("w"), "h", "weight"))).alias("all"))
     before = f"aggregate(slice(all, 1, i), 0L, (a, y) -> a + y.weight) <= total * {100 - percent} / 100.0d"
-    anchors = ranked.select("item_id", "m", F.explode(F.expr(f"filter(all, (x, i) -> {before})")).alias("x")).select("item_id", "m", F.col("x.h").alias("h"), F.explode("x.ats").alias("at"))
+    anchors = ranked.select("item_id", "m", F.explode(F.expr(f"filter(all, (x, i) -> {before})")).alias("x")).select("item_id", "m", F.col("x.h").alias("h"))
     anchors = _sized(anchors)
 
     hashes = source.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.expr(_shingles("w", k)).alias("hs"))
     places = hashes.select("doc_id", (F.size("hs") + k - 1).alias("n"), F.posexplode("hs").alias("pos", "h"))
-    starts = places.join(anchors, "h").select("doc_id", "item_id", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m"))).alias("start")).distinct()
-    hashed = F.expr(_multiset("ih"))
-    index = bench.select("item_id", "m", "total", hashed.alias("im"), F.expr(_simhash("ih")).alias("ifp")).withColumn("iblocks", _blocks("ifp"))
-    # windows are few: where counting proves it they go to the texts, else both are shuffled
+    # starts whose window covers the anchor, in blocks of m starts, so that hits beside each other are one row before the shuffle
+    block = f"explode(sequence(cast(greatest(0, pos - m + {k}) div m as int), cast(least(pos, greatest(0, n - m)) div m as int)))"
+    starts = places.join(anchors, "h").select("doc_id", "item_id", F.expr(block).alias("block")).distinct()
+    index = bench.select("item_id", "m", "total", "ih", F.expr(_multiset("ih")).alias("im"), F.expr(_simhash("ih")).alias("ifp")).withColumn("iblocks", F.expr(_blocks("ifp")))
+    # blocks are few: where counting proves it they go to the texts, else both are shuffled
     windows = _sized(Scratch(source.sparkSession).table(starts, "windows"))
     texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text"))).drop("text").join(_sized(index, SMALL_SIDE // 50), "item_id")
-    prints = texts.select("doc_id", "item_id", "start", "total", "im", "ifp", "iblocks", F.expr(_shingles("slice(w, start + 1, m)", k)).alias("h")).where("size(h) > 0").withColumn("fp", F.expr(_simhash("h")))
-    near = prints.where(F.arrays_overlap(_blocks("fp"), F.col("iblocks")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS))
-    shared = F.expr(_weight(f"array_intersect(im, {_multiset('h')})"))
-    scored = near.select("doc_id", "item_id", "start", shared.alias("shared"), F.greatest("total", F.expr(_weight("h"))).alias("most"))
+    # the shingles of a block's windows, and how many of them a window has
+    spans = texts.withColumn("seg", F.expr(_shingles("slice(w, block * m + 1, 2 * m - 1)", k))).withColumn("g", F.expr(f"least(m, size(w)) - {k - 1}")).drop("w")
+    # no window shares more than its shingles of the item, each copy counted
+    sums = f"struct(s, {_weight('slice(hit, s + 1, g)')} as top, {_weight('slice(seg, s + 1, g)')} as own)"
+    enough = f"filter(transform(sequence(0, size(seg) - g), s -> {sums}), c -> 100 * c.top >= {percent} * greatest(total, c.own))"
+    tried = _let("hit", "transform(seg, x -> if(array_contains(ih, x), x, 0L))", f"if(100 * {_weight('hit')} >= {percent} * total, {enough}, null)")
+    each = spans.select("doc_id", "item_id", "m", "block", "total", "im", "ifp", "iblocks", "seg", "g", F.expr(f"explode(if(g > 0 and size(seg) >= g, {tried}, null))").alias("c"))
+    prints = each.withColumn("h", F.expr("slice(seg, c.s + 1, g)"))
+    near = prints.where(_let("fp", _simhash("h"), f"arrays_overlap({_blocks('fp')}, iblocks) and bit_count(fp ^ ifp) <= {RADIUS}"))
+    # without repeated shingles the bound is the shared weight
+    shared = F.expr(f"if(size(array_distinct(h)) = size(h), c.top, {_weight(f'array_intersect(im, {_multiset("h")})')})")
+    scored = near.select("doc_id", "item_id", F.expr("block * m + c.s").alias("start"), shared.alias("shared"), F.expr("greatest(total, c.own)").alias("most"))
     return scored.where(f"100 * shared >= {percent} * most").select("doc_id", "item_id", "start", F.round(F.col("shared") / F.col("most"), 6).alias("similarity"))

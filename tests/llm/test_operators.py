@@ -251,3 +251,27 @@ def test_leaks(spark):
     assert got == _leaks(rows, items) and len(got) > 12
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert find_leaks(docs(spark, rows), none).count() == 0 and find_leaks(docs(spark, rows).limit(0), none.unionByName(spark.createDataFrame(items, "item_id bigint, text string"))).count() == 0
+
+
+def test_leaks_at_any_offset(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"{'w' * (k % 9)}{k}" for k in range(300)] + ["long" * 80, "longer" * 90]
+    items = [(j, " ".join(rnd.choices(vocabulary[: rnd.choice([12, 302])], k=rnd.choice([20, 40, 60])))) for j in range(10)]
+    rows = []
+    for _, t in items:
+        for _ in range(12):
+            w = t.split()
+            for _ in range(rnd.randint(1, 3)):
+                at, n = rnd.randrange(len(w)), rnd.randint(1, 3)
+                w[at:at] = rnd.choices(vocabulary, k=n)
+                if rnd.random() < 0.4:
+                    del w[(cut := rnd.randrange(len(w))) : cut + n]
+            rows.append((len(rows) + 1, " ".join([*rnd.choices(vocabulary, k=rnd.randint(0, 80)), *w, *rnd.choices(vocabulary, k=rnd.randint(0, 30))])))
+    found = find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == _leaks(rows, items) and len(found) > 20
+    texts, wanted = dict(rows), dict(items)
+    for r in found:
+        n = len(wanted[r.item_id].split())
+        cut = [(1, " ".join(texts[r.doc_id].split()[: r.start + n - 1])), (2, " ".join(texts[r.doc_id].split()[r.start :][:n]))]
+        before = _leaks(cut[:1], [(r.item_id, wanted[r.item_id])]).get((1, r.item_id), 0)
+        assert _leaks(cut[1:], [(r.item_id, wanted[r.item_id])])[2, r.item_id] == r.similarity > before or r.start == 0
