@@ -5,11 +5,16 @@ Loops advance a frontier of new rows only, each round written to the shared fold
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators.shared import written
 
+#: After so many rounds a table grown by unions is written anew, so that its plan stays short.
+REWRITE = 16
+
 
 def top_edges(pairs: DataFrame, src: str, dst: str, k: int = 1) -> DataFrame:
     """The ``k`` most frequent ``dst`` of each ``src`` as (src, dst, n); of equal counts the smallest ``dst``."""
@@ -20,28 +25,30 @@ def top_edges(pairs: DataFrame, src: str, dst: str, k: int = 1) -> DataFrame:
     return counted.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def closure(edges: DataFrame, depth: int = 100, start: DataFrame | None = None) -> DataFrame:
-    """(src, dst, depth): every node reachable from each source (or from ``start(src)``) by at most ``depth`` edges, with the
-    smallest depth. A node reaches itself only around a cycle."""
+def closure(edges: DataFrame, depth: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(src, dst, depth): every node reachable from each source (or from ``start(src)``), by at most ``depth`` edges if given,
+    with the smallest depth. A node reaches itself only around a cycle."""
     step = written(edges.select("src", "dst").distinct())
     first = step if start is None else step.join(start.select("src").distinct(), "src", "left_semi")
     seen = frontier = written(first.withColumn("depth", F.lit(1)))
-    for d in range(2, depth + 1):
+    for d in count(2) if depth is None else range(2, depth + 1):
         ahead = frontier.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid")
         frontier = written(ahead.select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if d % REWRITE == 0:
+            seen = written(seen)
     return seen
 
 
-def dependents(edges: DataFrame, depth: int = 100) -> DataFrame:
+def dependents(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, dependent, depth): who must be looked at again when a node changes, the closure of the reversed edges."""
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return closure(turned, depth).select(F.col("src").alias("node"), F.col("dst").alias("dependent"), "depth")
 
 
-def cycle_members(edges: DataFrame, depth: int = 100) -> DataFrame:
+def cycle_members(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, length): nodes on a cycle and the length of the shortest through them."""
     return closure(edges, depth).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length"))
 
@@ -64,35 +71,50 @@ def simple_paths(edges: DataFrame, start: DataFrame, nodes: int) -> DataFrame:
     return found
 
 
-def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(cycle): simple cycles of up to ``longest`` nodes, each once, from its smallest node on."""
+def simple_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle): simple cycles, of up to ``longest`` nodes if given, each once, from its smallest node on.
+
+    Without ``longest`` only edges inside strongly connected parts are walked, until no path is left.
+    """
     e = edges.select("src", "dst").distinct()
+    if longest is None:
+        back = closure(e).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        e = written(e.join(back, ["src", "dst"], "left_semi"))
     loops = e.where("src = dst").select(F.array("src").alias("cycle"))
     paths = e.where("src < dst").select(F.array("src", "dst").alias("path"))
     found = loops
-    for k in range(2, longest + 1):
+    for k in count(2) if longest is None else range(2, longest + 1):
         back = paths.join(e, (F.element_at("path", -1) == F.col("src")) & (F.element_at("path", 1) == F.col("dst")))
         found = found.unionByName(back.select(F.col("path").alias("cycle")))
-        if k < longest:
-            ahead = paths.join(e, F.element_at("path", -1) == F.col("src")).where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
-            paths = ahead.select(F.concat("path", F.array("dst")).alias("path"))
+        if k == longest:
+            break
+        ahead = paths.join(e, F.element_at("path", -1) == F.col("src")).where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
+        paths = ahead.select(F.concat("path", F.array("dst")).alias("path"))
+        if longest is None:
+            paths = written(paths)
+            if paths.isEmpty():
+                break
+            if k % REWRITE == 0:
+                found = written(found)
     return found
 
 
-def dominators(edges: DataFrame, root: int, depth: int = 100) -> DataFrame:
+def dominators(edges: DataFrame, root: int) -> DataFrame:
     """(node, dominator): d dominates n if n can't be reached from the root without d; every reachable node dominates itself.
 
     All removals are tried at once: the closure carries the removed node as part of the source.
     """
     e = edges.select("src", "dst").distinct()
-    reach = written(closure(e, depth, e.select(F.lit(root).cast(e.schema["src"].dataType).alias("src"))).select(F.col("dst").alias("node")).union(e.select(F.lit(root).cast(e.schema["src"].dataType))).distinct())
+    reach = written(closure(e, start=e.select(F.lit(root).cast(e.schema["src"].dataType).alias("src"))).select(F.col("dst").alias("node")).union(e.select(F.lit(root).cast(e.schema["src"].dataType))).distinct())
     out = reach.select(F.col("node").alias("out"))
     seen = frontier = written(out.where(F.col("out") != root).select("out", F.lit(root).cast(e.schema["src"].dataType).alias("node")))
-    for _ in range(depth):
+    for d in count(2):
         ahead = frontier.join(e, frontier["node"] == e["src"]).where("dst != out").select("out", F.col("dst").alias("node")).distinct()
         frontier = written(ahead.join(seen, ["out", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if d % REWRITE == 0:
+            seen = written(seen)
     every = reach.join(out)  # nodes of one control-flow graph
     return every.join(seen, ["out", "node"], "left_anti").select("node", F.col("out").alias("dominator"))

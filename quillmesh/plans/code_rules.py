@@ -48,8 +48,8 @@ def hook_findings(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
     return won.join(facts.ignored_lines(files, marker), ["path", "line"], "left_anti").select(*key, "dependency", "setter", "type", "code", "severity", "confidence")
 
 
-def import_cycles(files: DataFrame, longest: int = 8) -> DataFrame:
-    """(cycle): import cycles of up to ``longest`` files, each once, from its first path on."""
+def import_cycles(files: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle): import cycles, of up to ``longest`` files if given, each once, from its first path on."""
     return graph.simple_cycles(facts.module_edges(facts.imports(files), files), longest)
 
 

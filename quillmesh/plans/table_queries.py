@@ -56,12 +56,12 @@ def edges_topk(spark, d):
 
 @query(_walk(1, 8) + "SELECT src, dst, depth FROM reach")
 def closure_min_depth(spark, d):
-    return graph.closure(trade(spark, d, 1), 8)
+    return graph.closure(trade(spark, d, 1))
 
 
 @query(_walk(2, 5) + "SELECT src AS node, depth AS length FROM reach WHERE src = dst")
 def cycle_members(spark, d):
-    return graph.cycle_members(trade(spark, d, 2), 5)
+    return graph.cycle_members(trade(spark, d, 2))
 
 
 @query(f"""WITH RECURSIVE {_edges(2)}, paths AS (SELECT src AS head, [src] AS path, src AS last FROM edges
@@ -111,7 +111,7 @@ def changed_files(spark, d):
 
 @query(_walk(2, 6, True) + "SELECT src AS node, dst AS dependent, depth FROM reach")
 def dependents_closure(spark, d):
-    return graph.dependents(trade(spark, d, 2), 6)
+    return graph.dependents(trade(spark, d, 2))
 
 
 @query(f"WITH {_edges(2)} SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
@@ -183,7 +183,7 @@ nodes AS (SELECT dst AS node FROM reach0 UNION SELECT 0),
 cut AS (SELECT node AS out, 0 AS node FROM nodes WHERE node <> 0 UNION SELECT c.out, e.dst FROM cut c JOIN edges e ON c.node = e.src AND e.dst <> c.out)
 SELECT n.node, o.node AS dominator FROM nodes n CROSS JOIN nodes o ANTI JOIN cut c ON c.out = o.node AND c.node = n.node""")
 def dominators_small(spark, d):
-    return graph.dominators(trade(spark, d, 2), 0, 30)
+    return graph.dominators(trade(spark, d, 2), 0)
 
 
 @query(f"""WITH RECURSIVE {_edges(2)}, paths AS (SELECT [src, dst] AS path, dst AS last FROM edges WHERE src < 3 AND src <> dst
