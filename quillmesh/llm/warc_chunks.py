@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ VERSION = "WARC/1.1"
 LINE = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
-CHUNKS = "page_id bigint, url string, digest string, bytes bigint, chunk int, chunks int, data binary, so_far string"
+CHUNKS = "page_id bigint, url string, digest string, bytes bigint, chunk int, chunks int, data binary, so_far string, copy bigint"
 
 
 def base32_sha1(sha) -> str:
@@ -35,25 +36,27 @@ def base32_sha1(sha) -> str:
 
 def chunk_table(pages: DataFrame, size: int = CHUNK, payloads: bool = True) -> DataFrame:
     """Chunk rows of each page's html in UTF-8: ``so_far`` is the SHA-1 of chunks up to this one, ``digest`` that of all.
+    ``copy`` is the number of the row they come from, which tells repeated rows apart.
 
     Null html is an empty payload of one empty chunk. Without ``payloads`` only the first row of each page, without bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy = (TaskContext.get().partitionId() << 40) - 1
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = []
                 for page, url, body in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "body")), strict=True):
-                    view = memoryview(body or b"")
+                    view, copy = memoryview(body or b""), copy + 1
                     sha, marks = hashlib.sha1(), []
                     for k in range(0, max(len(view), 1), size):
                         sha.update(view[k : k + size])
                         marks.append(base32_sha1(sha))
                     for k, mark in enumerate(marks if payloads else marks[:1]):
-                        rows.append((page, url, marks[-1], len(view), k, len(marks), bytes(view[k * size : (k + 1) * size]) if payloads else b"", mark))
-                names = ["page_id", "url", "digest", "bytes", "chunk", "chunks", "data", "so_far"]
-                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+                        rows.append((page, url, marks[-1], len(view), k, len(marks), bytes(view[k * size : (k + 1) * size]) if payloads else b"", mark, copy))
+                names = ["page_id", "url", "digest", "bytes", "chunk", "chunks", "data", "so_far", "copy"]
+                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64()]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -107,8 +110,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     )
     # the writer's separator ends the record, after the one here
     out = F.concat(header, F.lit(LINE * 2), F.col("data").cast("string"), F.lit(LINE))
-    # the chunks of a record follow each other in one file
-    rows = rows.sortWithinPartitions("page_id", "digest", "chunk")
+    # the chunks of a record follow each other in one file, those of repeated rows one row after the other
+    rows = rows.sortWithinPartitions("page_id", "digest", "copy", "chunk")
     rows.select(out.alias("value")).write.mode("overwrite").option("lineSep", LINE).option("compression", "gzip").text(path)
 
 

@@ -189,6 +189,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert archive_round_trip(rows.limit(0), path=str(tmp_path / "e")).count() == 0
 
 
+def test_warc_repeated_chunked_rows(spark, tmp_path):
+    big = "".join(f"{k:07d}" for k in range(400_000))
+    rows = spark.createDataFrame([(7, "u", big)] * 3 + [(7, "v", big), (None, "u", big), (8, "u", big)], "page_id bigint, url string, html string").coalesce(1)
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.payload_digest) for r in archive_round_trip(rows, path=str(tmp_path / "w")).collect())
+    digest = base64.b32encode(hashlib.sha1(big.encode()).digest()).decode()
+    assert got == [*[("7", len(big), "response", digest)] * 4, ("8", len(big), "revisit", digest), ("None", len(big), "revisit", digest)]
+
+
 def test_licenses(spark):
     texts = {1: "x Under the MIT License, under the mit license", 2: "See CC BY-NC 4.0", 3: "licensed under the GNU General Public License, version 3.", 4: "the general public license of words", 5: "Apache License, Version 2.0", 6: "under the mit licenses"}
     got = by_id(scan_licenses(docs(spark, [*texts.items(), *((i and i + 10, t) for i, t in ODD)])))
