@@ -1,6 +1,13 @@
-"""The pipeline's stages on null and repeated ids."""
+"""The pipeline's stages, on null and repeated ids and against brute force on each stage's own input."""
+
+import re
 
 import corpus_pipeline
+import sentencepiece
+from test_operators import MODEL, _components, _leaks, _stats
+
+from quillmesh.llm.common import read
+from quillmesh.llm.toxicity_cnn import fit, word_ids
 
 ROWS = "doc_id bigint, text string, row_key string"
 
@@ -15,3 +22,30 @@ def test_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([(1, text("b")), (2, text("d", 12))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(str(r) for r in rows if not (r[1] or "").startswith(("b0", "d0")))
+
+
+def test_stages_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    model, stages = sentencepiece.SentencePieceProcessor(model_file=MODEL), [f for _, f in corpus_pipeline.STAGES]
+    items = [(r.item_id, r.text) for r in read(spark, sf, "benchmark").collect()]
+    before = read(spark, sf, "documents").localCheckpoint()
+    for k, stage in enumerate(stages):
+        after = stage(spark, before, sf).localCheckpoint()
+        rows, got = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
+        texts = [(i, r.text) for i, r in rows.items()]
+        assert len(rows) == before.count() and len(got) == after.count() > 0 and (k == 4 or all(rows[i] == r for i, r in got.items()))
+        if k == 0:
+            words, repeats = ({i: _stats(t)[j] for i, t in texts} for j in (0, 4))
+            assert not [i for i in got if words[i] < 10 or 100 * repeats[i] > 20 * words[i]]
+        elif k == 1:
+            cnn, cuts = fit(before, read(spark, sf, "labels"))
+            assert set(got) == {i for i, r in rows.items() if cnn.scores([word_ids(r.text)], cnn.tables())[0] < cuts.get(r.lang, 0.5)}
+        elif k == 2:
+            assert set(got) == {i for i, (_, top) in _components(texts, 5, 80).items() if i == top}
+        elif k == 3:
+            parts = lambda t: {x for x in re.split(r"[^0-9a-z]+", (t or "").lower()) if len(x) > 3}
+            near = [(d, j) for d in texts for j in items if 2 * len(parts(d[1]) & parts(j[1])) >= len(parts(j[1]))]
+            assert set(got) == set(rows) - {i for d, j in near for i, _ in _leaks([d], [j])}
+        else:
+            assert set(got) == set(rows) and all(r.n_tokens == len(model.encode(rows[i].text or "", add_eos=True)) for i, r in got.items())
+        before = after
