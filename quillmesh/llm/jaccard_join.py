@@ -3,8 +3,11 @@
 Sets that may link share much of a short prefix under one global order of shingles. Small sets list the two-element subsets
 of their prefix; large sets enter inverted lists of single prefix elements; the size between them is where listing subsets
 starts to cost more than scanning lists. The order puts shingles of many sets last, so passages that many documents share
-make no long lists. Members of a list are compared with one pivot first; what that leaves in different components is
-compared exactly afterwards, so that a group of near copies costs a star and not all its pairs, and no link is lost.
+make no long lists. Each set carries a parity sketch: bits in which two sketches differ stand for elements that one set
+lacks, so too many of them rule a pair out. Members of a list are compared with one pivot first, so that a group of near
+copies costs a star. Pairs that this leaves in different components are compared afterwards, those of long lists chunk
+against chunk inside tasks that return only pairs no bound rules out. No link is lost: every pair of a list is either in one
+component already, ruled out by a bound, or verified on whole sets.
 """
 
 from __future__ import annotations
@@ -22,25 +25,32 @@ from quillmesh.llm.components import components
 
 #: A shingle in the pools of this many sets goes to the end of the order. It steers cost, not results.
 HEAVY = 16
-#: Words whose hash a worker remembers, at most.
-REMEMBERED = 1_000_000
-_words: dict[bytes, int] = {}
+#: A list of up to this many members is joined with itself; a longer one is compared in chunks of about this many.
+LISTED, CHUNK = 32, 256
+#: Sketch columns of 64 bits each.
+SKETCH = [f"bits{k}" for k in range(4)]
 
 
-def _hash(word: bytes) -> int:
-    if len(_words) >= REMEMBERED:
-        _words.clear()
-    got = _words[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-    return got
+class WordHashes(dict):
+    """64-bit hashes of words, remembered while a partition is read: of ``most`` words of up to 64 bytes, about 10 MB."""
 
+    def __init__(self, most: int = 60_000):
+        super().__init__()
+        self.most = most
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
+        got = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(self) < self.most and len(word) <= 64:
+            self[word] = got
+        return got
+
+
+def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; fewer words than ``width`` make one shingle, no words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, only ASCII white space
     if not words:
         return np.empty(0, np.int64)
-    get = _words.get
-    h = np.array([get(w) or _hash(w) for w in words], np.int64).view(np.uint64)
+    h = np.array([hashes[w] for w in words], np.int64).view(np.uint64)
     width = min(width, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for j in range(width):
@@ -49,39 +59,51 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bit k tells whether an odd number of elements fall into bin k."""
+    bins = 64 * len(SKETCH)
+    odd = np.bincount((shingles >> 20) & (bins - 1), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
 def _sets(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """id, key, n and the set: all of it, or its pool of smallest hashes, which holds a quarter more than the prefix."""
+    """id, key, n, sketch and the set: all of it, or its pool of smallest hashes, which holds a quarter more than the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingle_set(x, width) for x in part.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(x, width, hashes) for x in part.column("text").to_pylist()]
+                bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(SKETCH))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 n = [len(s) for s in sets]
                 if not whole:
                     sets = [s[: (p := len(s) - -(-percent * len(s) // 100) + 1) + max(3, p // 4)] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), _lists(sets)], names=["id", "key", "n", "pool"])
+                columns = [part.column("id"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), *(pa.array(b) for b in bits.T), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", *SKETCH, "pool"])
 
-    return df.mapInArrow(run, "id bigint, key binary, n bigint, pool array<bigint>")
+    return df.mapInArrow(run, f"id bigint, key binary, n bigint, {' bigint, '.join(SKETCH)} bigint, pool array<bigint>")
 
 
 def _linked(df: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of whole texts whose exact similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = shingle_set(x, width), shingle_set(y, width)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch, keep = whole.slice(at, 200), []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    u, v = shingle_set(x, width, hashes), shingle_set(y, width, hashes)
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(u) + len(v) - both) > 0)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return df.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -100,11 +122,11 @@ def _prefixes(sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
     pool = F.when(F.col("bad").isNull(), F.col("pool")).otherwise(F.concat(F.array_except("pool", "bad"), F.array_sort("bad")))
     light = F.size("pool") - F.coalesce(F.size("bad"), F.lit(0))
     p = F.expr(f"cast(n - cast(ceil({percent} * n / 100.0d) as bigint) + 1 as int)")
-    out = sets.join(bad, "id", "left").select("id", "n", p.alias("p"), pool.alias("pool"), light.alias("light"))
+    out = sets.join(bad, "id", "left").select("id", "n", *SKETCH, p.alias("p"), pool.alias("pool"), light.alias("light"))
     # what stands first in the order is known to here
     known = F.expr("greatest(p + 1, if(size(pool) = n, 2 * p + 8, least(light, 2 * p)))").alias("known")
-    out = out.select("id", "n", "p", "pool", "light", known, F.expr("light > p or size(pool) = n").alias("full"))
-    return out.select("id", "n", "p", F.expr("slice(pool, 1, known)").alias("pre"), F.expr("least(light, known, size(pool))").alias("light"), "full")
+    out = out.select("id", "n", *SKETCH, "p", "pool", "light", known, F.expr("light > p or size(pool) = n").alias("full"))
+    return out.select("id", "n", *SKETCH, "p", F.expr("slice(pool, 1, known)").alias("pre"), F.expr("least(light, known, size(pool))").alias("light"), "full")
 
 
 def _possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
@@ -122,6 +144,54 @@ def _possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     return both.where(f"x.n - ({upto('x')} - shared) >= need and y.n - ({upto('y')} - shared) >= need").select("a", "b", "shared")
 
 
+def _fits(percent: int) -> str:
+    """SQL: whether (n, i, u, sketch) and (m, j, v, sketch2) may link, by sizes, by elements that the partner lacks, by the
+    places i and j of a shared shingle, before which at most min(i, j) are shared, and by sketch bits that differ."""
+    need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+    bits = " + ".join(f"bit_count({c} ^ {c}2)" for c in SKETCH)
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - u, m - v, 1 + least(i, j) + least(n - i - 1, m - j - 1)) >= {need} and {bits} <= n + m - 2 * {need}"
+
+
+#: A member of a list, as a chunk holds it.
+MEMBER = ["id", "component", "n", "i", "u", *SKETCH]
+
+
+def _chunk_pairs(mixed: DataFrame, long: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs of different components in the lists of ``long(sig, size)`` that no bound rules out, at least once each.
+
+    A list is cut into chunks by id, and each two of its chunks meet in one row. With ``nearest`` a member is only paired with
+    the nearest member, by sketch, of each other component in a chunk.
+    """
+    chunk = F.expr(f"cast(pmod(xxhash64(id), (size + {CHUNK - 1}) div {CHUNK}) as int)").alias("chunk")
+    rows = mixed.join(long, "sig").select("sig", chunk, F.struct(*MEMBER).alias("x")).groupBy("sig", "chunk").agg(F.collect_list("x").alias("x"))
+    both = rows.join(rows.select("sig", F.col("chunk").alias("chunk2"), F.col("x").alias("y")), "sig").where("chunk <= chunk2").select("x", "y")
+
+    def columns(cell: pa.ListArray) -> dict[str, np.ndarray]:
+        return {c: cell.field(c).to_numpy(zero_copy_only=False) for c in MEMBER}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = columns(batch.column("x")[k].values), columns(batch.column("y")[k].values)
+                n, m, i, j = x["n"][:, None], y["n"], x["i"][:, None], y["i"]
+                need = (percent * (n + m) + 99 + percent) // (100 + percent)
+                bound = np.minimum(np.minimum(n - x["u"][:, None], m - y["u"]), 1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1))
+                apart = sum(np.bitwise_count(x[c][:, None] ^ y[c]).astype(np.int64) for c in SKETCH)
+                ok = (x["component"][:, None] != y["component"]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (bound >= need) & (apart <= n + m - 2 * need)
+                a, b = np.nonzero(ok)
+                if nearest and len(a):
+                    order = np.lexsort((y["id"][b], apart[a, b], y["component"][b], a))
+                    a, b = a[order], b[order]
+                    first = np.ones(len(a), bool)
+                    first[1:] = (a[1:] != a[:-1]) | (y["component"][b[1:]] != y["component"][b[:-1]])
+                    a, b = a[first], b[first]
+                a, b = x["id"][a], y["id"][b]
+                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``; links need ``percent`` % Jaccard similarity.
 
@@ -138,7 +208,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     copies = every.select("id", "key").join(classes.withColumnRenamed("id", "least"), "key").where("id > least").select("id", "key").distinct()
     copies = _sized(scratch.table(copies, "copies"))
     first = lambda sets: sets.where(F.col("id").isNotNull() & (F.col("n") >= smallest)).join(copies, ["id", "key"], "left_anti")
-    sets = first(every).select("id", "n", "pool")
+    sets = first(every).select("id", "n", *SKETCH, "pool")
 
     # the global order, and the size from which inverted lists are cheaper than subsets
     counts = scratch.table(sets.select(F.explode("pool").alias("s")).groupBy("s").count().where("count > 1"), "counts")
@@ -151,31 +221,32 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
     near = scratch.table(_prefixes(sets, heavy, percent), "near")
     short = _sized(near.where("not full").select("id").distinct())
-    far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", "pool"), heavy, percent)
+    far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", *SKETCH, "pool"), heavy, percent)
     cut = near.where("full").unionByName(scratch.table(far, "far")).drop("full")
 
-    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", "p", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
+    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", *SKETCH, "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", *SKETCH, "p", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
     firsts = F.expr("slice(pre, 1, p + 1)").alias("pre")
     subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
-    double = cut.where(F.col("n") < border).select("id", "n", firsts).select("id", "n", F.lit(None).cast("int").alias("p"), F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
+    double = cut.where(F.col("n") < border).select("id", "n", *SKETCH, firsts).select("id", "n", *SKETCH, F.lit(None).cast("int").alias("p"), F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
     entries = single.unionByName(double)
     lists = entries.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sig")
     shared = scratch.table(entries.join(lists, "sig"), "shared")
     # u: elements before place i that stand in no list. The order puts them before the shared shingle, so a partner that
     # has that shingle in its prefix would have them there too
     before = F.row_number().over(Window.partitionBy("id").orderBy("i", "sig")) - 1
-    single = shared.where("p is not null").select("sig", "id", "n", "i", (F.col("i") - before).alias("u"))
-    members = single.unionByName(shared.where("p is null").select("sig", "id", "n", "i", F.lit(0).alias("u")))
+    single = shared.where("p is not null").select("sig", "id", "n", *SKETCH, "i", (F.col("i") - before).alias("u"))
+    members = single.unionByName(shared.where("p is null").select("sig", "id", "n", *SKETCH, "i", F.lit(0).alias("u")))
     members = scratch.table(members, "members")
     # of several members the one with fewest such elements stands for them: it is nearest to what they have in common
     rank = F.struct("u", "id")
-    first_of = [F.min_by(c, rank).alias(d) for c, d in (("id", "b"), ("n", "m"), ("i", "j"), ("u", "v"))]
+    other = {"id": "b", "n": "m", "i": "j", "u": "v"} | {c: f"{c}2" for c in SKETCH}
+    pivots = members.groupBy("sig").agg(*(F.min_by(c, rank).alias(d) for c, d in other.items()))
 
-    # first each member with the pivot that shares most, then whatever the links leave apart
-    # sizes, elements that the partner lacks, and the places i and j of a shared shingle: before them at most min(i, j) are shared
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - u, m - v, 1 + least(i, j) + least(n - i - 1, m - j - 1)) >= ceil({percent} * (n + m) / {100 + percent}.0d)"
-    pairs = members.join(members.groupBy("sig").agg(*first_of), "sig").where(f"id != b and {fits}").select(F.col("id").alias("a"), "b").distinct()
+    # turn 0: each member with one pivot; turn 1: what that leaves apart, of long lists the nearest members of each two
+    # components; turn 2: all that is still apart in long lists
+    pairs = members.join(pivots, "sig").where(f"id != b and {_fits(percent)}").select(F.col("id").alias("a"), "b").distinct()
     pairs = _possible(pairs, cut, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = tried = None
     for turn in range(3):
         pairs = scratch.table(pairs, f"pairs{turn}")
@@ -188,16 +259,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         parts = scratch.table(components(links, scratch, f"turn{turn}"), f"parts{turn}")
         if turn == 2:
             break
-        # lists whose members lie in several components, and of these members' pairs those not tried
+        # lists whose members lie in several components; after turn 1 the short ones are done
         named = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-        named = scratch.table(named.join(mixed, "sig"), f"mixed{turn}")
-        if named.isEmpty():
+        mixed = named.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig", "size")
+        mixed = scratch.table(mixed if turn == 0 else mixed.where(F.col("size") > LISTED), f"mixed{turn}")
+        if mixed.isEmpty():
             break
-        heads = named.groupBy("sig", "component").agg(*first_of) if turn == 0 else named.select("sig", "component", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("u").alias("v"))
-        cross = named.join(heads.withColumnRenamed("component", "other"), "sig").where(f"{'component != other' if turn == 0 else 'component < other'} and {fits}")
-        cross = cross.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        pairs = _possible(cross.join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
+        cross = _chunk_pairs(named, mixed.where(F.col("size") > LISTED), percent, turn == 0)
+        if turn == 0:
+            short = named.join(mixed.where(F.col("size") <= LISTED).select("sig"), "sig")
+            right = short.select("sig", F.col("component").alias("component2"), *(F.col(c).alias(d) for c, d in other.items()))
+            listed = short.join(right, "sig").where(f"id > b and component != component2 and {_fits(percent)}").select(F.col("id").alias("a"), "b")
+            cross = cross.unionByName(listed)
+        pairs = _possible(cross.distinct().join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
 
     of_set = classes.join(parts, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
     out = every.select("id", "key", "n").join(of_set, "key", "left")

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from quillmesh.llm import jaccard_join
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import learn, quality_rules
 from quillmesh.llm.decontaminate import find_leaks
@@ -174,6 +175,21 @@ def test_jaccard_components(spark, width, percent):
     assert sorted((str(r.doc_id), r.component_id) for r in again) == [("7", 7), ("9", 7), ("9", 7), ("None", 7)]
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Near copies around one text, most of them just below the threshold with each other, in lists cut into many chunks."""
+    monkeypatch.setattr(jaccard_join, "LISTED", 4)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    rnd = random.Random(9)
+    base, rows = [f"w{k}" for k in range(90)], []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            del w[rnd.randrange(len(w))]
+        rows.append((len(rows) + 1, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, rows)).collect()}
+    assert got == _components(rows, 3, 90) and 5 < len({c for _, c in got.values()}) < 140
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>é</p>", "<p>é</p>", None, "", "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9, "long " * 600_000, "long " * 600_000, "a\r\nWARC/1.1\r\nb"]
     rows = spark.createDataFrame([(i + 10, f"http://h/{i} a\r\nb", h, "x") for i, h in enumerate(html)] + [(99, None, "q", "x"), (99, None, "q", "x")], "page_id bigint, url string, html string, digest string")
