@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame expressions alone: SimHash of item-sized windows, multi-index Hamming blocks,
 then an exact weighted-shingle similarity.
 
-Each item has anchors, shingles of more than a fifth of its weight: a window of similarity 0.8 holds one of them, so every
-window that covers an anchor is tried, at any offset. Those go on whose shingles of the item, copies not limited, weigh
-enough. Then one of RADIUS + 1 blocks of the fingerprint must equal the item's, which any fingerprint within RADIUS bits
-does, and the distance be within RADIUS; the exact similarity decides.
+A window of similarity 0.8 holds one of an item's heaviest shingles, its anchors. So only windows that cover an anchor of
+some item of their size are fingerprinted, at every offset; the others can't be similar to any item. Fingerprints then find
+their items by a join on block keys: an item is listed under every value within BLOCK_RADIUS bits of each of its blocks, and
+two fingerprints within RADIUS bits agree so far in one block at least. The exact similarity decides.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import Scratch
 
 #: Similar windows differ in about 13 of 64 bits, with a deviation of 3; four deviations more are admitted.
-BITS, RADIUS = 64, 27
+BITS, BLOCKS, RADIUS = 64, 8, 27
+#: Of BLOCKS blocks one differs in so many bits at most.
+BLOCK_BITS, BLOCK_RADIUS = BITS // BLOCKS, RADIUS // BLOCKS
+#: Patterns of so few bits.
+_NEAR = [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= BLOCK_RADIUS]
 #: The low bits of a shingle, its characters: no text has more.
 WEIGHT = (1 << 31) - 1
 #: A side of up to this many short rows is broadcast after counting it; a larger one is shuffled.
 SMALL_SIDE = 200_000
 _SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-_CUTS = [round(j * BITS / (RADIUS + 1)) for j in range(RADIUS + 2)]
 
 
 def _sized(df: DataFrame, bound: int = SMALL_SIDE) -> DataFrame:
@@ -63,9 +66,18 @@ def _simhash(shingles: str) -> str:
     return _let("sh", f"transform({shingles}, q -> struct(xxhash64(q) as h, q & {WEIGHT}L as w))", f"aggregate({bits}, 0L, (a, x) -> a | x)")
 
 
-def _blocks(fingerprint: str) -> str:
+def _block(fingerprint: str, j: int) -> str:
+    return f"(shiftrightunsigned({fingerprint}, {j * BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L)"
+
+
+def _keys(fingerprint: str) -> str:
     """SQL: block number and bits of each block, as one integer."""
-    return f"array({', '.join(f'(shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L) + {j << 8}L' for j, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False)))})"
+    return f"array({', '.join(f'{_block(fingerprint, j)} + {j << BLOCK_BITS}L' for j in range(BLOCKS))})"
+
+
+def _agreeing(x: str) -> str:
+    """SQL: number of the first block of the difference ``x`` with BLOCK_RADIUS bits at most; null if there is none."""
+    return "case " + " ".join(f"when bit_count({_block(x, j)}) <= {BLOCK_RADIUS} then {j}" for j in range(BLOCKS)) + " end"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -98,28 +110,30 @@ def _leaks(source: DataFrame, bench: DataFrame, k: int, percent: int) -> DataFra
     each = spots.groupBy("item_id", "m", "total", "h").agg(F.sum(size).alias("weight"))
     ranked = each.groupBy("item_id", "m", "total").agg(F.array_sort(F.collect_list(F.struct((-size).alias("w"), "h", "weight"))).alias("all"))
     before = f"aggregate(slice(all, 1, i), 0L, (a, y) -> a + y.weight) <= total * {100 - percent} / 100.0d"
-    anchors = ranked.select("item_id", "m", F.explode(F.expr(f"filter(all, (x, i) -> {before})")).alias("x")).select("item_id", "m", F.col("x.h").alias("h"))
-    anchors = _sized(anchors)
+    anchors = ranked.select("m", F.explode(F.expr(f"filter(all, (x, i) -> {before})")).alias("x")).select("m", F.col("x.h").alias("h")).distinct()
 
     hashes = source.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.expr(_shingles("w", k)).alias("hs"))
     places = hashes.select("doc_id", (F.size("hs") + k - 1).alias("n"), F.posexplode("hs").alias("pos", "h"))
     # starts whose window covers the anchor, in blocks of m starts, so that hits beside each other are one row before the shuffle
     block = f"explode(sequence(cast(greatest(0, pos - m + {k}) div m as int), cast(least(pos, greatest(0, n - m)) div m as int)))"
-    starts = places.join(anchors, "h").select("doc_id", "item_id", F.expr(block).alias("block")).distinct()
-    index = bench.select("item_id", "m", "total", "ih", F.expr(_multiset("ih")).alias("im"), F.expr(_simhash("ih")).alias("ifp")).withColumn("iblocks", F.expr(_blocks("ifp")))
+    starts = places.join(_sized(anchors), "h").select("doc_id", "m", F.expr(block).alias("block")).distinct()
     # blocks are few: where counting proves it they go to the texts, else both are shuffled
     windows = _sized(Scratch(source.sparkSession).table(starts, "windows"))
-    texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text"))).drop("text").join(_sized(index, SMALL_SIDE // 50), "item_id")
-    # the shingles of a block's windows, and how many of them a window has
-    spans = texts.withColumn("seg", F.expr(_shingles("slice(w, block * m + 1, 2 * m - 1)", k))).withColumn("g", F.expr(f"least(m, size(w)) - {k - 1}")).drop("w")
-    # no window shares more than its shingles of the item, each copy counted
-    sums = f"struct(s, {_weight('slice(hit, s + 1, g)')} as top, {_weight('slice(seg, s + 1, g)')} as own)"
-    enough = f"filter(transform(sequence(0, size(seg) - g), s -> {sums}), c -> 100 * c.top >= {percent} * greatest(total, c.own))"
-    tried = _let("hit", "transform(seg, x -> if(array_contains(ih, x), x, 0L))", f"if(100 * {_weight('hit')} >= {percent} * total, {enough}, null)")
-    each = spans.select("doc_id", "item_id", "m", "block", "total", "im", "ifp", "iblocks", "seg", "g", F.expr(f"explode(if(g > 0 and size(seg) >= g, {tried}, null))").alias("c"))
-    prints = each.withColumn("h", F.expr("slice(seg, c.s + 1, g)"))
-    near = prints.where(_let("fp", _simhash("h"), f"arrays_overlap({_blocks('fp')}, iblocks) and bit_count(fp ^ ifp) <= {RADIUS}"))
-    # without repeated shingles the bound is the shared weight
-    shared = F.expr(f"if(size(array_distinct(h)) = size(h), c.top, {_weight(f'array_intersect(im, {_multiset("h")})')})")
-    scored = near.select("doc_id", "item_id", F.expr("block * m + c.s").alias("start"), shared.alias("shared"), F.expr("greatest(total, c.own)").alias("most"))
+    texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text")))
+    spans = texts.select("doc_id", "m", "block", F.expr(_shingles("slice(w, block * m + 1, 2 * m - 1)", k)).alias("seg"), F.expr(f"least(m, size(w)) - {k - 1}").alias("g"))
+    each = spans.select("doc_id", "m", "block", "seg", "g", F.expr("explode(if(g > 0 and size(seg) >= g, sequence(0, size(seg) - g), null))").alias("s"))
+    prints = each.select("doc_id", "m", F.expr("block * m + s").alias("start"), F.expr("slice(seg, s + 1, g)").alias("h")).withColumn("fp", F.expr(_simhash("h")))
+
+    # the multi-index: of each two fingerprints that agree in several blocks the first one joins them
+    index = bench.select("item_id", "m", "total", "ih", F.expr(_multiset("ih")).alias("im"), F.expr(_simhash("ih")).alias("ifp"))
+    around = f"explode(flatten(transform({_keys('ifp')}, key -> transform(array({', '.join(f'{x}L' for x in _NEAR)}), x -> key ^ x))))"
+    keys = _sized(index.select("item_id", "m", "ifp", F.expr(around).alias("key")))
+    met = prints.select("*", F.expr(f"explode({_keys('fp')})").alias("key")).join(keys, ["m", "key"])
+    near = met.where(f"bit_count(fp ^ ifp) <= {RADIUS} and {_agreeing('(fp ^ ifp)')} = key div {1 << BLOCK_BITS}").select("doc_id", "item_id", "start", "h")
+
+    both = near.join(_sized(index.select("item_id", "total", "ih", "im"), SMALL_SIDE // 50), "item_id").withColumn("own", F.expr(_weight("h")))
+    # no window shares more than its shingles of the item, each copy counted; without repeated shingles it is just that
+    both = both.withColumn("top", F.expr(_weight("filter(h, x -> array_contains(ih, x))"))).where(f"100 * top >= {percent} * greatest(total, own)")
+    shared = F.expr(f"if(size(array_distinct(h)) = size(h), top, {_weight(f'array_intersect(im, {_multiset("h")})')})")
+    scored = both.select("doc_id", "item_id", "start", shared.alias("shared"), F.expr("greatest(total, own)").alias("most"))
     return scored.where(f"100 * shared >= {percent} * most").select("doc_id", "item_id", "start", F.round(F.col("shared") / F.col("most"), 6).alias("similarity"))

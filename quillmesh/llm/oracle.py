@@ -35,10 +35,11 @@ _WORDS = f"list_filter(string_split_regex({_lower('text')}, '[\\x00-\\x2F\\x3A-\
 
 LEAKS = f"""
 WITH it AS (SELECT item_id, w, len(w) AS m, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-ish AS (SELECT item_id, m, k, i AS ipos, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM it)),
+ish AS (SELECT item_id, m, k, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM it)),
 dsh AS (SELECT doc_id, n, k, i AS pos, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT doc_id, w, len(w) AS n, k, unnest(range(1, len(w) - k + 2)) AS i
   FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT k FROM it))),
-starts AS (SELECT DISTINCT doc_id, item_id, m, k, greatest(1, least(pos - ipos + 1, n - m + 1)) AS st FROM ish JOIN dsh USING (k, h)),
+starts AS (SELECT DISTINCT doc_id, item_id, m, k, unnest(range(greatest(1, pos - m + k), least(pos, greatest(1, n - m + 1)) + 1)) AS st
+  FROM (SELECT DISTINCT item_id, m, k, h FROM ish) JOIN dsh USING (k, h)),
 win AS (SELECT s.doc_id, s.item_id, s.st, d.h, count(*) AS c, any_value(length(replace(d.h, ' ', ''))) AS wt FROM starts s JOIN dsh d ON s.doc_id = d.doc_id AND s.k = d.k AND d.pos BETWEEN s.st AND s.st + s.m - s.k GROUP BY ALL),
 own AS (SELECT item_id, h, count(*) AS ci, any_value(length(replace(h, ' ', ''))) AS wt FROM ish GROUP BY ALL),
 total AS (SELECT item_id, sum(ci * wt) AS t FROM own GROUP BY ALL),
