@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm.url_markov import ALPHABET, MIX, REFUSED, SIZE
+from quillmesh.llm.url_markov import ALPHABET, DECIMALS, DEPTH, HELD_BELOW, LEAST, MIX, SIZE
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -56,28 +56,36 @@ def url_sql(rules: list[tuple[str, str, bool]]) -> str:
     case = lambda values: "CASE " + " ".join(f"WHEN {t} THEN {v}" for t, v in zip(fits, values, strict=True)) + " END"
     name, allow = case([f"'{h}{p}'" for h, p, _ in ordered]), case([str(a).lower() for _, _, a in ordered])
     letters = ALPHABET.replace("'", "''")
+    code = " + ".join(f"x[i + {j}]::BIGINT * {SIZE ** (DEPTH - j)}" for j in range(DEPTH + 1))
+    powers = ", ".join(str(SIZE**k) for k in range(1, DEPTH + 2))
 
     def estimate(side: str) -> str:
-        p = f"((coalesce({side}1, 0) + 0.5) / ((SELECT coalesce(sum({side}), 0) FROM counts) + 0.5 * {SIZE}))"
-        for k in (2, 3):
-            p = f"((coalesce({side}{k}, 0) + {MIX} * {p}) / (coalesce(h{side}{k}, 0) + {MIX}))"
+        p = f"((l0.{side} + 0.5::DOUBLE) / (l0.all_{side} + {0.5 * SIZE}::DOUBLE))"
+        for k in range(1, DEPTH + 1):
+            p = f"(CASE WHEN coalesce(c{k}.all_{side}, 0) >= {LEAST} THEN (coalesce(l{k}.{side}, 0) + {MIX}::DOUBLE * {p}) / (c{k}.all_{side} + {MIX}::DOUBLE) ELSE {p} END)"
         return p
 
-    grams = "\n".join(f"LEFT JOIN (SELECT c3 % {SIZE**k} AS g, sum(good) AS good{k}, sum(bad) AS bad{k} FROM counts GROUP BY ALL) l{k} ON l{k}.g = u.c3 % {SIZE**k}" for k in (1, 2, 3))
-    above = "\n".join(f"LEFT JOIN (SELECT (c3 // {SIZE}) % {SIZE ** (k - 1)} AS g, sum(good) AS hgood{k}, sum(bad) AS hbad{k} FROM counts GROUP BY ALL) h{k} ON h{k}.g = (u.c3 // {SIZE}) % {SIZE ** (k - 1)}" for k in (2, 3))
+    joins = "\n".join(
+        f"LEFT JOIN seen l{k} ON l{k}.k = {k} AND l{k}.key = u.g % {SIZE ** (k + 1)} LEFT JOIN contexts c{k} ON c{k}.k = {k} AND c{k}.context = (u.g // {SIZE}) % {SIZE**k}" for k in range(1, DEPTH + 1)
+    )
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u0 AS (SELECT page_id, {_lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 urls AS (SELECT *, {name} AS rule, {allow} AS allow FROM u0),
-dist AS (SELECT host, path, allow, count(*) AS copies FROM urls WHERE length(host) + length(path) > 0 GROUP BY ALL),
-codes AS (SELECT *, list_concat([1, 1], list_transform(string_split(host || path, ''), lambda c: CASE WHEN instr('{letters}', c) > 0 THEN instr('{letters}', c) + 1 ELSE 0 END)) AS x FROM dist),
-grams AS (SELECT host, path, allow, copies, unnest(list_transform(range(1, len(x) - 1), lambda i: (x[i] * {SIZE} + x[i + 1]) * {SIZE} + x[i + 2])) AS c3 FROM codes),
-counts AS (SELECT c3, sum(CASE WHEN allow THEN copies ELSE 0 END) AS good, sum(CASE WHEN NOT allow THEN copies ELSE 0 END) AS bad FROM grams WHERE allow IS NOT NULL GROUP BY ALL),
-ratios AS (SELECT c3, ln({estimate("good")}) - ln({estimate("bad")}) AS ratio FROM (SELECT DISTINCT c3 FROM grams) u
-{grams}
-{above}),
-scores AS (SELECT host, path, allow, copies, round(avg(ratio), 9) AS score FROM grams JOIN ratios USING (c3) GROUP BY ALL),
-edge AS (SELECT quantile_cont(s, {REFUSED}) AS e FROM (SELECT round(score, 3) AS s, unnest(range(copies)) FROM scores WHERE allow)),
+dist AS (SELECT host, path, allow, count(*) AS copies, allow IS NOT NULL AND NOT md5(host || path)[1] < '{HELD_BELOW}' AS trains FROM urls WHERE length(host) + length(path) > 0 GROUP BY ALL),
+codes AS (SELECT *, list_concat([{", ".join("1" * DEPTH)}], list_transform(string_split(host || path, ''), lambda c: CASE WHEN instr('{letters}', c) > 0 THEN instr('{letters}', c) + 1 ELSE 0 END)) AS x FROM dist),
+grams AS (SELECT host, path, allow, copies, trains, unnest(list_transform(range(1, len(x) - {DEPTH - 1}), lambda i: {code})) AS g FROM codes),
+counts AS (SELECT g, sum(CASE WHEN allow THEN copies ELSE 0 END) AS good, sum(CASE WHEN NOT allow THEN copies ELSE 0 END) AS bad FROM grams WHERE trains GROUP BY ALL),
+seen AS (SELECT k, g % ([{powers}])[k + 1] AS key, sum(good) AS good, sum(bad) AS bad FROM counts, range({DEPTH + 1}) t(k) GROUP BY ALL),
+contexts AS (SELECT k, key // {SIZE} AS context, sum(good) AS all_good, sum(bad) AS all_bad FROM seen GROUP BY ALL),
+firsts AS (SELECT g, coalesce(s.good, 0) AS good, coalesce(s.bad, 0) AS bad, all_good, all_bad FROM (SELECT DISTINCT g FROM grams WHERE NOT trains) LEFT JOIN seen s ON s.k = 0 AND s.key = g % {SIZE}, (SELECT coalesce(sum(good), 0) AS all_good, coalesce(sum(bad), 0) AS all_bad FROM counts)),
+ratios AS (SELECT u.g, ln({estimate("good").replace("l0", "u")}) - ln({estimate("bad").replace("l0", "u")}) AS ratio FROM firsts u
+{joins}),
+scores AS (SELECT host, path, allow, copies, round(avg(ratio), 9) AS score FROM grams JOIN ratios USING (g) WHERE NOT trains GROUP BY ALL),
+steps AS (SELECT round(score, {DECIMALS}) AS s, sum(CASE WHEN allow THEN copies ELSE 0 END) AS good, sum(CASE WHEN allow THEN 0 ELSE copies END) AS bad FROM scores WHERE allow IS NOT NULL GROUP BY ALL),
+shares AS (SELECT s, lag(s) OVER (ORDER BY s) AS below, sum(good) OVER () AS g, sum(bad) OVER () AS b,
+  round(1 - coalesce(sum(good) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (sum(good) OVER ())::DOUBLE + coalesce(sum(bad) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (sum(bad) OVER ())::DOUBLE, 9) AS j FROM steps),
+edge AS (SELECT coalesce(max(e), 0) AS e FROM (SELECT CASE WHEN below IS NULL THEN s ELSE (below + s) / 2 END AS e FROM shares WHERE g > 0 AND b > 0 ORDER BY j DESC, s LIMIT 1)),
 usable AS (SELECT CASE WHEN sum(good) > 0 AND sum(bad) > 0 THEN (SELECT e FROM edge) END AS e FROM counts)
 SELECT page_id, urls.host, urls.path, rule, CASE WHEN urls.allow THEN 'allow' WHEN NOT urls.allow THEN 'block' WHEN s.score < e THEN 'block' ELSE 'allow' END AS verdict
 FROM urls LEFT JOIN scores s ON s.host = urls.host AND s.path = urls.path AND s.allow IS NULL AND urls.allow IS NULL, usable
