@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quillmesh.llm import jaccard_join
+from quillmesh.llm import jaccard_join, license_index
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import learn, quality_rules
 from quillmesh.llm.decontaminate import find_leaks
@@ -222,6 +223,55 @@ def test_licenses(spark):
     assert got[4].labels == "" and got[6].n_base == 0 and got[11].n_words == 0 and got[11].score == 0 and got[14].n_words == 30_000
 
 
+def _aligned(words, templates):
+    """Every label whose text is found from some start: key phrases near their places, enough words in order in the span."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: max(left, row[j], row[j - 1] + 1 if x == b[j - 1] else 0), initial=0))  # noqa: B023
+        return row[-1]
+
+    found = set()
+    for label, text, phrases in templates:
+        mine, keys = license_index.words_of(text), [license_index.words_of(p) for p in phrases]
+        shift = license_index.slack(len(mine))
+        for start in range(-shift, len(words)):
+            span = words[max(0, start - shift) : max(0, start + len(mine) + shift)]
+            near = lambda key: any(words[q : q + len(key)] == key and abs(q - p - start) <= shift for p in range(len(mine)) if mine[p : p + len(key)] == key for q in range(max(0, start + p - shift), start + p + shift + 1))  # noqa: B023, E731
+            if all(map(near, keys)) and common(mine, span) >= license_index.MATCHED * len(mine):
+                found.add(label)
+                break
+    return found
+
+
+def test_licenses_exhaustive(spark):
+    rnd, rows = random.Random(3), []
+    templates = [t for t in license_index.TEMPLATES if len(t[1]) < 400]
+    for label, text, _ in templates:
+        for edits in (0, 1, 2, 4):
+            w = text.split()
+            for _ in range(edits):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randint(0, 1)] = rnd.choice([["of"], ["license"], ["ohne", "und"], []])
+            rows.append((len(rows), " ".join([*rnd.choices(["the", "license", "lorem", "mit", "cc"], k=rnd.randint(0, 12)), *w, *rnd.choices(["of", "public", "ipsum"], k=rnd.randint(0, 12))])))
+    got = by_id(scan_licenses(docs(spark, rows), templates))
+    for i, t in rows:
+        words = license_index.words_of(t)
+        assert set(filter(None, got[i].labels.split(","))) == _aligned(words, templates) | set(filter(None, got[i].base_labels.split(","))), t
+    assert sum(bool(r.labels) for r in got.values()) > len(rows) * 0.6
+
+
+def test_license_texts(spark):
+    """Whole texts, also with other words around and inside; names of licences alone are no text."""
+    texts = [(k, f"intro {t[1][: len(t[1]) // 2]} , inserted words {t[1][len(t[1]) // 2 :]} end") for k, t in enumerate(license_index.TEMPLATES)]
+    got = by_id(scan_licenses(docs(spark, texts)))
+    for k, t in enumerate(license_index.TEMPLATES):
+        assert t[0] in got[k].labels.split(",") or len(t[1]) < 150, t[1]
+    far = "permission is hereby granted free of charge " + "lorem " * 400 + " to deal in the software without restriction"
+    assert scan_licenses(docs(spark, [(1, far), (2, "gnu is a public licence, says the foundation")])).where("labels != ''").count() == 0
+
+
 def test_toxicity_held_out(spark):
     table, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     rows = score_toxicity(table, labels).join(labels, "doc_id").where("held_out").collect()
