@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: The folder of a session without ``spark.checkpoint.dir``; Spark allows no change of that setting.
-_own: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Only a session whose executors are threads of the
+    driver may leave it unset and gets a folder of its own; on a cluster executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not _own:
-        _own.append(tempfile.mkdtemp(prefix="quillmesh-"))
-    return folder or _own[0]
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return own_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"quillmesh-{application}-")
 
 
 class Scratch:
@@ -53,10 +58,11 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep=None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep=None, most_bytes: int | None = None) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents, those with the smallest id hashes.
 
-    ``keep`` restricts the ids. The sample is bounded, so the small side is broadcast and texts don't move.
+    ``keep`` restricts the ids. The sample is bounded, so the small side is broadcast and texts don't move. With
+    ``most_bytes`` it ends before the document whose text would exceed that in all.
     Rows without label, id or text are left out; of repeated labels the largest counts.
     """
     picked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
@@ -64,4 +70,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         picked = picked.where(keep)
     picked = picked.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(picked), "doc_id")
+    sample = texts.join(F.broadcast(picked), "doc_id")
+    if most_bytes is None:
+        return sample
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size")).withColumn("order", F.xxhash64("doc_id"))
+    before = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ``bound`` rows at most
+    fits = sizes.withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= most_bytes).select("doc_id")
+    return sample.join(F.broadcast(fits), "doc_id", "left_semi")

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks that a worker remembers, at most.
-REMEMBERED = 600_000
+#: Chunks of up to 48 characters, and pairs of neighbours, that a worker remembers at most; 25 MB each, until a partition ends.
+REMEMBERED = 100_000
 
 
 class PieceCodec:
@@ -88,7 +88,7 @@ class PieceCodec:
         if got is None:
             pa_, pb = self.pieces[a], self.pieces[b]
             got = self.fits[a, b] = self.merge(pa_ + pb) == [pa_, pb]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > REMEMBERED:
                 self.fits.clear()
         return got
 
@@ -174,9 +174,8 @@ class PieceCodec:
 
     def _keep(self, chunk: str, got: tuple[str, str]) -> tuple[str, str]:
         if len(chunk) <= 48:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[chunk] = got
+            if len(self.seen) < REMEMBERED:
+                self.seen[chunk] = got
         return got
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
@@ -186,6 +185,10 @@ class PieceCodec:
         a, b = (self.seen.get(c) or self._encoded(c) for c in (chunk[:-1], chunk[-1]))
         return self._keep(chunk, (f"{a[0]} {b[0]}", a[1] + b[1]))
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.fits.clear()
+
     def round_trip(self, text: str | None) -> tuple[str, str]:
         """(ids with the end id, in decimal and joined by spaces; the text decoded from them).
 
@@ -229,6 +232,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names=names + ["token_ids"] * keep_ids)
+        c.forget()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)

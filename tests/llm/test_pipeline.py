@@ -6,8 +6,8 @@ import corpus_pipeline
 import sentencepiece
 from test_operators import MODEL, _components, _leaks, _stats
 
-from quillmesh.llm.common import read
-from quillmesh.llm.toxicity_cnn import fit, word_ids
+from quillmesh.llm.common import Scratch, read
+from quillmesh.llm.toxicity_cnn import WordBuckets, fit, word_ids
 
 ROWS = "doc_id bigint, text string, row_key string"
 
@@ -28,9 +28,9 @@ def test_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     model, stages = sentencepiece.SentencePieceProcessor(model_file=MODEL), [f for _, f in corpus_pipeline.STAGES]
     items = [(r.item_id, r.text) for r in read(spark, sf, "benchmark").collect()]
-    before = read(spark, sf, "documents").localCheckpoint()
+    before = read(spark, sf, "documents")
     for k, stage in enumerate(stages):
-        after = stage(spark, before, sf).localCheckpoint()
+        after = Scratch(spark).table(stage(spark, before, sf), "after")
         rows, got = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
         texts = [(i, r.text) for i, r in rows.items()]
         assert len(rows) == before.count() and len(got) == after.count() > 0 and (k == 4 or all(rows[i] == r for i, r in got.items()))
@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark):
             assert not [i for i in got if words[i] < 10 or 100 * repeats[i] > 20 * words[i]]
         elif k == 1:
             cnn, cuts = fit(before, read(spark, sf, "labels"))
-            assert set(got) == {i for i, r in rows.items() if cnn.scores([word_ids(r.text)], cnn.tables())[0] < cuts.get(r.lang, 0.5)}
+            assert set(got) == {i for i, r in rows.items() if cnn.scores([word_ids(r.text, WordBuckets())], cnn.tables())[0] < cuts.get(r.lang, 0.5)}
         elif k == 2:
             assert set(got) == {i for i, (_, top) in _components(texts, 5, 80).items() if i == top}
         elif k == 3:
