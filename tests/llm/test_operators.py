@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -23,7 +24,7 @@ from quillmesh.llm.pair_rank import rank_quality
 from quillmesh.llm.piece_codec import codec, encode_documents
 from quillmesh.llm.toxicity_cnn import filter_toxic, score_toxicity
 from quillmesh.llm.url_markov import judge_urls
-from quillmesh.llm.warc_chunks import archive_round_trip, chunk_table
+from quillmesh.llm.warc_chunks import archive_round_trip, chunk_table, read_archives
 
 DATA = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -214,6 +215,25 @@ def test_warc_repeated_chunked_rows(spark, tmp_path):
     assert got == [*[("7", len(big), "response", digest)] * 4, ("8", len(big), "revisit", digest), ("None", len(big), "revisit", digest)]
 
 
+def test_warc_members(spark, tmp_path):
+    """A multi-byte character cut at a chunk's edge, and files of one gzip member for each record."""
+    html = ["x" + "é" * 700_000, "x" + "é" * 700_000, "short", None]
+    rows = spark.createDataFrame([(k, "http://h/ü", h) for k, h in enumerate(html)], "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.payload_bytes, r.payload_digest) for r in archive_round_trip(rows, path=str(tmp_path / "w")).collect())
+    sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    assert got == [(k, "revisit" if k == 1 else "response", len((h or "").encode()), sha(h)) for k, h in enumerate(html)]
+    blocks = [r.data for r in read_archives(spark, str(tmp_path / "w")).where("page_id = 0").orderBy("chunk").collect()]
+    assert len(blocks) == 2 and b"".join(blocks) == html[0].encode()
+    records = []
+    for file in (tmp_path / "w").glob("part-*.warc.gz"):
+        raw = file.read_bytes()
+        while raw:
+            member = zlib.decompressobj(31)
+            records.append(member.decompress(raw))
+            raw = member.unused_data
+    assert sum(r.startswith(b"WARC/1.1\r\n") and r.count(b"WARC-Type") == 1 for r in records) == 5 and all(r.startswith(b"WARC") or r == b"" for r in records)
+
+
 def test_licenses(spark):
     texts = {1: "x Under the MIT License, under the mit license", 2: "See CC BY-NC 4.0", 3: "licensed under the GNU General Public License, version 3.", 4: "the general public license of words", 5: "Apache License, Version 2.0", 6: "under the mit licenses"}
     got = by_id(scan_licenses(docs(spark, [*texts.items(), *((i and i + 10, t) for i, t in ODD)])))
