@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ APART = RAW | frozenset("head nav footer aside button select option dialog menu
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+SLASHED = BLOCK | {"a", "b", "i", "em", "strong", "span"}
 LISTS = frozenset("ul ol dl table".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
 #: An open element of the second kind ends when a start tag of the first kind comes.
@@ -41,15 +43,15 @@ HEADS = frozenset("header masthead".split())
 #: Names that layouts and scripts give to wrappers of a whole page too; the others name what stands beside an article.
 WRAPPERS = HEADS | frozenset("form hidden modal overlay popup search login signup toolbar".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/>]|$))", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The usual form of a tag; others are read attribute by attribute.
+PLAIN, PLAIN_ATTR = re.compile(r'<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+="[^"<>]*")*)>'), re.compile(r'([a-zA-Z-]+)="([^"]*)"')
+GAP, ATTR, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 SPACE = re.compile(r"\s+")
-#: Unlisted ends of a raw element run to the end of the page.
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "apart", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen", "doubt")
+    __slots__ = ("tag", "up", "kids", "apart", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen", "doubt", "in_text")
 
     def __init__(self, tag: str, up: Node | None, apart: bool, doubt: str = ""):
         self.tag, self.up, self.apart, self.doubt = tag, up, apart, doubt
@@ -57,12 +59,7 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.chosen = False
-
-
-def _in_text(node: Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main", "section"):
-        node = node.up
-    return node is not None
+        self.in_text = tag in ("article", "main", "section") or (up is not None and up.in_text)
 
 
 def _named(value: str, up: Node) -> str:
@@ -72,28 +69,30 @@ def _named(value: str, up: Node) -> str:
         names = APART_NAMES.intersection(parts)
         if not names or not APART_NAMES.union(PLACES).issuperset(parts):
             continue
-        if names <= HEADS and (not {"page", "post", "posts", "article", "articles", "entry", "section"}.isdisjoint(parts) or _in_text(up)):
+        if names <= HEADS and (not {"page", "post", "posts", "article", "articles", "entry", "section"}.isdisjoint(parts) or up.in_text):
             continue
         return "named" if names <= WRAPPERS else "beside"
     return ""
 
 
-def _doubt(tag: str, attrs: str, up: Node) -> str:
-    """Why an element may be boilerplate unless it turns out to hold the article: "", "named" or "beside"."""
+def _doubt(tag: str, attrs: dict[str, str], up: Node) -> str:
+    """Why an element may be boilerplate unless it turns out to hold the article: "", "named" or "beside".
+
+    Class, id and role of inline elements within prose say nothing: they mark words of a sentence.
+    """
     if tag in ("html", "body", "article", "main"):
         return ""
     found = "named" if tag == "form" else ""
-    for name, *values in ATTR.findall(attrs or ""):
-        value, name = "".join(values).strip(), name.lower()
-        if name in ("class", "id"):
-            found = found or _named(value, up)
-        elif name == "role":
-            if value.lower() in APART_ROLES:
-                found = "named" if value.lower() in ("form", "search", "dialog") else "beside"
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            found = found or "named"
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            found = found or "named"
+    if not attrs:
+        return found
+    words = tag not in BLOCK and (up.tag in PROSE or up.tag not in BLOCK)
+    for name in () if words else ("class", "id"):
+        found = found or _named(attrs.get(name, ""), up)
+    role = attrs.get("role", "").strip().lower()
+    if role in APART_ROLES and not words:
+        found = "named" if role in ("form", "search", "dialog") else "beside"
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
+        found = found or "named"
     return found
 
 
@@ -120,61 +119,145 @@ def _settle(root: Node) -> None:
         node.apart = (node.up is not None and node.up.apart) or (node.doubt != "" and not spared)
 
 
+NONE: dict[str, str] = {}
+
+
+class Scanner:
+    """Texts and tags of a page in order, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.low, self.at = page, None, 0
+        #: Marks known not to come any more, which are never searched for again.
+        self.gone: set[str] = set()
+
+    def find(self, mark: str, start: int) -> int:
+        if mark in self.gone:
+            return -1
+        at = self.page.find(mark, start)
+        if at < 0:
+            self.gone.add(mark)
+        return at
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """Attributes from ``at`` on by the rules of HTML, the first of a name, and the place after ``>``; -1 without one."""
+        page, end, found = self.page, len(self.page), {}
+        while True:
+            at = GAP.match(page, at).end()
+            if at >= end:
+                return found, -1
+            if page[at] == ">":
+                return found, at + 1
+            m = ATTR.match(page, at)
+            name, value, at = m.group().lower(), "", m.end()
+            if m := EQUALS.match(page, at):
+                at = m.end()
+                if page[at : at + 1] in ("'", '"') and (close := self.find(page[at], at + 1)) >= 0:
+                    value, at = page[at + 1 : close], close + 1
+                else:
+                    m = BARE.match(page, at)
+                    value, at = m.group(), m.end()
+            found.setdefault(name, html.unescape(value) if "&" in value else value)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The place after the end tag of a raw element, the page's end without one."""
+        if self.low is None:
+            # ASCII letters only, so that places stay the same
+            self.low = self.page.translate({c: c + 32 for c in range(65, 91)})
+        mark = f"</{tag}"
+        while (at := self.low.find(mark, at)) >= 0:
+            at += len(mark)
+            if self.page[at : at + 1] in (" ", "\t", "\n", "\f", "\r", "/", ">"):
+                close = self.find(">", at)
+                return len(self.page) if close < 0 else close + 1
+        return len(self.page)
+
+    def tokens(self) -> Iterator[tuple[str, str, dict[str, str]]]:
+        """(kind, tag or text, attributes) with kind "text", "open", "void" (a tag that ends in a slash) or "close"."""
+        page, end = self.page, len(self.page)
+        while self.at < end:
+            start = self.find("<", self.at)
+            if start < 0:
+                yield "text", page[self.at :], NONE
+                return
+            if start > self.at:
+                yield "text", page[self.at : start], NONE
+            if m := PLAIN.match(page, start):
+                close, tag, rest = m.groups()
+                self.at = m.end()
+                attrs = {k.lower(): html.unescape(v) for k, v in reversed(PLAIN_ATTR.findall(rest))} if rest else NONE
+                yield "close" if close else "open", tag.lower(), attrs
+                continue
+            mark, closes = page[start + 1 : start + 2], page.startswith("</", start)
+            if m := NAME.match(page, start + 1 + closes):
+                tag, at = m.group().lower(), m.end()
+                attrs, at = ({}, at + 1) if page[at : at + 1] == ">" else self.attributes(at)
+                if at < 0:  # the page ends inside a tag
+                    return
+                self.at = at
+                yield "close" if closes else "void" if page[at - 2] == "/" else "open", tag, attrs
+            elif mark and mark in "!?/":
+                if page.startswith("<!--", start):
+                    close = self.find("-->", start + 4)
+                    # <!--> and <!---> are whole comments
+                    self.at = start + (5 if page.startswith("<!-->", start) else 6) if page.startswith(("<!-->", "<!--->"), start) else end if close < 0 else close + 3
+                elif page.startswith("<![CDATA[", start) and (close := self.find("]]>", start)) >= 0:
+                    yield "data", page[start + 9 : close], NONE
+                    self.at = close + 3
+                else:
+                    close = self.find(">", start)
+                    self.at = end if close < 0 else close + 1
+            else:
+                yield "text", "<", NONE
+                self.at = start + 1
+
+
 def parse(page: str) -> Node:
     """A tree of nodes and texts; unclosed and stray tags are repaired, character references decoded."""
     root = top = Node("html", None, False)
-    at, end = 0, len(page)
-
-    def text(s: str) -> None:
-        if s:
-            top.kids.append(html.unescape(s) if "&" in s else s)
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        cdata, close, tag, attrs = m.groups()
-        if tag is None:
-            if cdata:
-                top.kids.append(cdata)
-            continue
-        tag = tag.lower()
-        if close:
-            node = top
-            while node is not None and node.tag != tag:
-                node = node.up
-            if node is not None and node.up is not None:
-                top = node.up
+    open_tags: Counter[str] = Counter()  # so that nothing is looked for that isn't there
+    scan = Scanner(page)
+
+    def leave(node: Node) -> None:
+        nonlocal top
+        while top is not node:
+            open_tags[top.tag] -= 1
+            top = top.up
+
+    for kind, tag, attrs in scan.tokens():
+        if kind in ("text", "data"):
+            top.kids.append(html.unescape(tag) if "&" in tag and kind == "text" else tag)
             continue
         if tag == "html":
             continue
-        if tag in ENDS_P and top.tag != "html":
+        if kind == "close":
+            if open_tags[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.up
+                leave(node.up)
+            continue
+        if tag in ENDS_P and open_tags["p"]:
             node = top
             while node.up is not None and node.tag != "p" and node.tag not in ENDS_P and node.tag not in ("td", "th", "body"):
                 node = node.up
             if node.tag == "p":
-                top = node.up
-        if tag in ENDS:
+                leave(node.up)
+        if tag in ENDS and any(open_tags[t] for t in ENDS[tag]):
             node, fence = top, FENCE.get(tag, ())
             while node.up is not None and node.tag not in ENDS[tag] and node.tag not in fence:
                 node = node.up
             if node.tag in ENDS[tag]:
-                top = node.up
+                leave(node.up)
                 if tag == "tr" and top.tag == "tr":
-                    top = top.up
-        hard = top.apart or tag in APART or (tag == "header" and not _in_text(top))
+                    leave(top.up)
+        hard = top.apart or tag in APART or (tag == "header" and not top.in_text)
         node = Node(tag, top, hard, "" if hard else _doubt(tag, attrs, top))
         top.kids.append(node)
         if tag in RAW:
-            m = RAW_END[tag].search(page, at)
-            at = m.end() if m else end
-        elif tag not in VOID and not attrs.endswith("/"):
+            scan.at = scan.raw_end(tag, scan.at)
+        elif tag not in VOID and (kind == "open" or tag in SLASHED):  # HTML ignores the slash of a tag that isn't void
+            open_tags[tag] += 1
             top = node
-        elif tag not in VOID and tag in BLOCK | {"a", "b", "i", "em", "strong", "span"}:
-            top = node  # HTML ignores the slash of a tag that isn't void
     return root
 
 

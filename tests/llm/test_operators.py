@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,24 @@ def test_main_text_keeps_layout_elements():
     assert main_text(f"<article><h1>Title</h1>{text}</article>{talk}<form>Your mail <input></form>").split("\n") == want
 
 
+def test_main_text_odd_markup():
+    assert main_text("<p title=it's>Hello</p><p>don't</p>") == "Hello\ndon't"
+    assert main_text("<article><p>Our market <span class='share'>share</span> rose <a class=related href=x>again</a>.</p></article>") == "Our market share rose again."
+    assert main_text('<p class="a"id=b data-x = \'1>2\' hidden>No</p><p CLASS=x/>1 < 2 &lt; 3 <3</p><!--> a --><?php x ?><![CDATA[<raw>]]></ p>end<!-- open') == "1 < 2 < 3 <3\na --><raw>end"
+    assert main_text("<p>a<script>if (1 </scripts> 2</script >b</SCRIPT>c<style></style/>d") == "abcd"
+    assert main_text("text <a href='unclosed") == "text"
+    wide, text = "<div class='content has-sidebar'>", "".join(f"<p>body {k} {'x' * 90}</p>" for k in range(5))
+    for opening in (wide, "<div class='post no-comments'>", "<div class='entry form-feed'>", "<div id='page'>"):
+        assert main_text(f"{opening}{text}</div>").count("\n") == 4
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<![CDATA[ ", "<a x='", '<a x="', "<!-", "<script", "</x>", "<div></p>", "<b><hr>", "</script ", "<header class=share>", "<", "<p><b>", "<li><i>"])
+def test_main_text_takes_linear_time(piece):
+    began = time.process_time()
+    main_text("<p>text</p>" + piece * (300_000 // len(piece)))
+    assert time.process_time() - began < 6
+
+
 def test_pieces_equal_library(spark):
     model, rnd = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(5)
     letters = "ab \n\t▁ theé😀中文Ω\x00 ingtion<>s/0x9A"
