@@ -46,6 +46,7 @@ APART_ROLES = frozenset("navigation banner contentinfo complementary search form
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The usual form of a tag; others are read attribute by attribute.
 PLAIN, PLAIN_ATTR = re.compile(r'<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+="[^"<>]*")*)>'), re.compile(r'([a-zA-Z-]+)="([^"]*)"')
+RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\f\r/>])", re.I) for t in RAW}
 GAP, ATTR, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 SPACE = re.compile(r"\s+")
 
@@ -126,7 +127,7 @@ class Scanner:
     """Texts and tags of a page in order, each character looked at a bounded number of times."""
 
     def __init__(self, page: str):
-        self.page, self.low, self.at = page, None, 0
+        self.page, self.at = page, 0
         #: Marks known not to come any more, which are never searched for again.
         self.gone: set[str] = set()
 
@@ -160,16 +161,9 @@ class Scanner:
 
     def raw_end(self, tag: str, at: int) -> int:
         """The place after the end tag of a raw element, the page's end without one."""
-        if self.low is None:
-            # ASCII letters only, so that places stay the same
-            self.low = self.page.translate({c: c + 32 for c in range(65, 91)})
-        mark = f"</{tag}"
-        while (at := self.low.find(mark, at)) >= 0:
-            at += len(mark)
-            if self.page[at : at + 1] in (" ", "\t", "\n", "\f", "\r", "/", ">"):
-                close = self.find(">", at)
-                return len(self.page) if close < 0 else close + 1
-        return len(self.page)
+        m = RAW_END[tag].search(self.page, at)
+        close = self.find(">", m.end()) if m else -1
+        return len(self.page) if close < 0 else close + 1
 
     def tokens(self) -> Iterator[tuple[str, str, dict[str, str]]]:
         """(kind, tag or text, attributes) with kind "text", "open", "void" (a tag that ends in a slash) or "close"."""
