@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators.shared import written
@@ -16,11 +16,10 @@ from quillmesh.operators.shared import written
 REWRITE = 16
 
 
-def top_edges(pairs: DataFrame, src: str, dst: str, k: int = 1) -> DataFrame:
-    """The ``k`` most frequent ``dst`` of each ``src`` as (src, dst, n); of equal counts the smallest ``dst``."""
-    from pyspark.sql import Window
-
-    counted = pairs.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.count("*").alias("n"))
+def top_edges(pairs: DataFrame, src: str, dst: str, k: int = 1, weight: str | None = None) -> DataFrame:
+    """The ``k`` most frequent ``dst`` of each ``src`` as (src, dst, n), rows counted or ``weight`` added up; of equal counts
+    the smallest ``dst``."""
+    counted = pairs.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     w = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
     return counted.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
@@ -48,9 +47,37 @@ def dependents(edges: DataFrame, depth: int | None = None) -> DataFrame:
     return closure(turned, depth).select(F.col("src").alias("node"), F.col("dst").alias("dependent"), "depth")
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without an edge in or out are taken away again and again: all cycles lie among them."""
+    e = written(edges.select("src", "dst").distinct())
+    before = None
+    for _ in count():
+        left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = written(left.select("src", "dst"))
+        now = e.count()
+        if now == before:
+            return e
+        before = now
+
+
 def cycle_members(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, length): nodes on a cycle and the length of the shortest through them."""
-    return closure(edges, depth).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length"))
+    """(node, length): nodes on a cycle and the length of the shortest through them. Only what may lie on cycles is walked."""
+    return closure(on_cycles(edges), depth).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length"))
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, value: str = "value") -> DataFrame:
+    """(node, value): ``seeds(node, value)`` and every value of a node that it reaches over ``edges(src, dst)``, as a function
+    has the effects of those it calls. Each round carries only new pairs one edge back, until there are none."""
+    step = written(edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
+    seen = frontier = written(seeds.select("node", value).distinct())
+    for d in count(1):
+        ahead = frontier.withColumnRenamed("node", "_to").join(step, "_to").select("node", value).distinct()
+        frontier = written(ahead.join(seen, ["node", value], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+        if d % REWRITE == 0:
+            seen = written(seen)
 
 
 def mutual_edges(edges: DataFrame) -> DataFrame:
@@ -61,12 +88,12 @@ def mutual_edges(edges: DataFrame) -> DataFrame:
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, nodes: int) -> DataFrame:
-    """(path): simple paths of 2 to ``nodes`` nodes from each node of ``start(src)``."""
-    e = edges.select("src", "dst").distinct()
+    """(path): simple paths of 2 to ``nodes`` nodes from each node of ``start(src)``. Each length is written once."""
+    e = written(edges.select("src", "dst").distinct())
     paths = e.join(start.select("src").distinct(), "src", "left_semi").where("src != dst").select(F.array("src", "dst").alias("path"))
     found = paths
     for _ in range(nodes - 2):
-        paths = paths.join(e, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        paths = written(paths.join(e, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
         found = found.unionByName(paths)
     return found
 
@@ -99,22 +126,37 @@ def simple_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     return found
 
 
-def dominators(edges: DataFrame, root: int) -> DataFrame:
+def dominators(edges: DataFrame, root: int | None = None, roots: DataFrame | None = None, key: str = "graph") -> DataFrame:
     """(node, dominator): d dominates n if n can't be reached from the root without d; every reachable node dominates itself.
 
-    All removals are tried at once: the closure carries the removed node as part of the source.
+    With ``roots(key, node)`` many graphs at once, ``edges`` has the key too and so have the rows returned. Dominator sets
+    shrink from a node's first one along edges until nothing changes: a node keeps what all its predecessors have, and itself,
+    so that no pairs of unrelated nodes arise.
     """
-    e = edges.select("src", "dst").distinct()
-    reach = written(closure(e, start=e.select(F.lit(root).cast(e.schema["src"].dataType).alias("src"))).select(F.col("dst").alias("node")).union(e.select(F.lit(root).cast(e.schema["src"].dataType))).distinct())
-    out = reach.select(F.col("node").alias("out"))
-    seen = frontier = written(out.where(F.col("out") != root).select("out", F.lit(root).cast(e.schema["src"].dataType).alias("node")))
-    for d in count(2):
-        ahead = frontier.join(e, frontier["node"] == e["src"]).where("dst != out").select("out", F.col("dst").alias("node")).distinct()
-        frontier = written(ahead.join(seen, ["out", "node"], "left_anti"))
+    if roots is None:
+        one = edges.withColumn(key, F.lit(0))
+        return dominators(one, roots=one.select(key, F.lit(root).cast(one.schema["src"].dataType).alias("node")).distinct(), key=key).drop(key)
+    e = written(edges.select(key, "src", "dst").where("src != dst").distinct())
+    # a path to each node gives its first set, from the root down; dominators lie on every path
+    seen = frontier = written(roots.select(key, "node", F.array("node").alias("path")))
+    for d in count(1):
+        ahead = frontier.join(e.withColumnRenamed("src", "node"), [key, "node"]).select(key, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        new = ahead.join(seen.select(key, "node"), [key, "node"], "left_anti")
+        frontier = written(new.groupBy(key, "node").agg(F.min("path").alias("path")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if d % REWRITE == 0:
             seen = written(seen)
-    every = reach.join(out)  # nodes of one control-flow graph
-    return every.join(seen, ["out", "node"], "left_anti").select("node", F.col("out").alias("dominator"))
+    sets = written(seen.withColumnRenamed("path", "doms"))
+    inner = written(e.join(roots.select(key, F.col("node").alias("dst")), [key, "dst"], "left_anti").join(sets.select(key, F.col("node").alias("src")), [key, "src"], "left_semi"))
+    common = F.expr("aggregate(slice(held, 2, size(held)), held[0], (a, x) -> array_intersect(a, x))")
+    while True:
+        above = inner.join(sets.withColumnRenamed("node", "src"), [key, "src"]).groupBy(key, F.col("dst").alias("node")).agg(F.collect_set("doms").alias("held"))
+        above = above.select(key, "node", common.alias("above"))
+        after = sets.join(above, [key, "node"], "left")
+        after = after.select(key, "node", F.when(F.col("above").isNull(), F.col("doms")).otherwise(F.array_intersect("doms", F.array_append("above", F.col("node")))).alias("after"), F.size("doms").alias("was"))
+        after = written(after)
+        if after.where("size(after) < was").isEmpty():
+            return sets.select(key, "node", F.explode("doms").alias("dominator"))
+        sets = after.select(key, "node", F.col("after").alias("doms"))

@@ -24,19 +24,39 @@ def at_least(df: DataFrame, column: str, order: list[str], least: str, null_pass
 
 
 def first_match(candidates: list[DataFrame], group: list[str], order: list[str], action: str = "action", stop: str = "stop") -> DataFrame:
-    """The first candidate row of each group by ``order``; groups whose first is a stop row vanish."""
+    """The first candidate row of each group by ``order``; groups whose first is a stop row vanish. For candidates of unlike
+    sources; steps over one table are a ``ladder``."""
     rows = reduce(DataFrame.unionByName, candidates)
-    w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").where(F.col(action) != stop)
+    return _first_of(rows, group, order).where(F.col(action) != stop)
 
 
-def interval_lookup(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, low: str, high: str, first_by: list[str] | None = None, point_key: list[str] | None = None) -> DataFrame:
-    """Points joined to the ranges of their key that hold them; with ``first_by`` the first range of each point only."""
-    hit = points.join(ranges, keys).where(F.col(point).between(F.col(low), F.col(high)))
-    if first_by is None:
-        return hit
-    w = Window.partitionBy(*point_key).orderBy(*first_by)
-    return hit.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def _first_of(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group, by a grouped minimum, which combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in group]
+    first = rows.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*group, *(F.col(f"_first.`{c}`").alias(c) for c in rest)).select(*rows.columns)
+
+
+def ladder(rows: DataFrame, steps: list[tuple[str, str]], group: list[str], order: list[str], keep: list[str], stop: str = "stop") -> DataFrame:
+    """``group``, ``keep``, step and action of the first row of each group, by ``order`` and then step, that a step's condition
+    admits. ``steps`` are (condition, action), numbered from 1; groups whose first action is ``stop`` vanish. One scan."""
+    step = F.coalesce(*(F.when(F.expr(test), F.lit(k)) for k, (test, _) in enumerate(steps, 1)))
+    admitted = rows.select(*group, *dict.fromkeys([*order, *keep]), step.alias("step")).where("step is not null")
+    action = F.element_at(F.array(*(F.lit(a) for _, a in steps)), F.col("step"))
+    first = _first_of(admitted, group, [*order, "step"]).withColumn("action", action).where(F.col("action") != stop)
+    return first.select(*group, *keep, "step", "action")
+
+
+def interval_lookup(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, low: str, high: str, first_by: list[str] | None = None, point_key: list[str] | None = None, width: float = 1.0) -> DataFrame:
+    """Points joined to the ranges, of equal ``keys`` if any, that hold them; with ``first_by`` the first range of each point only.
+
+    Points and ranges meet by bins of ``width``: a range is listed in each bin it touches, a point in its own. Choose
+    ``width`` near the usual range, so that ranges touch few bins and bins hold few points. Null ends hold nothing.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
+    listed = ranges.where(f"`{low}` <= `{high}`").withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    hit = points.withColumn("_bin", bin_of(point)).join(listed, [*keys, "_bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_bin")
+    return hit if first_by is None else _first_of(hit, point_key, first_by)
 
 
 def resolve_first(wanted: DataFrame, key: str, candidates: Column, known: DataFrame, name: str) -> DataFrame:
@@ -47,8 +67,9 @@ def resolve_first(wanted: DataFrame, key: str, candidates: Column, known: DataFr
 
 
 def last_write(df: DataFrame, key: list[str], order: str, *values: str) -> DataFrame:
-    """The values of the row with the largest ``order`` of each key."""
-    return df.groupBy(*key).agg(*(F.max_by(v, order).alias(v) for v in values))
+    """The values of the row with the largest ``order`` of each key, all from one row where several share it."""
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias("_last"))
+    return last.select(*key, *(F.col(f"_last.`{v}`").alias(v) for v in values))
 
 
 def changed_set(*lists: DataFrame) -> DataFrame:
@@ -89,7 +110,8 @@ def consecutive(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
 
 def unignored_lines(df: DataFrame, key: str, text: str, same: str, before: str) -> DataFrame:
     """(key, line_no, line): non-blank lines that neither match ``same`` nor follow a line that matches ``before``."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    prev = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
-    lines = lines.withColumn("prev", prev)
-    return lines.where((F.trim("line") != "") & ~F.col("line").rlike(same) & ~F.coalesce(F.col("prev").rlike(before), F.lit(False))).select(key, "line_no", "line")
+    # each line beside the one before it, inside the row's array: nothing is shuffled
+    cut = df.select(key, F.split(F.col(text), "\n").alias("line"))
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("line", 1, F.size("line") - 1)).alias("prev")
+    rows = cut.select(key, "line", prev).select(key, F.posexplode(F.arrays_zip("line", "prev")).alias("line_no", "x")).select(key, "line_no", "x.line", "x.prev")
+    return rows.where((F.trim("line") != "") & ~F.col("line").rlike(same) & ~F.coalesce(F.col("prev").rlike(before), F.lit(False))).select(key, "line_no", "line")

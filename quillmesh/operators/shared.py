@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in ``spark.checkpoint.dir``; a local folder where that is unset, as in tests."""
+    """The same rows from a checkpoint in ``spark.checkpoint.dir``. Only a session whose executors are threads of the driver
+    may leave that unset and gets a folder of its own; on a cluster executors would write to their own disks."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmesh-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmesh-"))
     return df.checkpoint()

@@ -32,8 +32,10 @@ def trade(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Edges from each customer nation to the nations of most of its suppliers."""
     li, o = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c, s = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    pairs = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
-    return graph.top_edges(pairs, "c_nationkey", "s_nationkey", k)
+    # few distinct (order, nation) rows are left for the joins with orders and customers
+    sold = li.join(s, li.l_suppkey == s.s_suppkey).groupBy("l_orderkey", "s_nationkey").agg(F.count("*").alias("n"))
+    pairs = sold.join(o, sold.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+    return graph.top_edges(pairs, "c_nationkey", "s_nationkey", k, "n")
 
 
 def _edges(k: int) -> str:
@@ -86,19 +88,17 @@ _BANDS = "SELECT o_orderpriority AS p, min(o_totalprice) / 1000 AS lo, avg(o_tot
 
 
 def _bands(spark, d):
-    return table(spark, d, "orders").groupBy(F.lit(1).alias("k"), F.col("o_orderpriority").alias("p")).agg((F.min("o_totalprice") / 1000).alias("lo"), (F.avg("o_totalprice") / 1000).alias("hi"))
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg((F.min("o_totalprice") / 1000).alias("lo"), (F.avg("o_totalprice") / 1000).alias("hi"))
 
 
 @query(f"SELECT p, event_type, count(*) AS n FROM events JOIN ({_BANDS}) ON value BETWEEN lo AND hi GROUP BY ALL")
 def interval_lookup(spark, d):
-    ev = table(spark, d, "events").withColumn("k", F.lit(1))
-    return rel.interval_lookup(ev, _bands(spark, d), ["k"], "value", "lo", "hi").groupBy("p", "event_type").agg(F.count("*").alias("n"))
+    return rel.interval_lookup(table(spark, d, "events"), _bands(spark, d), [], "value", "lo", "hi", width=10.0).groupBy("p", "event_type").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT p, event_type, count(*) AS n FROM (SELECT event_id, event_type, p, row_number() OVER (PARTITION BY event_id ORDER BY p) AS rn FROM events JOIN ({_BANDS}) ON value BETWEEN lo AND hi) WHERE rn = 1 GROUP BY ALL")
 def first_in_interval(spark, d):
-    ev = table(spark, d, "events").withColumn("k", F.lit(1))
-    return rel.interval_lookup(ev, _bands(spark, d), ["k"], "value", "lo", "hi", ["p"], ["event_id"]).groupBy("p", "event_type").agg(F.count("*").alias("n"))
+    return rel.interval_lookup(table(spark, d, "events"), _bands(spark, d), [], "value", "lo", "hi", ["p"], ["event_id"], width=10.0).groupBy("p", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey, o_orderstatus FROM orders SEMI JOIN (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' UNION
@@ -134,9 +134,8 @@ def resolve_first(spark, d):
   SELECT l_orderkey, l_linenumber, 2, 'stop' FROM lineitem WHERE l_returnflag = 'A' UNION ALL
   SELECT l_orderkey, l_linenumber, 3, 'confirmed' FROM lineitem WHERE l_quantity > 30)) WHERE rn = 1 AND action <> 'stop'""")
 def rule_ladder(spark, d):
-    li = table(spark, d, "lineitem")
-    step = lambda where, k, action: li.where(where).select("l_orderkey", "l_linenumber", F.lit(k).alias("step"), F.lit(action).alias("action"))
-    return rel.first_match([step("l_discount < 0.02", 1, "safe"), step("l_returnflag = 'A'", 2, "stop"), step("l_quantity > 30", 3, "confirmed")], ["l_orderkey"], ["l_linenumber", "step"])
+    steps = [("l_discount < 0.02", "safe"), ("l_returnflag = 'A'", "stop"), ("l_quantity > 30", "confirmed")]
+    return rel.ladder(table(spark, d, "lineitem"), steps, ["l_orderkey"], ["l_linenumber"], ["l_linenumber"])
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('3-MEDIUM', '2-HIGH', '1-URGENT')")

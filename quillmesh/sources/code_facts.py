@@ -32,15 +32,16 @@ def likely_react(files: DataFrame) -> DataFrame:
 
 
 def _found(files: DataFrame, pattern: str, *groups: str) -> DataFrame:
-    """(path, ord, line, one column per group) of each match, in file order."""
-    hits = F.regexp_extract_all("content", F.lit(f"(?s)({pattern})"), F.lit(1))
-    rows = files.select("path", "content", F.posexplode(hits).alias("ord", "hit"))
-    # equal hits of a file: the n-th stands after n - 1 others
-    w = Window.partitionBy("path", "hit").orderBy("ord")
-    rows = rows.withColumn("nth", F.row_number().over(w))
-    before = F.expr("substring_index(content, hit, nth)")
-    line = F.length(F.regexp_replace(before, "[^\n]", "")) + 1
-    return rows.select("path", "ord", line.alias("line"), *(F.regexp_extract("hit", f"(?s){pattern}", k).alias(g) for k, g in enumerate(groups, 1)))
+    """(path, ord, line, one column per group) of each match, in file order.
+
+    The text is cut before and after each match; the lines of the cuts before it add up to its own.
+    """
+    cut = F.split(F.regexp_replace(F.translate("content", "\u0001\u0002", "  "), f"(?s)({pattern})", "\u0001$1\u0002"), "[\u0001\u0002]")
+    rows = files.select("path", F.posexplode(cut).alias("at", "part"))
+    breaks = F.length("part") - F.length(F.replace(F.col("part"), F.lit("\n"), F.lit("")))
+    above = F.sum(breaks).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("path", "part", "at", (F.coalesce(above, F.lit(0)) + 1).cast("int").alias("line")).where("at % 2 = 1")
+    return rows.select("path", F.expr("at div 2").cast("int").alias("ord"), "line", *(F.regexp_extract("part", f"(?s){pattern}", k).alias(g) for k, g in enumerate(groups, 1)))
 
 
 def _names(clause: Column) -> Column:
