@@ -19,3 +19,16 @@ def name_matches(name: Column, names: list[str], patterns: list[str]) -> Column:
 def stable_names(df: DataFrame, column: str, names: list[str], patterns: list[str]) -> DataFrame:
     """Distinct names that the list or a pattern declares stable."""
     return df.where(name_matches(F.col(column), names, patterns)).select(column).distinct()
+
+
+def plain_name(name: Column) -> Column:
+    """Whether a name can't change between renders: a constant in capitals, a number, a quoted text, a keyword or a member."""
+    return name.rlike(r"^[A-Z][A-Z0-9_]*$") | name.rlike(r"^-?[0-9.]+$") | name.rlike(r"""^['"`]""") | name.isin("true", "false", "null", "undefined") | name.contains(".")
+
+
+def component_name(name: Column) -> Column:
+    return name.rlike("^[A-Z]")
+
+
+def setter_name(name: Column) -> Column:
+    return name.rlike("^set[A-Z]")

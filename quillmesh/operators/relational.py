@@ -27,10 +27,10 @@ def first_match(candidates: list[DataFrame], group: list[str], order: list[str],
     """The first candidate row of each group by ``order``; groups whose first is a stop row vanish. For candidates of unlike
     sources; steps over one table are a ``ladder``."""
     rows = reduce(DataFrame.unionByName, candidates)
-    return _first_of(rows, group, order).where(F.col(action) != stop)
+    return first_of(rows, group, order).where(F.col(action) != stop)
 
 
-def _first_of(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def first_of(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The first row of each group, by a grouped minimum, which combines before the shuffle."""
     rest = [c for c in rows.columns if c not in group]
     first = rows.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
@@ -43,7 +43,7 @@ def ladder(rows: DataFrame, steps: list[tuple[str, str]], group: list[str], orde
     step = F.coalesce(*(F.when(F.expr(test), F.lit(k)) for k, (test, _) in enumerate(steps, 1)))
     admitted = rows.select(*group, *dict.fromkeys([*order, *keep]), step.alias("step")).where("step is not null")
     action = F.element_at(F.array(*(F.lit(a) for _, a in steps)), F.col("step"))
-    first = _first_of(admitted, group, [*order, "step"]).withColumn("action", action).where(F.col("action") != stop)
+    first = first_of(admitted, group, [*order, "step"]).withColumn("action", action).where(F.col("action") != stop)
     return first.select(*group, *keep, "step", "action")
 
 
@@ -56,7 +56,7 @@ def interval_lookup(points: DataFrame, ranges: DataFrame, keys: list[str], point
     bin_of = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
     listed = ranges.where(f"`{low}` <= `{high}`").withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
     hit = points.withColumn("_bin", bin_of(point)).join(listed, [*keys, "_bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_bin")
-    return hit if first_by is None else _first_of(hit, point_key, first_by)
+    return hit if first_by is None else first_of(hit, point_key, first_by)
 
 
 def resolve_first(wanted: DataFrame, key: str, candidates: Column, known: DataFrame, name: str) -> DataFrame:
@@ -94,6 +94,14 @@ def running_set(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return df.withColumn("_first", first.cast("long")).withColumn("seen", F.sum("_first").over(w)).drop("_first")
 
 
+def two_tier(df: DataFrame, file: str, project: str, ts: str, fast: str, slow: str) -> DataFrame:
+    """(tier, key, start, n): bursts of events of each file by the gap ``fast``, and of each project by ``slow``, as quick
+    checks of one file and full runs are put off; an event at a gap's very end still belongs."""
+    tick = "0.000001 seconds"
+    tier = lambda k, key, gap: df.groupBy(F.col(key).cast("string").alias("key"), F.session_window(ts, f"{gap} {tick}").alias("w")).agg(F.count("*").alias("n")).select(F.lit(k).alias("tier"), "key", F.col("w.start").alias("start"), "n")
+    return tier(1, file, fast).unionByName(tier(2, project, slow))
+
+
 def sessions(df: DataFrame, key: str, ts: str, gap: str, order: list[str]) -> DataFrame:
     """(key, session, n): a row more than ``gap`` after the one before it starts a session; the batch form of a debounce."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators.graph import closure
+from quillmesh.operators.resolution import expand_aliases
+
 #: Hooks whose dependencies are read, and those that count as effects.
 DEP_HOOKS = ["useEffect", "useLayoutEffect", "useMemo", "useCallback", "useImperativeHandle"]
 EFFECT_HOOKS = ["useEffect", "useLayoutEffect"]
@@ -50,8 +53,9 @@ def _names(clause: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, source, names, is_default, is_namespace, line) of static imports, requires and dynamic imports with a relative source."""
+def imports(files: DataFrame, relative: bool = True) -> DataFrame:
+    """(path, source, names, is_default, is_namespace, line) of static imports, requires and dynamic imports, those with a
+    relative source unless all are asked for."""
     static = _found(files, r"""\bimport\s+(?:type\s+)?([\w$*\s{},]+?)\s+from\s+['"]([^'"]+)['"]""", "clause", "source")
     inner = F.regexp_extract("clause", r"(?s)\{(.*)\}", 1)
     head = F.trim(F.regexp_extract("clause", r"^\s*([\w$]+)\s*(?:,|$)", 1))
@@ -60,7 +64,15 @@ def imports(files: DataFrame) -> DataFrame:
     rows = static.select("path", "source", named.alias("names"), (head != "").alias("is_default"), (star != "").alias("is_namespace"), "line")
     other = _found(files, r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]\s*\)|\bimport\s+['"]([^'"]+)['"]""", "a", "b")
     other = other.select("path", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("b")).alias("source"), F.array().cast("array<string>").alias("names"), F.lit(False).alias("is_default"), F.lit(False).alias("is_namespace"), "line")
-    return rows.unionByName(other).where("source like '.%' or source like '/%'")
+    rows = rows.unionByName(other)
+    return rows.where("source like '.%' or source like '/%'") if relative else rows
+
+
+def renamed_imports(files: DataFrame) -> DataFrame:
+    """(path, local, imported): names that an import gives another name in its file."""
+    static = _found(files, r"""\bimport\s+(?:type\s+)?[\w$*\s,]*\{([\w$\s,]+)\}\s*from\s+['"][^'"]+['"]""", "clause")
+    part = static.select("path", F.explode(F.regexp_extract_all("clause", F.lit(r"([\w$]+\s+as\s+[\w$]+)"), F.lit(1))).alias("part"))
+    return part.select("path", F.regexp_extract("part", r"([\w$]+)$", 1).alias("local"), F.regexp_extract("part", r"^([\w$]+)", 1).alias("imported")).where("local != imported")
 
 
 def exports(files: DataFrame) -> DataFrame:
@@ -103,12 +115,35 @@ def ignored_lines(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
 
 def module_edges(found: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst, names, line): imports resolved to files of the scan, the first suffix that exists."""
-    base = F.regexp_replace(F.col("path"), r"/[^/]*$", "")
-    joined = F.when(F.startswith(F.col("source"), F.lit("/")), F.col("source")).otherwise(F.concat_ws("/", base, F.col("source")))
+    return _resolved(found, files, _target(F.col("path"), F.col("source")))
+
+
+def aliased_edges(found: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(src, dst, names, line): imports whose source stands under an alias or package name, resolved to files of the scan.
+
+    ``aliases`` are (alias, target, ord) with absolute targets; the longest alias counts, its targets are tried in order.
+    """
+    tried = expand_aliases(found.where("source not like '.%'").select("path", "source", "names", "line"), "source", aliases)
+    return _resolved(tried, files, F.col("candidate"))
+
+
+def expanded(files: DataFrame, start: DataFrame) -> DataFrame:
+    """(path): the files of ``start(path)`` and all that they import, directly or not."""
+    edges = module_edges(imports(files), files).select("src", "dst")
+    return start.select("path").union(closure(edges, start=start.select(F.col("path").alias("src"))).select("dst")).distinct()
+
+
+def _target(path: Column, source: Column) -> Column:
+    base = F.regexp_replace(path, r"/[^/]*$", "")
+    joined = F.when(F.startswith(source, F.lit("/")), source).otherwise(F.concat_ws("/", base, source))
     # each segment either drops its predecessor or stays
     step = lambda acc, x: F.when(x.isin(".", ""), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
-    target = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), step), "/"))
-    tries = found.select(F.col("path").alias("src"), "source", "names", "line", F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(target, s))).alias("prio", "dst"))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def _resolved(found: DataFrame, files: DataFrame, target: Column) -> DataFrame:
+    first = F.col("prio") * len(SUFFIXES) if "prio" in found.columns else F.lit(0)
+    tries = found.select(F.col("path").alias("src"), "source", "names", "line", first.alias("first"), F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(target, s))).alias("suffix", "dst"))
     known = files.select(F.col("path").alias("dst")).distinct()
-    hit = tries.join(known, "dst").groupBy("src", "source", "line").agg(F.min_by("dst", "prio").alias("dst"), F.first("names").alias("names"))
+    hit = tries.join(known, "dst").groupBy("src", "source", "line").agg(F.min_by("dst", F.col("first") + F.col("suffix")).alias("dst"), F.first("names").alias("names"))
     return hit.select("src", "dst", "names", "line")

@@ -4,8 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillmesh.plans.table_queries import QUERIES, SQL
+from quillmesh.plans import source_queries, table_queries
 
+QUERIES, SQL = table_queries.QUERIES | source_queries.QUERIES, table_queries.SQL | source_queries.SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
