@@ -38,7 +38,7 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}"
         self.paths[name] = path
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -77,3 +77,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     before = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ``bound`` rows at most
     fits = sizes.withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= most_bytes).select("doc_id")
     return sample.join(F.broadcast(fits), "doc_id", "left_semi")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as it takes to be none of ``taken``, whatever their case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

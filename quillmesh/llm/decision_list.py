@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import labelled_sample
+from quillmesh.llm.common import free_name, labelled_sample
 from quillmesh.llm.text_stats import COUNTS, RATIOS, text_stats
 
 #: Labelled documents to learn from, at most.
@@ -122,8 +122,8 @@ def rule_column(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE, **options) -> list[Rule]:
     """Learns from at most ``bound`` labelled documents; label 0 marks what to reject."""
     sample = text_stats(labelled_sample(docs, labels, label, bound), "doc_id", "y")
-    rows = sample.where(f"not ({BASE_FAILED})").orderBy("doc_id").toPandas()
     names = [n for n in RATIOS if n not in LENGTH_BOUND]
+    rows = sample.where(f"not ({BASE_FAILED})").orderBy("doc_id", *names).toPandas()
     return learn(rows[names].to_numpy(np.float64), (rows["y"] == 0).to_numpy(bool), names, **options)
 
 
@@ -138,9 +138,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, **opt
 
 
 def rule_verdicts(docs: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame:
-    """``carry`` columns, COUNTS, base_failed, kept and the rule that fired; ``carry`` may hold the text itself."""
+    """``carry`` columns, COUNTS, base_failed, kept and the rule that fired; ``carry`` may hold the text itself. A verdict
+    column whose name ``carry`` has gets underscores behind it."""
     names = {c: f"_carry{k}" for k, c in enumerate(carry)}  # no clash with the statistics' names
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), "text")
     judged = text_stats(rows, *names.values()).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", rule_column(rules))
-    kept = ~F.col("base_failed") & F.col("rule").isNull()
-    return judged.select(*(F.col(n).alias(c) for c, n in names.items()), *(c for c in COUNTS if c not in names), "base_failed", kept.alias("kept"), "rule")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return judged.select(*(F.col(n).alias(c) for c, n in names.items()), *(F.col(c).alias(free_name(c, carry)) for c in [*COUNTS, "base_failed", "kept", "rule"]))

@@ -237,6 +237,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     single = shared.where("p is not null").select("sig", "id", "n", *SKETCH, "i", (F.col("i") - before).alias("u"))
     members = single.unionByName(shared.where("p is null").select("sig", "id", "n", *SKETCH, "i", F.lit(0).alias("u")))
     members = scratch.table(members, "members")
+    scratch.free("pools", "copies", "near", "far", "members")
     # of several members the one with fewest such elements stands for them: it is nearest to what they have in common
     rank = F.struct("u", "id")
     other = {"id": "b", "n": "m", "i": "j", "u": "v"} | {c: f"{c}2" for c in SKETCH}
@@ -257,6 +258,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         links = scratch.table(found if links is None else links.unionByName(found), f"links{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         parts = scratch.table(components(links, scratch, f"turn{turn}"), f"parts{turn}")
+        scratch.free("pools", "copies", "near", "far", "members", *(f"{x}{k}" for x in ("pairs", "links", "parts") for k in range(turn + 1)))
         if turn == 2:
             break
         # lists whose members lie in several components; after turn 1 the short ones are done
@@ -273,6 +275,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
             cross = cross.unionByName(listed)
         pairs = _possible(cross.distinct().join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
 
+    scratch.free("pools", f"parts{turn}")
     of_set = classes.join(parts, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
     out = every.select("id", "key", "n").join(of_set, "key", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -57,6 +57,12 @@ class PieceCodec:
             raise ValueError("the vocabulary has pieces over more than one word")
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if "\n" not in self.known else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+        # what is assumed of the model's normalizer, prefix, byte fallback and decoder
+        for text in ("a  b", " a ", "", "\u00a0x\u3000", "\ufb01 \uff21", "e\u0301 \t\n\r", "\U0001f600\x00", SPACE, "  "):
+            ids = model.encode(text)
+            if self.encode(text) != ids or self.decode(ids) != model.decode(ids):
+                raise ValueError(f"the model treats {text!r} otherwise than this encoder")
+
     def merge(self, text: str) -> list[str]:
         """The pieces that merging gives: always the best-scored neighbours first, of equals the leftmost."""
         parts: list[str | None] = list(text)

@@ -132,6 +132,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     scores = grams.join(_sized(ratios), "g").groupBy(*ID).agg(F.round(F.avg("ratio"), 9).alias("score"))
     scores = scratch.table(scores.join(_sized(distinct.where("not trains").select(*ID, "allow", "copies")), ID), "scores")
 
+    scratch.free("counts", "scores")
     usable = counts.agg(F.coalesce(F.sum("good") > 0, F.lit(False)).alias("g"), F.coalesce(F.sum("bad") > 0, F.lit(False)).alias("b"))
     edge = _threshold(scores.where("allow is not null")).join(F.broadcast(usable)).select(F.when(F.col("g") & F.col("b"), F.col("edge")).alias("edge"))
     out = urls.join(_sized(scores.where("allow is null").select(*ID, "score")), ID, "left").join(F.broadcast(edge))  # one row

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -14,7 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quillmesh.llm import jaccard_join, license_index
+from quillmesh.llm import jaccard_join, license_index, pair_rank, toxicity_cnn
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import learn, quality_rules
 from quillmesh.llm.decontaminate import find_leaks
@@ -147,6 +148,11 @@ def test_quality_rules(spark):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
     truth = {r.doc_id: r.quality for r in labels.collect()}
     assert sum(got[i].kept for i, q in truth.items() if q) / sum(truth.values()) > 0.9
+    # half of the labels teach, the other half judge
+    more, marks = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
+    held = quality_rules(more, marks.where("doc_id % 2 = 0")).join(marks.where("doc_id % 2 = 1"), "doc_id").where("not base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in held.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 20 and n.get((1, False), 0) <= 0.03 * n[0, False] and n[0, False] > 0.7 * (n[0, False] + n.get((0, True), 0)), n
     odd = quality_rules(docs(spark, ODD), labels.limit(0)).collect()
     assert [tuple(r)[1:6] for r in odd] == [_stats(t) for _, t in ODD]
     x = np.array([[i % 10, i % 7] for i in range(300)], float)
@@ -322,6 +328,45 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs(spark, ODD).columns and kept.count() == len(ODD)
 
 
+def test_toxicity_scores_by_loops():
+    import numpy as np
+
+    rnd = random.Random(8)
+    words = ["foul", "fouler", "nice", "day", "un", "deux", "x"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 9))) for _ in range(300)] + ["", "foul"]
+    buckets, model = toxicity_cnn.WordBuckets(), toxicity_cnn.TextCnn()
+    ids = [toxicity_cnn.word_ids(t, buckets) for t in texts]
+    model.learn(ids, np.array([float("foul" in t) for t in texts]))
+    scores = model.scores(ids, model.tables())
+    for t, score in zip(texts, scores, strict=True):
+        rows = []
+        for w in t.split():
+            w = w.encode()
+            rows.append([sum(float(model.table[zlib.crc32(p) % toxicity_cnn.BUCKETS][d]) for p in (w, b"4" + w[:4], b"6" + w[:6])) for d in range(toxicity_cnn.DIM)])
+        rows += [[0.0] * toxicity_cnn.DIM] * (3 - len(rows))
+        logit, k = model.bias + model.shift, 0
+        for width, f in model.filters.items():
+            for j in range(toxicity_cnn.FILTERS):
+                best = max(sum(rows[i + a][d] * float(f[a * toxicity_cnn.DIM + d][j]) for a in range(width) for d in range(toxicity_cnn.DIM)) for i in range(len(rows) - width + 1))
+                logit += max(best, 0.0) * float(model.out[k])
+                k += 1
+        assert abs(1 / (1 + math.exp(-logit)) - score) < 1e-4
+
+
+def test_quality_scores_by_sums():
+    import numpy as np
+
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices(["one", "Two", "3", "four.", "%%", "five!"], k=rnd.randint(0, 40))) for _ in range(200)]
+    x = np.array([pair_rank.features(t) for t in texts])
+    model = pair_rank.PairRank(x, np.array(["%" not in t for t in texts]), 0.7)
+    for row, score in zip(x, model.score(x), strict=True):
+        raw = 0.0
+        for k, v in enumerate([*row, *(abs(v) ** 0.5 for v in row)]):
+            raw += float(model.w[k]) * min(8.0, max(-8.0, (v - float(model.mean[k])) / float(model.std[k])))
+        assert abs(1 / (1 + math.exp(-(4 * (raw - model.cut) / model.scale + math.log(0.7 / 0.3)))) - score) < 1e-9
+
+
 def test_quality_held_out(spark):
     table, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     rows = rank_quality(table, labels).join(labels, "doc_id").where("held_out").collect()

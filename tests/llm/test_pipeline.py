@@ -49,3 +49,16 @@ def test_stages_against_brute_force(spark):
         else:
             assert set(got) == set(rows) and all(r.n_tokens == len(model.encode(rows[i].text or "", add_eos=True)) for i, r in got.items())
         before = after
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns named as the stages name theirs, on odd rows: each stage but the last returns the columns of its input."""
+    words = " ".join(f"a{k}" for k in range(40))
+    rows = [(1, words, "en", True, "r", 1), (2, None, None, None, None, None), (None, words + " b", "de", False, "", 0), (3, "", "en", True, "r", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, kept boolean, rule string, Base_Failed int")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "none of this")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and 0 < got.count() <= 4
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
