@@ -18,7 +18,7 @@ def name_matches(name: Column, names: list[str], patterns: list[str]) -> Column:
 
 def stable_names(df: DataFrame, column: str, names: list[str], patterns: list[str]) -> DataFrame:
     """Distinct names that the list or a pattern declares stable."""
-    return df.where(name_matches(F.col(column), names, patterns)).select(column).distinct()
+    return df.select(column).distinct().where(name_matches(F.col(column), names, patterns))
 
 
 def plain_name(name: Column) -> Column:
