@@ -44,10 +44,11 @@ def _edges(k: int) -> str:
 edges AS (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM pairs) WHERE rn <= {k})"""
 
 
-def _walk(k: int, depth: int, turn: bool = False) -> str:
+def _walk(k: int, turn: bool = False) -> str:
+    """The shortest walks between nations; none is longer than there are nations."""
     a, b = ("dst", "src") if turn else ("src", "dst")
     return f"""WITH RECURSIVE {_edges(k)}, e AS (SELECT {a} AS src, {b} AS dst FROM edges),
-walk AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT w.src, e.dst, w.depth + 1 FROM walk w JOIN e ON w.dst = e.src WHERE w.depth < {depth}),
+walk AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT w.src, e.dst, w.depth + 1 FROM walk w JOIN e ON w.dst = e.src WHERE w.depth < (SELECT count(*) FROM nation)),
 reach AS (SELECT src, dst, min(depth) AS depth FROM walk GROUP BY ALL) """
 
 
@@ -56,21 +57,21 @@ def edges_topk(spark, d):
     return trade(spark, d, 1)
 
 
-@query(_walk(1, 8) + "SELECT src, dst, depth FROM reach")
+@query(_walk(1) + "SELECT src, dst, depth FROM reach")
 def closure_min_depth(spark, d):
     return graph.closure(trade(spark, d, 1))
 
 
-@query(_walk(2, 5) + "SELECT src AS node, depth AS length FROM reach WHERE src = dst")
+@query(_walk(2) + "SELECT src AS node, depth AS length FROM reach WHERE src = dst")
 def cycle_members(spark, d):
     return graph.cycle_members(trade(spark, d, 2))
 
 
 @query(f"""WITH RECURSIVE {_edges(2)}, paths AS (SELECT src AS head, [src] AS path, src AS last FROM edges
-  UNION SELECT head, list_append(path, dst), dst FROM paths JOIN edges ON last = src WHERE len(path) < 4 AND dst > head AND NOT list_contains(path, dst))
+  UNION SELECT head, list_append(path, dst), dst FROM paths JOIN edges ON last = src WHERE dst > head AND NOT list_contains(path, dst))
 SELECT DISTINCT array_to_string(path, '>') AS cycle FROM paths JOIN edges ON last = src AND dst = head""")
 def canonical_cycles(spark, d):
-    return graph.simple_cycles(trade(spark, d, 2), 4).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.simple_cycles(trade(spark, d, 2)).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("""SELECT page_id, i - 1 AS ord, hrefs[i] AS href FROM (SELECT page_id, hrefs, unnest(generate_series(1, len(hrefs))) AS i
@@ -109,7 +110,7 @@ def changed_files(spark, d):
     return o.join(ids.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@query(_walk(2, 6, True) + "SELECT src AS node, dst AS dependent, depth FROM reach")
+@query(_walk(2, True) + "SELECT src AS node, dst AS dependent, depth FROM reach")
 def dependents_closure(spark, d):
     return graph.dependents(trade(spark, d, 2))
 

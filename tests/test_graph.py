@@ -1,5 +1,7 @@
 """Graph operators on chains and cycles longer than any fixed depth."""
 
+import random
+
 from quillmesh.operators import graph
 from quillmesh.plans.code_rules import import_cycles
 from quillmesh.streaming.incremental import affected
@@ -19,3 +21,29 @@ def test_all_simple_cycles(spark):
 def test_far_dependents(spark):
     edges = spark.createDataFrame([(f"f{k + 1}", f"f{k}") for k in range(103)], "src string, dst string")
     assert affected(spark.createDataFrame([("f0",)], "path string"), edges).count() == 104
+
+
+def test_dominators_of_many_graphs(spark):
+    """Random graphs by key against removal of each node."""
+    rnd = random.Random(6)
+    edges = [(g, a, b) for g in range(6) for a in range(9) for b in range(9) if rnd.random() < 0.16]
+    got = {tuple(r) for r in graph.dominators(spark.createDataFrame(edges, "graph int, src int, dst int"), roots=spark.createDataFrame([(g, 0) for g in range(6)], "graph int, node int")).collect()}
+
+    def reach(g, out):
+        seen, todo = set(), [0] if out != 0 else []
+        while todo:
+            if (n := todo.pop()) not in seen:
+                seen.add(n)
+                todo += [b for k, a, b in edges if k == g and a == n and b != out]
+        return seen
+
+    assert got == {(g, n, d) for g in range(6) for n in reach(g, None) for d in reach(g, None) if n not in reach(g, d)}
+
+
+def test_propagation_and_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "a"), ("e", "f")], "src string, dst string")
+    seeds = spark.createDataFrame([("c", "setX"), ("b", "setY"), ("f", None)], "node string, value string")
+    got = {tuple(r) for r in graph.propagated(edges, seeds).collect()}
+    assert {x for x in got if x[1]} == {(n, v) for n in "abcd" for v in ("setX", "setY")}
+    assert {tuple(r) for r in graph.cycle_members(edges).collect()} == {("b", 2), ("c", 2)}
+    assert graph.cycle_members(edges.limit(0)).count() == 0 and graph.propagated(edges, seeds.limit(0)).count() == 0
