@@ -24,6 +24,8 @@ _NEAR = [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= BLOCK_RADIUS]
 WEIGHT = (1 << 31) - 1
 #: A side of up to this many short rows is broadcast after counting it; a larger one is shuffled.
 SMALL_SIDE = 200_000
+#: Of so many items of one size their shingles are listed to rule windows out before they are fingerprinted.
+MANY = 100
 _SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
@@ -102,6 +104,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"))
 
 
+def _known(bench: DataFrame) -> DataFrame:
+    """(m, known): the shingles of the items of each size; null for sizes of more than MANY items, whose windows are all tried."""
+    few = bench.groupBy("m").agg(F.count("*").alias("items")).where(F.col("items") <= MANY).select("m")
+    return bench.join(few, "m").groupBy("m").agg(F.array_distinct(F.flatten(F.collect_list("ih"))).alias("known"))
+
+
 def _leaks(source: DataFrame, bench: DataFrame, k: int, percent: int) -> DataFrame:
     bench = bench.withColumn("ih", F.expr(_shingles("iw", k))).withColumn("total", F.expr(_weight("ih")))
     # anchors: the heaviest shingles, until those left weigh less than a similar window needs
@@ -119,9 +127,13 @@ def _leaks(source: DataFrame, bench: DataFrame, k: int, percent: int) -> DataFra
     starts = places.join(_sized(anchors), "h").select("doc_id", "m", F.expr(block).alias("block")).distinct()
     # blocks are few: where counting proves it they go to the texts, else both are shuffled
     windows = _sized(Scratch(source.sparkSession).table(starts, "windows"))
-    texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text")))
-    spans = texts.select("doc_id", "m", "block", F.expr(_shingles("slice(w, block * m + 1, 2 * m - 1)", k)).alias("seg"), F.expr(f"least(m, size(w)) - {k - 1}").alias("g"))
-    each = spans.select("doc_id", "m", "block", "seg", "g", F.expr("explode(if(g > 0 and size(seg) >= g, sequence(0, size(seg) - g), null))").alias("s"))
+    texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text"))).join(_sized(_known(bench), SMALL_SIDE // 50), "m", "left")
+    spans = texts.select("doc_id", "m", "block", "known", F.expr(_shingles("slice(w, block * m + 1, 2 * m - 1)", k)).alias("seg"), F.expr(f"least(m, size(w)) - {k - 1}").alias("g"))
+    # a window shares no more than those of its shingles that some item of its size has
+    spans = spans.withColumn("own", F.expr(f"transform(seg, x -> x & {WEIGHT}L)")).withColumn("shared", F.expr("transform(seg, (x, i) -> if(known is null or array_contains(known, x), own[i], 0L))"))
+    sum_of = lambda c: f"aggregate(slice({c}, s + 1, g), 0L, (a, x) -> a + x)"
+    tried = f"filter(sequence(0, size(seg) - g), s -> 100 * {sum_of('shared')} >= {percent} * {sum_of('own')})"
+    each = spans.select("doc_id", "m", "block", "seg", "g", F.expr(f"explode(if(g > 0 and size(seg) >= g, {tried}, null))").alias("s"))
     prints = each.select("doc_id", "m", F.expr("block * m + s").alias("start"), F.expr("slice(seg, s + 1, g)").alias("h")).withColumn("fp", F.expr(_simhash("h")))
 
     # the multi-index: of each two fingerprints that agree in several blocks the first one joins them
