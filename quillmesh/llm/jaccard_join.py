@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Scratch
@@ -145,15 +145,15 @@ def _possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(percent: int) -> str:
-    """SQL: whether (n, i, u, sketch) and (m, j, v, sketch2) may link, by sizes, by elements that the partner lacks, by the
-    places i and j of a shared shingle, before which at most min(i, j) are shared, and by sketch bits that differ."""
+    """SQL: whether (n, i, sketch) and (m, j, sketch2) may link, by sizes, by the places i and j of a shared shingle, before
+    which at most min(i, j) are shared, and by sketch bits that differ."""
     need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
     bits = " + ".join(f"bit_count({c} ^ {c}2)" for c in SKETCH)
-    return f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - u, m - v, 1 + least(i, j) + least(n - i - 1, m - j - 1)) >= {need} and {bits} <= n + m - 2 * {need}"
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) and 1 + least(i, j) + least(n - i - 1, m - j - 1) >= {need} and {bits} <= n + m - 2 * {need}"
 
 
 #: A member of a list, as a chunk holds it.
-MEMBER = ["id", "component", "n", "i", "u", *SKETCH]
+MEMBER = ["id", "component", "n", "i", *SKETCH]
 
 
 def _chunk_pairs(mixed: DataFrame, long: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -175,8 +175,9 @@ def _chunk_pairs(mixed: DataFrame, long: DataFrame, percent: int, nearest: bool)
                 x, y = columns(batch.column("x")[k].values), columns(batch.column("y")[k].values)
                 n, m, i, j = x["n"][:, None], y["n"], x["i"][:, None], y["i"]
                 need = (percent * (n + m) + 99 + percent) // (100 + percent)
-                bound = np.minimum(np.minimum(n - x["u"][:, None], m - y["u"]), 1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1))
-                apart = sum(np.bitwise_count(x[c][:, None] ^ y[c]).astype(np.int64) for c in SKETCH)
+                bound = 1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1)
+                # unsigned, as numpy counts the bits of a negative number's absolute value
+                apart = sum(np.bitwise_count((x[c][:, None] ^ y[c]).view(np.uint64)).astype(np.int64) for c in SKETCH)
                 ok = (x["component"][:, None] != y["component"]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (bound >= need) & (apart <= n + m - 2 * need)
                 a, b = np.nonzero(ok)
                 if nearest and len(a):
@@ -224,24 +225,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", *SKETCH, "pool"), heavy, percent)
     cut = near.where("full").unionByName(scratch.table(far, "far")).drop("full")
 
-    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", *SKETCH, "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", *SKETCH, "p", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
+    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", *SKETCH, "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", *SKETCH, "i", F.xxhash64(F.lit(1), "s").alias("sig"))
     firsts = F.expr("slice(pre, 1, p + 1)").alias("pre")
     subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
-    double = cut.where(F.col("n") < border).select("id", "n", *SKETCH, firsts).select("id", "n", *SKETCH, F.lit(None).cast("int").alias("p"), F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
+    double = cut.where(F.col("n") < border).select("id", "n", *SKETCH, firsts).select("id", "n", *SKETCH, F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
     entries = single.unionByName(double)
     lists = entries.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sig")
-    shared = scratch.table(entries.join(lists, "sig"), "shared")
-    # u: elements before place i that stand in no list. The order puts them before the shared shingle, so a partner that
-    # has that shingle in its prefix would have them there too
-    before = F.row_number().over(Window.partitionBy("id").orderBy("i", "sig")) - 1
-    single = shared.where("p is not null").select("sig", "id", "n", *SKETCH, "i", (F.col("i") - before).alias("u"))
-    members = single.unionByName(shared.where("p is null").select("sig", "id", "n", *SKETCH, "i", F.lit(0).alias("u")))
-    members = scratch.table(members, "members")
+    members = scratch.table(entries.join(lists, "sig"), "members")
     scratch.free("pools", "copies", "near", "far", "members")
-    # of several members the one with fewest such elements stands for them: it is nearest to what they have in common
-    rank = F.struct("u", "id")
-    other = {"id": "b", "n": "m", "i": "j", "u": "v"} | {c: f"{c}2" for c in SKETCH}
-    pivots = members.groupBy("sig").agg(*(F.min_by(c, rank).alias(d) for c, d in other.items()))
+    # of several members the one with the shared shingle earliest stands for them: it has few rare ones, so it is nearest to
+    # what they have in common
+    other = {"id": "b", "n": "m", "i": "j"} | {c: f"{c}2" for c in SKETCH}
+    pivots = members.groupBy("sig").agg(F.min_by(F.struct(*(F.col(c).alias(d) for c, d in other.items())), F.struct("i", "id")).alias("x")).select("sig", "x.*")
 
     # turn 0: each member with one pivot; turn 1: what that leaves apart, of long lists the nearest members of each two
     # components; turn 2: all that is still apart in long lists

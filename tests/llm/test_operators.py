@@ -217,6 +217,26 @@ def test_jaccard_long_lists(spark, monkeypatch):
     assert got == _components(rows, 3, 90) and 5 < len({c for _, c in got.values()}) < 140
 
 
+def test_jaccard_chunk_pairs(spark, monkeypatch):
+    """Chunks return every pair of different components that may link, and few that don't."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(-(1 << 62), 1 << 62, 199)
+    sets = [np.unique(np.concatenate([base[rnd.random(199) > rnd.choice([0.02, 0.05])], rnd.integers(0, 1 << 62, rnd.integers(0, 9))])) for _ in range(120)]
+    rows = [(7, k, k % 100, len(s), 0, *map(int, jaccard_join.sketch(s))) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, f"sig bigint, id bigint, component bigint, n bigint, i int, {' bigint, '.join(jaccard_join.SKETCH)} bigint")
+    long = members.groupBy("sig").agg(F.count("*").alias("size"))
+    got = {(r.a, r.b) for r in jaccard_join._chunk_pairs(members, long, 90, False).collect()}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(120) for b in range(a) if a % 100 != b % 100}
+    want = {(a, b) for (a, b), k in both.items() if 100 * k >= 90 * (len(sets[a]) + len(sets[b]) - k)}
+    assert want <= got and len(got) < 2 * len(want) and 100 < len(want) < 5000
+    assert all(np.bitwise_count((jaccard_join.sketch(sets[a]) ^ jaccard_join.sketch(sets[b])).view(np.uint64)).sum() <= len(sets[a]) + len(sets[b]) - 2 * k for (a, b), k in both.items())
+    near = {(r.a, r.b) for r in jaccard_join._chunk_pairs(members, long, 90, True).collect()}
+    assert near <= got and {a for a, _ in want} <= {x for p in near for x in p}
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>é</p>", "<p>é</p>", None, "", "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9, "long " * 600_000, "long " * 600_000, "a\r\nWARC/1.1\r\nb"]
     rows = spark.createDataFrame([(i + 10, f"http://h/{i} a\r\nb", h, "x") for i, h in enumerate(html)] + [(99, None, "q", "x"), (99, None, "q", "x")], "page_id bigint, url string, html string, digest string")
