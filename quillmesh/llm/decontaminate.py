@@ -63,9 +63,15 @@ def _weight(shingles: str) -> str:
 
 
 def _simhash(shingles: str) -> str:
-    vote = "aggregate(sh, 0L, (a, x) -> a + if((shiftright(x.h, b) & 1) = 1, x.w, -x.w))"
-    bits = f"transform(sequence(0, {BITS - 1}), b -> if({vote} > 0, shiftleft(1L, b), 0L))"
-    return _let("sh", f"transform({shingles}, q -> struct(xxhash64(q) as h, q & {WEIGHT}L as w))", f"aggregate({bits}, 0L, (a, x) -> a | x)")
+    """SQL: the fingerprint whose bits are those that more than half of the weight has.
+
+    The weights of four bits, 16 places apart, add up in one integer of four lanes; a weight of 2^15 or more is scaled down.
+    """
+    lanes = "transform(sequence(0, 15), j -> aggregate(sh, 0L, (a, x) -> a + (shiftrightunsigned(x.h, j) & 281479271743489L) * x.w))"
+    bits = " | ".join(f"if(2 * (shiftrightunsigned(v, {k}) & 65535L) > t, shiftleft(1L, j + {k}), 0L)" for k in (0, 16, 32, 48))
+    whole = _let("t", "aggregate(sh, 0L, (a, x) -> a + x.w)", f"aggregate(transform({lanes}, (v, j) -> {bits}), 0L, (a, x) -> a | x)")
+    scaled = f"transform(hs, q -> struct(xxhash64(q) as h, if(raw < 32768, q & {WEIGHT}L, (q & {WEIGHT}L) * 32767 div raw) as w))"
+    return _let("hs", shingles, _let("raw", _weight("hs"), _let("sh", scaled, whole)))
 
 
 def _block(fingerprint: str, j: int) -> str:
@@ -130,17 +136,19 @@ def _leaks(source: DataFrame, bench: DataFrame, k: int, percent: int) -> DataFra
     texts = source.join(windows, "doc_id").withColumn("w", words_of(F.col("text"))).join(_sized(_known(bench), SMALL_SIDE // 50), "m", "left")
     spans = texts.select("doc_id", "m", "block", "known", F.expr(_shingles("slice(w, block * m + 1, 2 * m - 1)", k)).alias("seg"), F.expr(f"least(m, size(w)) - {k - 1}").alias("g"))
     # a window shares no more than those of its shingles that some item of its size has
-    spans = spans.withColumn("own", F.expr(f"transform(seg, x -> x & {WEIGHT}L)")).withColumn("shared", F.expr("transform(seg, (x, i) -> if(known is null or array_contains(known, x), own[i], 0L))"))
-    sum_of = lambda c: f"aggregate(slice({c}, s + 1, g), 0L, (a, x) -> a + x)"
-    tried = f"filter(sequence(0, size(seg) - g), s -> 100 * {sum_of('shared')} >= {percent} * {sum_of('own')})"
-    each = spans.select("doc_id", "m", "block", "seg", "g", F.expr(f"explode(if(g > 0 and size(seg) >= g, {tried}, null))").alias("s"))
-    prints = each.select("doc_id", "m", F.expr("block * m + s").alias("start"), F.expr("slice(seg, s + 1, g)").alias("h")).withColumn("fp", F.expr(_simhash("h")))
+    running = lambda c: f"aggregate({c}, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x))"
+    enough = f"filter(sequence(0, size(sg) - g), s -> 100 * (met[s + g] - met[s]) >= {percent} * (own[s + g] - own[s]))"
+    weights = [running(f"transform(sg, x -> {x})") for x in (f"x & {WEIGHT}L", f"if(array_contains(common, x), x & {WEIGHT}L, 0L)")]
+    tried = _let("common", "if(known is null, sg, array_intersect(sg, known))", _let("own", weights[0], _let("met", weights[1], enough)))
+    each = spans.select("doc_id", "m", "block", "seg", "g", F.expr(f"explode(if(g > 0 and size(seg) >= g, {_let('sg', 'seg', tried)}, null))").alias("s"))
+    prints = each.select("doc_id", "m", F.expr("block * m + s").alias("start"), F.expr("slice(seg, s + 1, g)").alias("h"))
 
     # the multi-index: of each two fingerprints that agree in several blocks the first one joins them
     index = bench.select("item_id", "m", "total", "ih", F.expr(_multiset("ih")).alias("im"), F.expr(_simhash("ih")).alias("ifp"))
     around = f"explode(flatten(transform({_keys('ifp')}, key -> transform(array({', '.join(f'{x}L' for x in _NEAR)}), x -> key ^ x))))"
     keys = _sized(index.select("item_id", "m", "ifp", F.expr(around).alias("key")))
-    met = prints.select("*", F.expr(f"explode({_keys('fp')})").alias("key")).join(keys, ["m", "key"])
+    marks = _let("f", _simhash("h"), f"transform({_keys('f')}, key -> struct(f as fp, key))")
+    met = prints.select("*", F.expr(f"explode({marks})").alias("x")).select("doc_id", "m", "start", "h", "x.fp", "x.key").join(keys, ["m", "key"])
     near = met.where(f"bit_count(fp ^ ifp) <= {RADIUS} and {_agreeing('(fp ^ ifp)')} = key div {1 << BLOCK_BITS}").select("doc_id", "item_id", "start", "h")
 
     both = near.join(_sized(index.select("item_id", "total", "ih", "im"), SMALL_SIDE // 50), "item_id").withColumn("own", F.expr(_weight("h")))
