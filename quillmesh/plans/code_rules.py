@@ -55,7 +55,23 @@ def import_cycles(files: DataFrame, longest: int | None = None) -> DataFrame:
 
 def mutual_contexts(files: DataFrame) -> DataFrame:
     """(a, b): files that import each other where one of them creates a context."""
+    both = graph.mutual_edges(facts.module_edges(facts.imports(files), files))
+    makes = files.where(F.col("content").rlike(r"\bcreateContext\b")).select("path").distinct()
+    at = lambda end: both.join(makes.withColumnRenamed("path", end), end, "left_semi")
+    return at("a").unionByName(at("b")).distinct()
+
+
+def call_cycles(files: DataFrame) -> DataFrame:
+    """(src, dst, calls): imports of functions that the imported file exports, where that file imports the importing one."""
     edges = facts.module_edges(facts.imports(files), files)
-    makes = files.where(F.col("content").rlike(r"\bcreateContext\b")).select("path")
-    both = graph.mutual_edges(edges)
-    return both.join(makes, F.col("path").isin(F.col("a"), F.col("b")), "left_semi")
+    named = edges.select("src", "dst", F.explode("names").alias("name"))
+    known = facts.exports(files).select(F.col("path").alias("dst"), "name").distinct()
+    calls = named.join(known, ["dst", "name"]).groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("calls"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    return calls.join(back, ["src", "dst"], "left_semi")
+
+
+def cross_file_cycles(files: DataFrame) -> DataFrame:
+    """(kind, a, b): context and call cycles of two files, each pair once by kind."""
+    calls = call_cycles(files).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return mutual_contexts(files).select(F.lit("context").alias("kind"), "a", "b").union(calls.select(F.lit("call").alias("kind"), "a", "b"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import lookups
 from quillmesh.operators import graph, relational as rel, resolution as res
-from quillmesh.plans.code_rules import hook_findings
+from quillmesh.plans.code_rules import cross_file_cycles, hook_findings
 from quillmesh.plans.table_queries import _edges, _LEVEL, table, trade
 from quillmesh.sources import code_facts as facts
 from quillmesh.streaming import sinks
@@ -117,6 +117,32 @@ def state_setters(spark, d):
     return facts.state_pairs(components(spark, d))
 
 
+@query("""SELECT '/app/o' || o_orderkey || '.tsx' AS path, 5 AS line, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'useCallback' ELSE 'useEffect' END AS hook, CASE o_orderpriority WHEN '3-MEDIUM' THEN NULL ELSE 'tally' END AS deps FROM orders""")
+def hook_rows(spark, d):
+    return facts.hooks(components(spark, d)).select("path", "line", "hook", F.array_join("deps", ",").alias("deps"))
+
+
+@query("SELECT '/app/o' || o_orderkey || '.tsx' AS path, 5 AS line FROM orders WHERE o_orderstatus = 'P'")
+def silenced_lines(spark, d):
+    return facts.ignored_lines(components(spark, d))
+
+
+@query("SELECT '/app/o' || o_orderkey || '.tsx' AS path FROM orders")
+def react_files(spark, d):
+    return facts.likely_react(components(spark, d).union(modules(spark, d))).select("path")
+
+
+@query("""WITH p AS (SELECT '/ctx/n' || a.n_nationkey || '.ts' AS a, '/ctx/n' || b.n_nationkey || '.ts' AS b, a.n_nationkey % 3 = 0 OR b.n_nationkey % 3 = 0 AS context, a.n_nationkey % 4 = 0 OR b.n_nationkey % 4 = 0 AS call
+  FROM nation a JOIN nation b ON a.n_nationkey % 2 = 0 AND b.n_nationkey = a.n_nationkey + 1)
+SELECT 'context' AS kind, a, b FROM p WHERE context UNION ALL SELECT 'call', a, b FROM p WHERE call""")
+def file_cycles(spark, d):
+    """Neighbouring nations import each other; every third makes a context, every fourth exports what its neighbour imports."""
+    k = F.col("n_nationkey")
+    other, export = k + 1 - 2 * (k % 2), F.when(k % 4 == 0, _text("export function f", k, "() {}\n")).otherwise(F.lit(""))
+    body = _text("import { f", other, " } from './n", other, "';\n", export, F.when(k % 3 == 0, F.lit("export const C = createContext(null);\n")).otherwise(F.lit("")))
+    return cross_file_cycles(table(spark, d, "nation").select(_text("/ctx/n", k, ".ts").alias("path"), body.alias("content")))
+
+
 @query(f"""WITH RECURSIVE {_edges(2)}, own AS (SELECT n_nationkey AS node, 'set' || r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0),
 flow AS (SELECT node, value FROM own UNION SELECT e.src, f.value FROM flow f JOIN edges e ON e.dst = f.node)
 SELECT s_suppkey, coalesce(string_agg(value, ',' ORDER BY value), '') AS setters FROM supplier LEFT JOIN flow ON node = s_nationkey GROUP BY s_suppkey""")

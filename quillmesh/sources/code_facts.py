@@ -108,7 +108,7 @@ def hooks(files: DataFrame) -> DataFrame:
 def ignored_lines(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
     """(path, line) that a comment ``marker`` on the line, or ``marker``-next-line on the one before, silences."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    same = lines.where(F.col("text").rlike(rf"(//|/\*)\s*{marker}\b")).select("path", (F.col("at") + 1).alias("line"))
+    same = lines.where(F.col("text").rlike(rf"(//|/\*)\s*{marker}(?![\w-])")).select("path", (F.col("at") + 1).alias("line"))
     after = lines.where(F.col("text").rlike(rf"(//|/\*)\s*{marker}-next-line\b")).select("path", (F.col("at") + 2).alias("line"))
     return same.union(after).distinct()
 
