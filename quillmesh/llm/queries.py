@@ -14,6 +14,7 @@ from quillmesh.llm.jaccard_join import jaccard_components
 from quillmesh.llm.license_index import scan_licenses
 from quillmesh.llm.pair_rank import rank_quality
 from quillmesh.llm.piece_codec import encode_documents
+from quillmesh.llm.spelling_grams import group_spellings
 from quillmesh.llm.toxicity_cnn import score_toxicity
 from quillmesh.llm.url_markov import judge_urls
 from quillmesh.llm.warc_chunks import archive_round_trip
@@ -63,6 +64,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_piece_codec": op2_piece_codec,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_pair_rank": op9_pair_rank,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 SQL = {
@@ -81,4 +87,5 @@ SQL = {
     "op5_jaccard_join": oracle.JACCARD,
     "op6_warc_chunks": oracle.WARC,
     "op10_decontaminate": oracle.LEAKS,
+    "op11_spelling_variants": oracle.SPELLING,
 }
