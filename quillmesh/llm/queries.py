@@ -13,6 +13,7 @@ from quillmesh.llm.html_density import extract_text
 from quillmesh.llm.jaccard_join import jaccard_components
 from quillmesh.llm.license_index import scan_licenses
 from quillmesh.llm.pair_rank import rank_quality
+from quillmesh.llm.phrase_sketch import collocations
 from quillmesh.llm.piece_codec import encode_documents
 from quillmesh.llm.spelling_grams import group_spellings
 from quillmesh.llm.toxicity_cnn import score_toxicity
@@ -68,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(read(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_piece_codec": op2_piece_codec,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_pair_rank": op9_pair_rank,
     "op10_decontaminate": op10_decontaminate,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_mining": op12_phrase_mining,
 }
 
 SQL = {
@@ -88,4 +94,5 @@ SQL = {
     "op6_warc_chunks": oracle.WARC,
     "op10_decontaminate": oracle.LEAKS,
     "op11_spelling_variants": oracle.SPELLING,
+    "op12_phrase_mining": oracle.COLLOCATIONS,
 }

@@ -2,13 +2,17 @@
 
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillmesh.llm import spelling_grams
+from quillmesh.llm import phrase_sketch, spelling_grams
 from quillmesh.llm.common import Scratch
+from quillmesh.llm.phrase_sketch import Summary, blocks, collocations, frequent_runs
 from quillmesh.llm.spelling_grams import bands, bands_of, decompose, frequent_grams, group_spellings, index_keys, most_affected, near_words
 
 DOC = "doc_id bigint, text string, word string, n int, lang string"
@@ -115,3 +119,77 @@ def test_near_words_of_hot_grams(spark):
     assert got == {(a, b) for ws in cuts.values() for a, b in itertools.combinations(ws, 2) if a < b}
     (held,) = frequent_grams(table, [(7, 6)])
     assert held["commo"] == len(words) and max(Counter(k for w in words for k in index_keys(w, held, 6)).values()) <= 8 * 8 * 16
+
+
+def test_summaries_keep_every_frequent_key():
+    rng = np.random.default_rng(1)
+    for least in (3, 10, 40):
+        keys = np.concatenate([rng.integers(0, 200_000, 60_000), np.repeat(np.arange(10**6, 10**6 + 50), least), rng.zipf(1.3, 20_000) % 10**6]).astype(np.uint64)
+        rng.shuffle(keys)
+        summary, exact = Summary(len(keys) // least + 1), Counter(keys.tolist())
+        for part in np.array_split(keys, 30):
+            summary.add(*np.unique(part, return_counts=True))
+            summary.settle()
+        assert summary.error < least and len(summary.keys) <= summary.capacity
+        assert set(summary.survivors(least).tolist()) >= {k for k, n in exact.items() if n >= least}
+        assert all(exact[k] - summary.error <= n <= exact[k] for k, n in zip(summary.keys.tolist(), summary.counts.tolist(), strict=True))
+        assert len(summary.survivors(least)) < len(exact) / 2 or least == 3
+
+
+@pytest.mark.parametrize("size", [16, 300, 1 << 22])
+def test_blocks_lose_and_repeat_nothing(monkeypatch, size):
+    monkeypatch.setattr(phrase_sketch, "BLOCK", size)
+    rng = random.Random(size)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice(["A", "b", "É", "c.", "\t"]) for _ in range(rng.choice([0, 1, 5, 900])))) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 7]]) for k in (0, 1)], names=["lang", "text"]) for a in range(0, 40, 7)]
+    got = Counter()
+    for block in blocks(iter(batches), 3):
+        for k, starts, hashes in block.runs(3):
+            assert len(starts) == len(hashes)
+            phrases, n = block.exact(starts, k)
+            for p, c in zip(phrases, n.tolist(), strict=True):
+                got[block.lang, p.decode(), k] += c
+    assert got == brute_runs(rows)
+
+
+def brute_runs(rows):
+    found = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            for k in (1, 2, 3):
+                found.update(("und" if lang is None else lang, " ".join(w[i : i + k]), k) for i in range(len(w) - k + 1))
+    return found
+
+
+def brute_collocations(rows, top=2000):
+    f = brute_runs(rows)
+    cand = {(lang, p): a for (lang, p, k), a in f.items() if k > 1 and a >= 10}
+    total = Counter()
+    for (lang, _, k), a in f.items():
+        total[lang] += a * (k == 1)
+    out = {}
+    for (lang, p), a in cand.items():
+        w = p.split(" ")
+        cuts = [(10**6 * a * a // (f[lang, " ".join(w[:k]), k] * f[lang, " ".join(w[k:]), len(w) - k]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        longer = [b for (other, q), b in cand.items() if other == lang and len(q.split(" ")) > len(w) and f" {p} " in f" {q} "]
+        if not any(100 * b >= 50 * a for b in longer):
+            out.setdefault(lang, []).append((-score, -a, p.encode(), f[lang, " ".join(w[:k]), k], f[lang, " ".join(w[k:]), len(w) - k]))
+    return {(lang, rank + 1, p.decode(), -a, left, right, total[lang], -s) for lang, rows in out.items() for rank, (s, a, p, left, right) in enumerate(sorted(rows)[:top])}
+
+
+def test_collocations_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["new", "york", "city", "State", "of", "the", "é", "x\u00a0y", "<b>"]
+    texts = [" ".join(rng.choices(words, weights=[9, 9, 5, 4, 3, 3, 2, 1, 1], k=rng.randint(1, 60))).replace("new york", rng.choice(["new york", "new york city", "new, york"])) for _ in range(150)]
+    rows = [(k, t, rng.choice(["en", "de", None, "und"])) for k, t in enumerate(texts)]
+    rows += [(None, "new york", "en"), (5, None, "fr"), (6, "", "fr"), (7, "one two", "fr"), (8, "same " * 30_000, "es"), (8, "same " * 30_000, "es"), (9, "z" * 100_000, "it"), (10, "a b.a b\ra b", "pt")] + [(11, "twice seen pair", "nl")] * 10
+    plain = [(lang, t) for _, t, lang in rows]
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    got = {tuple(r) for r in collocations(docs(spark, rows)).select(*columns).collect()}
+    assert got == brute_collocations(plain) and len(got) > 50
+    assert {tuple(r) for r in collocations(docs(spark, rows), top=3).select(*columns).collect()} == brute_collocations(plain, 3)
+    runs, total = frequent_runs(docs(spark, rows), 3, 10, Scratch(spark))
+    assert {(r.lang, r.phrase, r.k): r.f for r in runs.collect()} == {k: n for k, n in brute_runs(plain).items() if n >= 10}
+    assert collocations(docs(spark, [])).count() == 0
