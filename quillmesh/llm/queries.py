@@ -11,6 +11,7 @@ from quillmesh.llm.decision_list import quality_rules
 from quillmesh.llm.decontaminate import find_leaks
 from quillmesh.llm.html_density import extract_text
 from quillmesh.llm.jaccard_join import jaccard_components
+from quillmesh.llm.lang_centroids import identify
 from quillmesh.llm.license_index import scan_licenses
 from quillmesh.llm.pair_rank import rank_quality
 from quillmesh.llm.phrase_sketch import collocations
@@ -73,6 +74,10 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_piece_codec": op2_piece_codec,
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_language_id": op13_language_id,
 }
 
 SQL = {

@@ -9,9 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillmesh.llm import phrase_sketch, spelling_grams
-from quillmesh.llm.common import Scratch
+from quillmesh.llm import lang_centroids, phrase_sketch, spelling_grams
+from quillmesh.llm.common import Scratch, read
+from quillmesh.llm.lang_centroids import Grams, cluster, fit, identify
 from quillmesh.llm.phrase_sketch import Summary, blocks, collocations, frequent_runs
 from quillmesh.llm.spelling_grams import bands, bands_of, decompose, frequent_grams, group_spellings, index_keys, most_affected, near_words
 
@@ -193,3 +195,76 @@ def test_collocations_equal_brute_force(spark):
     runs, total = frequent_runs(docs(spark, rows), 3, 10, Scratch(spark))
     assert {(r.lang, r.phrase, r.k): r.f for r in runs.collect()} == {k: n for k, n in brute_runs(plain).items() if n >= 10}
     assert collocations(docs(spark, [])).count() == 0
+
+
+def test_letter_grams_equal_brute_force(monkeypatch):
+    grams = Grams()
+    rng = random.Random(4)
+    for text in ["", "a", "1 2!", "Ab  c", "été 1 ÉTÉ", "字漢字", "".join(rng.choice("ab é.1\n") for _ in range(500)), " a" * 40]:
+        spaced = " " + re.sub("[^a-zéßà-ÿ字漢]+", " ", text.lower()) + " "
+        spaced = re.sub(" +", " ", spaced)
+        singles = {}
+        want = np.zeros(lang_centroids.DIMENSIONS, np.int64)
+        for k in range(1, 5):
+            for i in range(len(spaced) - k + 1):
+                g = spaced[i : i + k]
+                if g == " ":
+                    continue
+                if g not in singles:
+                    h = sum(((0 if c == " " else ord(c)) + j + 1) * int(grams.factor[j]) for j, c in enumerate(g)) % 2**64
+                    singles[g] = ((h ^ h >> 31) * 0x9E3779B97F4A7C15 % 2**64) >> 51
+                want[singles[g]] += 1
+        got = grams.counts(text)
+        assert (got is None) == (not any(c.isalpha() for c in text))
+        if got is not None:
+            assert (got == want).all()
+            for size in (1, 2, 7, 64):
+                monkeypatch.setattr(lang_centroids, "SLICE", size)
+                assert (grams.counts(text) == want).all()
+            monkeypatch.setattr(lang_centroids, "SLICE", 1 << 19)
+
+
+def test_clusters_part_two_kinds():
+    rng = np.random.default_rng(0)
+    rows = np.abs(np.vstack([rng.normal([1, 0, 0, 0.2], 0.05, (60, 4)), rng.normal([0, 1, 0.1, 0], 0.05, (40, 4))])).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    middles, radii = cluster(rows, 2)
+    own = np.argmax(rows @ middles.T, 1)
+    assert len(set(own[:60])) == len(set(own[60:])) == 1 and own[0] != own[-1]
+    assert np.allclose(np.linalg.norm(middles, axis=1), 1, atol=1e-5) and (radii < 0.05).all()
+    same, _ = cluster(np.repeat(rows[:1], 9, 0), 4)
+    assert len(same) == 1 and np.allclose(same[0], rows[0])
+
+
+def test_languages_by_held_out_documents(spark):
+    table = read(spark, "/root/testdata/sf0.01", "documents")
+    rows = identify(table).join(table.select("doc_id", "lang", "n_chars"), "doc_id").toPandas()
+    held = rows[rows.held_out]
+    assert len(held) > 150 and (held.lang_pred == held.lang).mean() > 0.97
+    assert (held[held.n_chars > 200].lang_pred == held[held.n_chars > 200].lang).mean() > 0.99
+    assert held.accepted.mean() > 0.9 and held.score.between(0, 1).all()
+    right, wrong = held[held.lang_pred == held.lang].score, held[held.lang_pred != held.lang].score
+    assert right.mean() > 0.9 and (wrong.empty or wrong.mean() < right.mean())
+    assert {zlib.crc32(str(i).encode()) % 5 == 0 for i in held.doc_id} == {True} and not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in rows[~rows.held_out].doc_id)
+
+
+def test_labels_of_held_out_documents_are_never_read(spark):
+    table = read(spark, "/root/testdata/sf0.01", "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    twisted = table.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang")))
+    plain, other = (sorted(map(tuple, identify(t).select("doc_id", "lang_pred", "score").collect())) for t in (table, twisted))
+    assert plain == other
+
+
+def test_languages_of_odd_rows(spark):
+    rows = [(k, "the cat and the dog sat on the mat " * 3, "en") for k in range(40)] + [(100 + k, "der hund und die katze auf dem dach " * 3, "de") for k in range(40)]
+    rows += [(200, None, "en"), (201, "", "en"), (202, "123 !?", "en"), (203, "the dog", None), (None, "die katze", "de"), (204, "the mat " * 200_000, None), (204, "the mat " * 200_000, None), (205, "ωμέγα καὶ ἄλφα", None)]
+    got = {}
+    for r in identify(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert [(r.lang_pred, r.score, r.accepted) for k in (200, 201, 202) for r in got[k]] == [("und", 0.0, False)] * 3
+    assert [got[k][0].lang_pred for k in (203, None, 204)] == ["en", "de", "en"] and len(got[204]) == 2 and got[204][0] == got[204][1]
+    assert not got[205][0].accepted and got[205][0].lang_pred in ("en", "de")
+    assert identify(docs(spark, [])).count() == 0
+    assert [(r.lang_pred, r.score) for r in identify(docs(spark, [(1, "text", None)])).collect()] == [("und", 0.0)]
+    assert fit(docs(spark, rows), F.lit(True), languages=1).names in (["de"], ["en"])
