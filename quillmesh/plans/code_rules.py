@@ -1,11 +1,13 @@
-"""Findings over source facts: an ordered ladder of rules, each a relational query, and import cycles.
+"""Findings over source facts: an ordered ladder of rules over the setter calls of each hook, and import cycles.
 
 A hook yields one finding at most, that of its first dependency and first step. Findings on ignored lines are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import graph, relational as rel
@@ -16,36 +18,132 @@ ACTIONS = {
     "safe": ("safe-pattern", 200, "low", "high"),
     "loop": ("confirmed-infinite-loop", 200, "high", "high"),
     "no-deps": ("confirmed-infinite-loop", 201, "high", "high"),
+    "spread": ("potential-issue", 410, "medium", "medium"),
     "guarded": ("potential-issue", 501, "medium", "medium"),
     "memo": ("potential-issue", 420, "low", "medium"),
 }
+#: Calls that run their callbacks later.
+DEFERRING = ["setTimeout", "setInterval", "requestAnimationFrame", "requestIdleCallback", "then", "catch", "finally", "onSnapshot", "onAuthStateChanged", "onValue", "onChildAdded", "onChildChanged", "onChildRemoved", "subscribe", "observe", "addEventListener"]
+_BRANCHING = ["if", "while", "for", "switch", "catch"]
+
+
+def _struct(**fields: Column) -> Column:
+    """A struct by names, which fields of structs made inside lambdas lose otherwise."""
+    return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
+
+
+def setter_sites(body: str, setter: Column, state: Column) -> Column:
+    """A struct for each call of ``setter`` in a hook's tokens: where it stands and under what conditions.
+
+    ``conditions`` are the texts of the tests of enclosing ifs and ``and``s, ``exits`` those of ifs before it that return.
+    """
+    base = F.get(body, F.lit(0))["at"]
+    token = lambda at: F.get(body, F.greatest(at - base, F.lit(-1)))
+    text = lambda at: F.coalesce(F.when(at >= base, token(at)["text"]), F.lit(""))
+    joined = lambda first, last: F.array_join(F.transform(F.slice(body, first - base + 1, F.greatest(last - first + 1, F.lit(0))), lambda t: t["text"]), " ")
+    none = lambda test: ~F.exists(body, test)
+    straight = lambda a, s: none(lambda x: (x["at"] > a["at"]) & (x["at"] < s["at"]) & (x["region"] == a["region"]) & (x["text"] == ";"))
+    inside = lambda a, s: (a["at"] < s["at"]) & ((a["region"] < base) | (token(a["region"])["mate"] > s["at"]))
+    block = lambda at, s: (text(at) == "{") & (at < s["at"]) & (token(at)["mate"] > s["at"])
+    test_end = lambda p: token(p["at"] + 1)["mate"]
+    tests = lambda p: (text(p["at"] + 1) == "(") & (test_end(p) >= 0)
+
+    def under(p: Column, s: Column) -> Column:
+        """Whether the branch that begins with the test ``p`` holds the call."""
+        after = test_end(p) + 1
+        return tests(p) & (test_end(p) < s["at"]) & (block(after, s) | ((text(after) != "{") & inside(p, s) & straight(p, s)))
+
+    def other(p: Column, s: Column) -> Column:
+        after = p["at"] + 1
+        return block(after, s) | (~text(after).isin("{", "if") & inside(p, s) & straight(p, s))
+
+    def left(p: Column, s: Column) -> Column:
+        """Whether the if ``p`` before the call returns."""
+        after = test_end(p) + 1
+        return tests(p) & inside(p, s) & (after < s["at"]) & ((text(after) == "return") | ((text(after) == "{") & (text(after + 1) == "return") & (token(after)["mate"] < s["at"])))
+
+    def returned(a: Column, s: Column) -> Column:
+        """Whether the call stands in a function that the hook returns."""
+        first = F.when(a["text"] == "function", a["at"]).when(text(a["at"] - 1) == ")", token(a["at"] - 1)["mate"]).otherwise(a["at"] - 1)
+        held = F.when(a["text"] == "=>", block(a["at"] + 1, s) | ((text(a["at"] + 1) != "{") & straight(a, s))).otherwise(straight(a, s))
+        return a["text"].isin("=>", "function") & inside(a, s) & held & ((text(first - 1) == "return") | ((text(first - 1) == "async") & (text(first - 2) == "return")))
+
+    def site(s: Column) -> Column:
+        before, argument = text(s["at"] - 1), s["at"] + 2
+        chained = before.isin("&&", "||", "??", "?") | ((before == ":") & F.exists(body, lambda x: (x["text"] == "?") & (x["at"] < s["at"]) & (x["region"] == s["region"])))
+        start = F.coalesce(F.array_max(F.transform(F.filter(body, lambda x: (x["at"] < s["at"] - 1) & (x["region"] == s["region"]) & x["text"].isin(";", "{", "}", "=>")), lambda x: x["at"])), s["region"]) + 1
+        ands = F.when(before == "&&", F.array(joined(F.greatest(start, base), s["at"] - 2))).otherwise(F.array().cast("array<string>"))
+        conditions = F.transform(F.filter(body, lambda p: (p["text"] == "if") & under(p, s)), lambda p: joined(p["at"] + 2, test_end(p) - 1))
+        exits = F.transform(F.filter(body, lambda p: (p["text"] == "if") & left(p, s)), lambda p: joined(p["at"] + 2, test_end(p) - 1))
+        return _struct(
+            deferred=F.exists(body, lambda r: (r["text"] == "(") & (r["at"] < s["at"]) & (r["mate"] > s["at"]) & text(r["at"] - 1).isin(DEFERRING)),
+            cleanup=F.exists(body, lambda a: returned(a, s)),
+            conditional=chained | F.exists(body, lambda p: (p["text"].isin(_BRANCHING) & under(p, s)) | ((p["text"] == "else") & other(p, s)) | ((p["text"] == "if") & left(p, s))),
+            functional=(text(argument) == "function") | (text(argument + 1) == "=>") | ((text(argument) == "(") & (text(token(argument)["mate"] + 1) == "=>")),
+            conditions=F.concat(conditions, ands), exits=exits, argument=joined(argument, token(s["at"] + 1)["mate"] - 1),
+        )
+
+    calls = F.filter(body, lambda t: (t["text"] == setter) & (text(t["at"] + 1) == "(") & (text(t["at"] - 1) != "."))
+    return F.transform(calls, site)
+
+
+def _guard(state: Column) -> Column:
+    """What the conditions of the row's ``sites`` mean for ``state``: safe if they end a loop after one turn, spread if a test of
+    one property is followed by a new object, which ends none; null otherwise."""
+    name = F.regexp_replace(state, r"\$", r"\\\$")
+    matches = lambda x, *parts: F.regexp_like(x, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+
+    def kind(site: Column, test: Column) -> Column:
+        flipped = (test == F.concat(F.lit("! "), state)) & ~site["argument"].isin("") & (site["argument"] != state)
+        dropped = (test == state) & site["argument"].isin("false", "null", "undefined")
+        member = matches(test, r"^", name, r" (\.|\?\.) [\w$]+( (\.|\?\.) [\w$]+)* !==? ") | matches(test, r" !==? ", name, r" (\.|\?\.) [\w$]+( (\.|\?\.) [\w$]+)*$")
+        unequal = matches(test, r"^", name, r" !==? ") | matches(test, r" !==? ", name, "$")
+        spread = matches(site["argument"], r"^\{.*\.\.\. ", name, r"\b")
+        return F.when(flipped | dropped | unequal, "safe").when(member, F.when(spread, "spread").otherwise("safe"))
+
+    def exit_kind(test: Column) -> Column:
+        return F.when((test == state) | matches(test, r"^", name, r" ===? ") | matches(test, r" ===? ", name, "$"), "safe")
+
+    def of(site: Column) -> Column:
+        parts = F.flatten(F.transform(site["conditions"], lambda c: F.split(c, " && ")))
+        return F.concat(F.transform(parts, lambda t: kind(site, t)), F.transform(site["exits"], exit_kind))
+
+    return F.array_min(F.flatten(F.transform(F.filter("sites", lambda s: ~s["deferred"] & ~s["cleanup"]), of)))
+
 
+def hook_findings(files: DataFrame, marker: str = "loop-ignore", trust_guards: bool = False) -> DataFrame:
+    """(path, line, hook, dependency, setter, type, code, severity, confidence).
 
-def hook_findings(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
-    """(path, line, hook, dependency, setter, type, code, severity, confidence)."""
-    hooks = facts.hooks(files)
-    pairs = facts.state_pairs(files)
-    key = ["path", "line", "hook"]
-    deps = hooks.where("deps is not null").select(*key, "body", F.posexplode("deps").alias("dep_pos", "state")).join(pairs, ["path", "state"])
-    deps = deps.where(F.expr("regexp_like(body, concat('\\\\b', setter, '\\\\s*\\\\('))"))
-    functional = F.expr(r"regexp_like(body, concat('\\b', setter, '\\s*\\(\\s*\\(?\\s*[\\w$]+\\s*\\)?\\s*=>'))")
-    deferred = F.expr(r"regexp_like(body, concat('(?s)\\b(setTimeout|setInterval|requestAnimationFrame|addEventListener|subscribe)\\s*\\(.*\\b', setter, '\\s*\\('))")
-    guarded = F.expr(r"regexp_like(body, concat('(?s)\\bif\\s*\\([^)]*\\b', state, '\\b[^)]*\\).*\\b', setter, '\\s*\\('))")
+    Files are scanned once and neither contents nor tokens are shuffled: every dependency that is a state meets the calls of
+    its setter inside the row. With ``trust_guards`` tests that end a loop after one turn make a call safe, and tests of one
+    property before a new object are told apart; otherwise any condition is a potential issue.
+    """
+    calls = facts.hook_calls(files.withColumn("silent", facts.silent_lines(F.coalesce("content", F.lit("")), marker)), "silent").where(~F.array_contains("silent", F.col("line")))
     effect = F.col("hook").isin(facts.EFFECT_HOOKS)
-    one = lambda rows, step, action: rows.select(*key, "dep_pos", F.lit(step).alias("step"), F.col("state").alias("dependency"), "setter", F.lit(action).alias("action"))
-    steps = [
-        one(deps.where(deferred), 1, "safe"),
-        one(deps.where(effect & guarded), 2, "guarded"),
-        one(deps.where(effect), 3, "loop"),
-        one(deps.where(~effect & functional), 4, "stop"),
-        one(deps.where(~effect), 5, "memo"),
-    ]
-    bare = hooks.where(effect & F.col("deps").isNull()).join(pairs, "path").where(F.expr("regexp_like(body, concat('\\\\b', setter, '\\\\s*\\\\('))"))
-    steps.append(bare.select(*key, F.lit(0).alias("dep_pos"), F.lit(0).alias("step"), F.col("state").alias("dependency"), "setter", F.lit("no-deps").alias("action")))
-    won = rel.first_match(steps, key, ["dep_pos", "step", "setter"])
-    catalog = files.sparkSession.createDataFrame([(a, *v) for a, v in ACTIONS.items()], "action string, type string, code int, severity string, confidence string")
-    won = won.join(F.broadcast(catalog), "action")  # as many rows as ACTIONS
-    return won.join(facts.ignored_lines(files, marker), ["path", "line"], "left_anti").select(*key, "dependency", "setter", "type", "code", "severity", "confidence")
+    key = ["path", "line", "hook", "at"]
+    setter_of = lambda d: F.get(F.filter("pairs", lambda p: p["state"] == d), F.lit(0))["setter"]
+    deps = calls.where("deps is not null").select(*key, "body", "pairs", F.posexplode("deps").alias("dep_pos", "dependency")).withColumn("setter", setter_of(F.col("dependency"))).where("setter is not null")
+    deps = deps.select(*key, "dep_pos", "dependency", "setter", setter_sites("body", F.col("setter"), F.col("dependency")).alias("sites")).where("size(sites) > 0")
+    some = lambda *flags: F.exists("sites", lambda s: reduce(lambda a, b: a & b, [~s[f[1:]] if f[0] == "!" else s[f] for f in flags]))
+    guard = _guard(F.col("dependency")) if trust_guards else F.lit(None).cast("string")
+    deps = deps.select("*", guard.alias("guard"))
+    action = (
+        F.when(F.col("guard").isNotNull(), F.col("guard"))
+        .when(some("deferred"), "safe")
+        .when(effect & some("cleanup"), "loop")
+        .when(effect & some("!deferred", "!cleanup", "!conditional"), "loop")
+        .when(effect & some("!deferred", "!cleanup"), "guarded")
+        .when(~effect & some("functional"), "stop")
+        .when(~effect & some("!deferred"), "memo")
+    )
+    judged = deps.select(*key, "dep_pos", "dependency", "setter", action.alias("action")).where("action is not null")
+    first = rel.first_of(judged, key, ["dep_pos"]).where("action != 'stop'").drop("dep_pos")
+    called = lambda p: F.exists("body", lambda t: (t["text"] == p["setter"]) & (F.get("body", t["at"] - F.col("body")[0]["at"] + 1)["text"] == "("))
+    bare = calls.where(effect & (F.col("n_args") == 1)).select(*key, F.array_min(F.transform(F.filter("pairs", called), lambda p: _struct(setter=p["setter"], state=p["state"]))).alias("p")).where("p is not null")
+    bare = bare.select(*key, F.col("p.state").alias("dependency"), "p.setter", F.lit("no-deps").alias("action"))
+    value = lambda k: F.coalesce(*(F.when(F.col("action") == a, F.lit(v[k])) for a, v in ACTIONS.items()))
+    found = first.unionByName(bare)
+    return found.select("path", "line", "hook", "dependency", "setter", value(0).alias("type"), value(1).alias("code"), value(2).alias("severity"), value(3).alias("confidence"))
 
 
 def import_cycles(files: DataFrame, longest: int | None = None) -> DataFrame:

@@ -112,6 +112,68 @@ def effect_findings(spark, d):
     return hook_findings(components(spark, d)).select("path", "line", "code")
 
 
+#: Lines of a component from its hook on, with S for the state and T for its setter; the hook's line among them, its name, its
+#: dependencies, and the code of its finding with plain conditions and with trusted guards.
+_SHAPES = [
+    ("useEffect(() => T(1), [S]);", 0, "useEffect", "S", 200, 200),
+    ("useEffect(() => T(1), [other]);", 0, "useEffect", "other", None, None),
+    ("useEffect(() => { T(1); }, [S[0], S.size]);", 0, "useEffect", "S,S", 200, 200),
+    ("// useEffect(() => { T(1); }, [S]);\nuseMemo(() => S + 1, [S]);", 1, "useMemo", "S", None, None),
+    ("useEffect(() => { log(1); });\nT(3);", 0, "useEffect", None, None, None),
+    ("useEffect(() => { log('T(', `${S}`); }, [S]);", 0, "useEffect", "S", None, None),
+    ("useEffect(\n  () => {\n    const a = { b: { c: [1] } };\n    T({ ...a });\n  },\n  [other, S],\n);", 0, "useEffect", "other,S", 200, 200),
+    ("useLayoutEffect(() => T(1));", 0, "useLayoutEffect", None, 201, 201),
+    ("useEffect(() => { const t = setTimeout(() => T(S + 1), 5); return () => clearTimeout(t); }, [S]);", 0, "useEffect", "S", 200, 200),
+    ("useEffect(() => {\n  log(1);\n  return () => { T(0); };\n}, [S]);", 0, "useEffect", "S", 200, 200),
+    ("useEffect(() => { if (S < 3) T(S + 1); }, [S]);", 0, "useEffect", "S", 501, 501),
+    ("useEffect(() => { if (S !== 3) { T(3); } }, [S]);", 0, "useEffect", "S", 501, 200),
+    ("log(2);\nuseEffect(() => { if (S.id !== 5) T({ ...S, id: 5 }); }, [S.id]);", 1, "useEffect", "S", 501, 410),
+    ("useCallback(() => { T(S + 1); }, [S]);", 0, "useCallback", "S", 420, 420),
+    ("useCallback(() => { T((n) => n + 1); }, [S]);", 0, "useCallback", "S", None, None),
+    ("/* loop-ignore-next-line */\nuseEffect(() => T(1), [S]);", 1, "useEffect", "S", None, None),
+]
+_NAMES = ["mood", "rows", "total", "draft", "seen"]
+
+
+def varied(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): a component for each order, of a shape, state name and first line by its key."""
+    k, n = F.col("o_orderkey"), len(_SHAPES)
+    pick = lambda of, values: F.element_at(F.array(*(F.lit(v) for v in values)), (of + 1).cast("int"))
+    name = pick(k % len(_NAMES), _NAMES)
+    setter = F.concat(F.lit("set"), F.initcap(name))
+    shape = F.replace(F.regexp_replace(pick(F.floor(k / 4) % n, [s[0] for s in _SHAPES]), r"\bT\(", "@("), F.lit("S"), name)
+    body = _text("import { useState } from 'react';\n", F.repeat(F.lit("// note (\n"), (k % 3).cast("int")), "export function View() {\nconst [", name, ", ", setter, "] = useState<A>(make());\n", F.replace(shape, F.lit("@("), F.concat(setter, F.lit("("))), "\n}\n")
+    return table(spark, d, "orders").select(_text("/app/v", k, ".tsx").alias("path"), body.alias("content"))
+
+
+def _by_shape(at: int, case=lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else v) -> str:
+    return "CASE o_orderkey // 4 % " + f"{len(_SHAPES)} " + " ".join(f"WHEN {i} THEN {case(s[at])}" for i, s in enumerate(_SHAPES)) + " END"
+
+
+_STATE = f"list_extract({_NAMES}, (o_orderkey % {len(_NAMES)} + 1)::INTEGER)"
+_VARIED = f"SELECT '/app/v' || o_orderkey || '.tsx' AS path, (o_orderkey % 3 + 4 + {_by_shape(1)})::INTEGER AS line, {_by_shape(2)} AS hook"
+
+
+@query(f"{_VARIED}, replace({_by_shape(3)}, 'S', {_STATE}) AS deps FROM orders")
+def varied_hooks(spark, d):
+    return facts.hooks(varied(spark, d)).select("path", "line", "hook", F.array_join("deps", ",").alias("deps"))
+
+
+@query(f"SELECT * FROM ({_VARIED}, {_STATE} AS dependency, {_by_shape(4)} AS code FROM orders) WHERE code IS NOT NULL")
+def varied_findings(spark, d):
+    return hook_findings(varied(spark, d)).select("path", "line", "hook", "dependency", "code")
+
+
+@query(f"SELECT * FROM ({_VARIED}, {_STATE} AS dependency, {_by_shape(5)} AS code FROM orders) WHERE code IS NOT NULL")
+def trusted_findings(spark, d):
+    return hook_findings(varied(spark, d), trust_guards=True).select("path", "line", "hook", "dependency", "code")
+
+
+@query(f"SELECT '/app/v' || o_orderkey || '.tsx' AS path, {_STATE} AS state, 'set' || upper({_STATE}[1]) || {_STATE}[2:] AS setter FROM orders")
+def varied_states(spark, d):
+    return facts.state_pairs(varied(spark, d))
+
+
 @query("SELECT '/app/o' || o_orderkey || '.tsx' AS path, 'tally' AS state, 'setTally' AS setter FROM orders")
 def state_setters(spark, d):
     return facts.state_pairs(components(spark, d))

@@ -1,7 +1,7 @@
-"""Facts of front-end source files as tables, read off by regular expressions inside Spark.
+"""Facts of front-end source files as tables, read off by regular expressions and nesting regions inside Spark.
 
 A file is a row (path, content). Imports, exports, hook calls, state pairs and effects become rows with their line; nothing
-here builds a syntax tree, so facts are those that a declaration's or call's head line shows (see README).
+here builds a syntax tree: imports and exports are what their head line shows, hooks and states go by bracket pairs.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators.graph import closure
 from quillmesh.operators.resolution import expand_aliases
+from quillmesh.sources.regions import part, text_at, tokenized
 
 #: Hooks whose dependencies are read, and those that count as effects.
 DEP_HOOKS = ["useEffect", "useLayoutEffect", "useMemo", "useCallback", "useImperativeHandle"]
 EFFECT_HOOKS = ["useEffect", "useLayoutEffect"]
+STATE_HOOKS = ["useState", "useReducer"]
 #: Suffixes that a relative import may leave out, in the order they are tried.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 #: Files above this size, or without a trace of the framework in their first characters, are left out.
@@ -82,27 +84,55 @@ def exports(files: DataFrame) -> DataFrame:
     return rows.where(~F.col("name").isin("from", "type", "interface", "enum")).select("path", "name", (F.col("d") != "").alias("is_default"), memo.alias("is_memoized"), "line")
 
 
+def _pairs(tokens: str) -> Column:
+    """(state, setter) of the pairs in a file's tokens, of equal state names the last one."""
+    at = lambda t, k: text_at(tokens, t["at"] + k)
+    made = lambda t: at(t, 6).isin(STATE_HOOKS) | ((at(t, 6) == "React") & at(t, 8).isin(STATE_HOOKS))
+    heads = F.filter(tokens, lambda t: (t["text"] == "[") & (t["mate"] == t["at"] + 4) & (at(t, 2) == ",") & (at(t, 5) == "=") & made(t))
+    pairs = F.transform(heads, lambda t: F.named_struct(F.lit("state"), at(t, 1), F.lit("setter"), at(t, 3), F.lit("line"), t["line"]))
+    return F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["state"] == p["state"]))
+
+
 def state_pairs(files: DataFrame) -> DataFrame:
     """(path, state, setter): of equal state names in a file the last one counts."""
-    rows = _found(files, r"\[\s*([\w$]+)\s*,\s*([\w$]+)\s*\]\s*=\s*(?:React\.)?use(?:State|Reducer)\b", "state", "setter")
-    return rows.groupBy("path", "state").agg(F.max_by("setter", "ord").alias("setter"))
+    return tokenized(files).select("path", F.explode(_pairs("tokens")).alias("p")).select("path", "p.state", "p.setter")
 
 
-def hooks(files: DataFrame) -> DataFrame:
-    """(path, line, hook, body, deps): deps is null without an array, and holds the root names of its entries.
+def hook_calls(files: DataFrame, *keep: str) -> DataFrame:
+    """(path, keep..., pairs, hook, line, at, n_args, deps, body) of each hook call, one scan without a shuffle.
 
-    The text is cut before each hook call; a call's text ends where a statement follows its closing brace and parenthesis.
+    ``body`` are the tokens of the arguments before the dependencies; ``deps`` the root names of the entries of the last
+    argument, null unless that is an array behind another argument. ``pairs`` are the file's states and setters.
     """
-    head = rf"\b(?:React\.)?(?:{'|'.join(DEP_HOOKS)})\s*\("
-    parts = files.select("path", F.split("content", f"(?={head})").alias("parts"))
-    rows = parts.select("path", "parts", F.posexplode("parts").alias("at", "part")).where(F.col("part").rlike(f"^{head}"))
-    line = F.expr("length(regexp_replace(array_join(slice(parts, 1, at), ''), '[^\\n]', '')) + 1")
-    call = F.split("part", r"\}\s*\)\s*;\s*(?:const|let|var|function|return|export|if|for|use[A-Z]|//|/\*)")[0]
-    rows = rows.select("path", line.alias("line"), call.alias("call"))
-    tail = r"\}\s*,\s*\[([^\[\]]*)\]\s*\)"
-    roots = F.transform(_names(F.regexp_extract("call", tail, 1)), lambda n: F.substring_index(n, ".", 1))
-    body = F.split("call", tail, 2)[0]
-    return rows.select("path", "line", F.regexp_extract("call", r"(use\w+)", 1).alias("hook"), body.alias("body"), F.when(F.col("call").rlike(tail), roots).alias("deps"))
+    before = lambda t, k: text_at("tokens", t["at"] - k)
+    own = lambda t: ~before(t, 1).isin(".", "function") | ((before(t, 1) == ".") & (before(t, 2) == "React"))
+    heads = F.filter("tokens", lambda t: t["text"].isin(DEP_HOOKS) & (text_at("tokens", t["at"] + 1) == "(") & (F.get("tokens", t["at"] + 1)["mate"] >= 0) & own(t))
+    calls = F.transform(heads, lambda t: part("tokens", t["at"], F.get("tokens", t["at"] + 1)["mate"]))
+    rows = tokenized(files, *keep).select("path", *keep, _pairs("tokens").alias("pairs"), F.explode(calls).alias("call"))
+    token = lambda at: F.get("call", at - F.col("at"))
+    rows = rows.select("*", F.col("call")[0]["text"].alias("hook"), F.col("call")[0]["line"].alias("line"), F.col("call")[0]["at"].alias("at"), F.element_at("call", -1)["at"].alias("close"))
+    cuts = F.transform(F.filter("call", lambda t: (t["text"] == ",") & (t["region"] == F.col("at") + 1) & (t["at"] + 1 != F.col("close"))), lambda t: t["at"])
+    rows = rows.select("*", cuts.alias("cuts"))
+    rows = rows.select("*", F.when(F.col("close") == F.col("at") + 2, 0).otherwise(F.size("cuts") + 1).alias("n_args"), F.coalesce(F.try_element_at("cuts", F.lit(-1)) + 1, F.col("at") + 2).alias("last"))
+    end = F.col("close") - F.when(token(F.col("close") - 1)["text"] == ",", 2).otherwise(1)
+    listed = (F.col("n_args") > 1) & (token(F.col("last"))["text"] == "[") & (token(F.col("last"))["mate"] == end)
+    entries = F.transform(F.filter("call", lambda t: (t["at"] == F.col("last")) | ((t["text"] == ",") & (t["region"] == F.col("last")))), lambda t: token(t["at"] + 1)["text"])
+    deps = F.when(listed, F.filter(entries, lambda x: x.rlike("^[A-Za-z_$]")))
+    body = part("call", F.lit(2), F.when(F.col("n_args") > 1, F.col("last") - 2 - F.col("at")).otherwise(F.col("close") - 1 - F.col("at")))
+    return rows.select("path", *keep, "pairs", "hook", "line", "at", "n_args", deps.alias("deps"), body.alias("body"))
+
+
+def hooks(files: DataFrame) -> DataFrame:
+    """(path, line, hook, body, deps): deps is null without an array, and holds the root names of its entries; the body's
+    tokens are parted by blanks."""
+    return hook_calls(files).select("path", "line", "hook", F.array_join(F.transform("body", lambda t: t["text"]), " ").alias("body"), "deps")
+
+
+def silent_lines(content: Column, marker: str) -> Column:
+    """The lines of a text that a comment ``marker`` on them, or ``marker``-next-line on the one before, silences."""
+    lines = F.split(content, "\n")
+    hits = F.transform(lines, lambda x, k: F.when(x.rlike(rf"(//|/\*)\s*{marker}(?![\w-])"), k + 1).when(x.rlike(rf"(//|/\*)\s*{marker}-next-line\b"), k + 2))
+    return F.when(F.contains(content, F.lit(marker)), F.filter(hits, lambda k: k.isNotNull())).otherwise(F.array().cast("array<int>"))
 
 
 def ignored_lines(files: DataFrame, marker: str = "loop-ignore") -> DataFrame:
