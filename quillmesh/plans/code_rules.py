@@ -32,7 +32,7 @@ def _struct(**fields: Column) -> Column:
     return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
 
 
-def setter_sites(body: str, setter: Column, state: Column) -> Column:
+def setter_sites(body: str, setter: Column) -> Column:
     """A struct for each call of ``setter`` in a hook's tokens: where it stands and under what conditions.
 
     ``conditions`` are the texts of the tests of enclosing ifs and ``and``s, ``exits`` those of ifs before it that return.
@@ -122,13 +122,17 @@ def hook_findings(files: DataFrame, marker: str = "loop-ignore", trust_guards: b
     effect = F.col("hook").isin(facts.EFFECT_HOOKS)
     key = ["path", "line", "hook", "at"]
     setter_of = lambda d: F.get(F.filter("pairs", lambda p: p["state"] == d), F.lit(0))["setter"]
-    deps = calls.where("deps is not null").select(*key, "body", "pairs", F.posexplode("deps").alias("dep_pos", "dependency")).withColumn("setter", setter_of(F.col("dependency"))).where("setter is not null")
-    deps = deps.select(*key, "dep_pos", "dependency", "setter", setter_sites("body", F.col("setter"), F.col("dependency")).alias("sites")).where("size(sites) > 0")
+    listed = F.transform("deps", lambda d: _struct(setter=setter_of(d), state=d))
+    bare = F.when(effect & (F.col("n_args") == 1), F.array_sort(F.transform("pairs", lambda p: _struct(setter=p["setter"], state=p["state"]))))
+    called = lambda c: F.exists("body", lambda t: (t["text"] == c["setter"]) & (F.get("body", t["at"] - F.col("body")[0]["at"] + 1)["text"] == "("))
+    tried = calls.select(*key, "body", F.col("deps").isNull().alias("bare"), F.posexplode(F.filter(F.coalesce(listed, bare), called)).alias("dep_pos", "c"))
+    deps = tried.select(*key, "bare", "dep_pos", F.col("c.state").alias("dependency"), F.col("c.setter").alias("setter"), setter_sites("body", F.col("c.setter")).alias("sites"))
     some = lambda *flags: F.exists("sites", lambda s: reduce(lambda a, b: a & b, [~s[f[1:]] if f[0] == "!" else s[f] for f in flags]))
     guard = _guard(F.col("dependency")) if trust_guards else F.lit(None).cast("string")
-    deps = deps.select("*", guard.alias("guard"))
     action = (
-        F.when(F.col("guard").isNotNull(), F.col("guard"))
+        F.when(F.size("sites") == 0, None)
+        .when(F.col("bare"), "no-deps")
+        .when(guard.isNotNull(), guard)
         .when(some("deferred"), "safe")
         .when(effect & some("cleanup"), "loop")
         .when(effect & some("!deferred", "!cleanup", "!conditional"), "loop")
@@ -136,13 +140,10 @@ def hook_findings(files: DataFrame, marker: str = "loop-ignore", trust_guards: b
         .when(~effect & some("functional"), "stop")
         .when(~effect & some("!deferred"), "memo")
     )
-    judged = deps.select(*key, "dep_pos", "dependency", "setter", action.alias("action")).where("action is not null")
-    first = rel.first_of(judged, key, ["dep_pos"]).where("action != 'stop'").drop("dep_pos")
-    called = lambda p: F.exists("body", lambda t: (t["text"] == p["setter"]) & (F.get("body", t["at"] - F.col("body")[0]["at"] + 1)["text"] == "("))
-    bare = calls.where(effect & (F.col("n_args") == 1)).select(*key, F.array_min(F.transform(F.filter("pairs", called), lambda p: _struct(setter=p["setter"], state=p["state"]))).alias("p")).where("p is not null")
-    bare = bare.select(*key, F.col("p.state").alias("dependency"), "p.setter", F.lit("no-deps").alias("action"))
+    judged = deps.select(*key, "dep_pos", "dependency", "setter", action.alias("action")).withColumn("idle", F.col("action").isNull())
+    # rows are dropped behind the aggregation only: a filter before it would be moved down and work out all sites again
+    found = rel.first_of(judged, key, ["idle", "dep_pos"]).where("action is not null and action != 'stop'")
     value = lambda k: F.coalesce(*(F.when(F.col("action") == a, F.lit(v[k])) for a, v in ACTIONS.items()))
-    found = first.unionByName(bare)
     return found.select("path", "line", "hook", "dependency", "setter", value(0).alias("type"), value(1).alias("code"), value(2).alias("severity"), value(3).alias("confidence"))
 
 
