@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import lookups
-from quillmesh.operators import graph, relational as rel, resolution as res
+from quillmesh.operators import flow, graph, relational as rel, resolution as res
 from quillmesh.plans.code_rules import cross_file_cycles, hook_findings
 from quillmesh.plans.table_queries import _edges, _LEVEL, table, trade
 from quillmesh.sources import code_facts as facts
@@ -308,3 +308,51 @@ def code_frames(spark, d):
 @query(f"""WITH {_edges(2)} SELECT '  "' || src || '" -> "' || dst || '" [label="' || n || '"];' AS line FROM edges""")
 def dot_graph(spark, d):
     return sinks.dot_lines(trade(spark, d, 2), "src", "dst", "n")
+
+
+#: Parts in blocks of 50, each a graph of its own: every part leads to one by a square, some to the next as well.
+_BLOCKS = """e AS (SELECT p_partkey AS src, p_partkey // 50 * 50 + ((p_partkey % 50) * (p_partkey % 50) + 1 + p_partkey // 50) % 50 AS dst FROM part
+UNION SELECT p_partkey, p_partkey // 50 * 50 + (p_partkey % 50 + 1) % 50 FROM part WHERE p_partkey % 10 < 4)"""
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src)
+SELECT n.node, least(n.node, coalesce((SELECT min(a.dst) FROM reach a JOIN reach b ON a.src = n.node AND b.src = a.dst AND b.dst = n.node), n.node)) AS part FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n""")
+def strong_parts(spark, d):
+    p = F.col("p_partkey")
+    part, block, at = table(spark, d, "part"), F.floor(p / 50).cast("bigint"), p % 50
+    e = part.select(p.alias("src"), (block * 50 + (at * at + 1 + block) % 50).alias("dst"))
+    return graph.strong_parts(e.union(part.where("p_partkey % 10 < 4").select("p_partkey", block * 50 + (at + 1) % 50)))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey // 25 AS g, p_partkey % 25 AS i FROM part), m AS (SELECT g, min(i) AS root, max(i) AS exit FROM p GROUP BY g),
+e AS (SELECT g, i AS src, i + 1 AS dst FROM p UNION SELECT g, i, i + 2 FROM p WHERE (i * i + g) % 3 = 0 UNION SELECT g, i, i - 3 FROM p WHERE i % 7 = 6), f AS (SELECT g, src, dst FROM e JOIN p ON p.g = e.g AND p.i = e.dst),
+walk AS (SELECT p.g, p.i AS out, root AS node FROM p JOIN m USING (g) WHERE p.i <> root UNION SELECT w.g, w.out, f.dst FROM walk w JOIN f ON f.g = w.g AND f.src = w.node AND f.dst <> w.out)
+SELECT p.g AS graph, p.i AS node FROM p JOIN m USING (g) WHERE p.i = root OR p.i = exit OR NOT EXISTS (SELECT 1 FROM walk w WHERE w.g = p.g AND w.out = p.i AND w.node = m.exit)""".replace("SELECT g, src, dst FROM e JOIN p ON", "SELECT e.g, src, dst FROM e JOIN p ON"))
+def guaranteed_nodes(spark, d):
+    """In graphs of 25 parts, which every way from the first to the last part passes."""
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 25).cast("bigint").alias("graph"), (F.col("p_partkey") % 25).alias("i"))
+    step = lambda rows, by: rows.select("graph", F.col("i").alias("src"), (F.col("i") + by).alias("dst"))
+    e = step(p, 1).union(step(p.where("(i * i + graph) % 3 = 0"), 2)).union(step(p.where("i % 7 = 6"), -3)).distinct()
+    e = e.join(p.withColumnRenamed("i", "dst"), ["graph", "dst"], "left_semi")
+    ends = p.groupBy("graph").agg(F.min("i").alias("root"), F.max("i").alias("exit"))
+    tree = graph.dominator_tree(e, ends.select("graph", F.col("root").alias("node")))
+    return graph.guaranteed(tree, ends.select("graph", F.col("exit").alias("node")))
+
+
+@query("""WITH RECURSIVE fn AS (SELECT 'f' || n_nationkey % 15 AS name, n_regionkey AS file, n_nationkey % 4 = 0 AS exported, n_nationkey AS ord, list_filter(['set' || n_regionkey, 'put' || n_nationkey % 5], lambda x: n_nationkey % 3 = 0 OR x[1] = 'p' AND n_nationkey % 5 = 1) AS setters FROM nation),
+one AS (SELECT * FROM fn QUALIFY row_number() OVER (PARTITION BY name ORDER BY exported DESC, CASE WHEN exported THEN -ord ELSE ord END) = 1),
+inner_ AS (SELECT name, k, 'f' || ((ord * (2 * k + 1) + 1 + 3 * k) % 15) AS callee FROM one, (VALUES (0), (1)) t(k)),
+steps AS (SELECT i.* FROM inner_ i JOIN one o ON o.name = i.callee),
+ways AS (SELECT name AS src, name AS dst, [name] AS seen, []::INTEGER[] AS path FROM one UNION ALL SELECT w.src, s.callee, list_append(seen, s.callee), list_append(path, s.k + 1) FROM ways w JOIN steps s ON s.name = w.dst WHERE NOT list_contains(seen, s.callee)),
+found AS (SELECT src, setter, min(list_concat(path, [0, pos])) AS place FROM (SELECT w.src, w.path, unnest(range(len(setters)))::INTEGER AS pos, unnest(setters) AS setter FROM ways w JOIN one o ON o.name = w.dst) GROUP BY ALL),
+lists AS (SELECT src, string_agg(setter, ',' ORDER BY place) AS setters FROM found GROUP BY src)
+SELECT c_custkey // 3 AS hook, max(c_custkey) AS call, arg_max(setters, c_custkey) AS setters FROM customer JOIN lists ON src = 'f' || c_custkey % 20 WHERE c_custkey % 4 > 0 GROUP BY ALL""")
+def last_call_flow(spark, d):
+    """Functions of few names, as nations; each third customer is a hook, its customers calls that pass up to three setters."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    setters = F.filter(F.array(_text("set", F.col("n_regionkey")), _text("put", k % 5)), lambda x: (k % 3 == 0) | ((F.substring(x, 1, 1) == "p") & (k % 5 == 1)))
+    functions = n.select(_text("f", k % 15).alias("name"), F.col("n_regionkey").alias("file"), (k % 4 == 0).alias("exported"), k.alias("ord"), setters.alias("setters"))
+    inner = functions.select("name", "file", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda j: F.concat(F.lit("f"), ((F.col("ord") * (2 * j + 1) + 1 + 3 * j) % 15).cast("string")))).alias("ord", "callee"))
+    c = F.col("c_custkey")
+    calls = table(spark, d, "customer").select(F.floor(c / 3).cast("bigint").alias("hook"), c.alias("ord"), _text("f", c % 20).alias("name"), (c % 4).alias("passes"))
+    return flow.setter_flows(calls, functions, inner).select("hook", "call", F.array_join("setters", ",").alias("setters"))

@@ -2,7 +2,7 @@
 
 import random
 
-from quillmesh.operators import graph
+from quillmesh.operators import flow, graph
 from quillmesh.plans.code_rules import import_cycles
 from quillmesh.streaming.incremental import affected
 
@@ -47,3 +47,74 @@ def test_propagation_and_cycles(spark):
     assert {x for x in got if x[1]} == {(n, v) for n in "abcd" for v in ("setX", "setY")}
     assert {tuple(r) for r in graph.cycle_members(edges).collect()} == {("b", 2), ("c", 2)}
     assert graph.cycle_members(edges.limit(0)).count() == 0 and graph.propagated(edges, seeds.limit(0)).count() == 0
+
+
+def _reach(edges, start, out=None):
+    seen, todo = set(), [start]
+    while todo:
+        if (n := todo.pop()) not in seen and n != out:
+            seen.add(n)
+            todo += [b for a, b in edges if a == n]
+    return seen
+
+
+def test_strong_parts(spark):
+    rnd = random.Random(8)
+    for n, share in ((30, 0.03), (30, 0.06), (12, 0.3)):
+        edges = [(a, b) for a in range(n) for b in range(n) if rnd.random() < share]
+        got = {r.node: r.part for r in graph.strong_parts(spark.createDataFrame([*edges, (None, 1), (1, None)], "src int, dst int")).collect()}
+        reach = {a: _reach(edges, a) for a in range(n)}
+        assert got == {a: min(b for b in reach[a] if a in reach[b]) for e in edges for a in e}
+        inner = {tuple(r) for r in graph.inner_edges(spark.createDataFrame(edges, "src int, dst int")).collect()}
+        assert inner == {(a, b) for a, b in edges if a in reach[b]}
+    assert graph.strong_parts(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
+def test_dominator_trees(spark):
+    rnd = random.Random(4)
+    edges = [(g, a, b) for g in range(8) for a in range(10) for b in range(10) if rnd.random() < 0.15] + [(9, k, k + 1) for k in range(10_000)]
+    table, roots = spark.createDataFrame(edges, "graph int, src int, dst int"), spark.createDataFrame([(g, 0) for g in [*range(8), 9, 20]], "graph int, node int")
+    rows = graph.dominator_tree(table, roots).collect()
+    chain = {r.node: r for r in rows if r.graph == 9}
+    assert len(chain) == 10_001 and chain[0].idom is None and all(chain[k].idom == k - 1 for k in range(1, 10_001)) and chain[0].enter < chain[10_000].enter and chain[10_000].leave <= chain[0].leave
+    assert [(r.node, r.idom) for r in rows if r.graph == 20] == [(0, None)]
+    for g in range(8):
+        own, mine = {r.node: r for r in rows if r.graph == g}, [(a, b) for k, a, b in edges if k == g]
+        assert set(own) == _reach(mine, 0)
+        got = {(a, b) for a in own for b in own if own[a].enter <= own[b].enter and own[b].leave <= own[a].leave}
+        assert got == {(a, b) for a in own for b in own if b == a or b not in _reach(mine, 0, a)}
+    exits = spark.createDataFrame([(g, 9) for g in range(8)], "graph int, node int")
+    sure = {tuple(r) for r in graph.guaranteed(spark.createDataFrame(rows, graph.dominator_tree(table, roots).schema), exits).collect() if r.graph < 8}
+    for g in range(8):
+        mine = [(a, b) for k, a, b in edges if k == g]
+        want = {n for n in _reach(mine, 0) if n in (0, 9) or 9 not in _reach(mine, 0, n)} if 9 in _reach(mine, 0) else {0}
+        assert {n for k, n in sure if k == g} == want | {9}
+
+
+def test_flows_of_last_calls(spark):
+    functions = [("save", "a", False, 0, ["setOld"]), ("save", "b", True, 1, ["setX"]), ("save", "c", True, 2, ["setY", "setX"]), ("load", "a", False, 3, []), ("load", "b", False, 4, ["setNo"]), ("loop", "a", True, 5, ["setL"])]
+    inner = [("load", "a", 0, "loop"), ("load", "a", 1, "save"), ("load", "b", 0, "save"), ("loop", "a", 0, "load"), ("loop", "a", 1, "none"), ("save", "a", 0, "loop")]
+    calls = [("h1", 1, "save", 1), ("h1", 2, "load", 1), ("h1", 3, "save", 0), ("h1", 4, "none", 2), ("h2", 1, "load", 0), ("h3", 5, "loop", 1), ("h3", 1, "save", 3)]
+    got = flow.setter_flows(
+        spark.createDataFrame(calls, "hook string, ord int, name string, passes int"), spark.createDataFrame(functions, "name string, file string, exported boolean, ord int, setters array<string>"),
+        spark.createDataFrame(inner, "name string, file string, ord int, callee string"),
+    )
+    assert {(r.hook, r.call): r.setters for r in got.collect()} == {("h1", 2): ["setL", "setY", "setX"], ("h3", 5): ["setL", "setY", "setX"]}
+
+
+def test_first_derivations_are_those_of_a_walk(spark):
+    rnd = random.Random(3)
+    edges = sorted({(a, k, rnd.randrange(9)) for a in range(9) for k in range(rnd.choice([0, 1, 3]))})
+    got = {(r.src, r.dst): list(r.path) for r in graph.first_derivations(spark.createDataFrame([(a, b, k) for a, k, b in edges], "src int, dst int, ord int"), spark.createDataFrame([(a,) for a in range(9)], "src int")).collect()}
+
+    def walk(at, path, seen):
+        yield at, path
+        for a, k, b in edges:
+            if a == at and b not in seen:
+                yield from walk(b, [*path, k], seen | {b})
+
+    want = {}
+    for a in range(9):
+        for b, path in walk(a, [], {a}):
+            want.setdefault((a, b), path)
+    assert got == want
