@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators.shared import written
+
 #: How severities and confidences compare.
 LEVELS = {"low": 1, "medium": 2, "high": 3}
 
@@ -87,26 +89,92 @@ def reverse_index(edges: DataFrame, dst: str, src: str) -> DataFrame:
     return edges.groupBy(dst).agg(F.countDistinct(src).alias("n"), F.min(src).alias("first"))
 
 
-def running_set(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """With ``seen``: how many distinct values of the key up to this row."""
-    first = F.row_number().over(Window.partitionBy(key, value).orderBy(*order)) == 1
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_first", first.cast("long")).withColumn("seen", F.sum("_first").over(w)).drop("_first")
+def _largest(df: DataFrame, key: str) -> int:
+    return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def blocked(df: DataFrame, key: str, order: list[str], blocks: int | None = None) -> DataFrame:
+    """``df`` with ``_block``: ranges of rows by key and order, of about equal size, numbered in that order and written, so that
+    they stay as they are. Rows equal in key and order share a block; a key with most rows is spread over most blocks."""
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(blocks, key, *order).withColumn("_block", F.spark_partition_id()))
+
+
+def _carried(rows: DataFrame, key: str, total: Column, carry, name: str) -> DataFrame:
+    """``rows`` with what earlier blocks of the key hand on: ``carry`` of their totals over a window by block.
+
+    Only keys in more than one block matter. Two neighbouring blocks share one key at most, so there are no more than two such
+    rows for each block: they are broadcast."""
+    totals = rows.groupBy(key, "_block").agg(total.alias("_total"))
+    over = Window.partitionBy(key)
+    many = totals.withColumn("_n", F.count("*").over(over)).where("_n > 1").select(key, "_block", carry(Window.partitionBy(key).orderBy("_block")).alias(name))
+    return rows.join(F.broadcast(many.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key")) & (rows["_block"] == many["_block"]), "left").drop(many["_block"]).drop("_key")
+
+
+def prefix_sum(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` of ``blocked`` with the sum of ``value`` over the key's rows up to each: sums inside blocks, and of whole blocks
+    before. No task has more than a block."""
+    before = lambda w: F.sum("_total").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = _carried(rows, key, F.sum(value), before, "_before")
+    inside = F.sum(value).over(Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return carried.withColumn(name, inside + F.coalesce("_before", F.lit(0))).drop("_before")
 
 
-def two_tier(df: DataFrame, file: str, project: str, ts: str, fast: str, slow: str) -> DataFrame:
+#: Keys with more rows are cut into blocks; up to so many rows of a key are one task's work.
+MOST = 1_000_000
+
+
+def running_set(df: DataFrame, key: str, order: list[str], value: str, most: int = MOST) -> DataFrame:
+    """With ``seen``: how many distinct values of the key up to this row. Null values count as one value.
+
+    If a key has more than ``most`` rows, rows are cut into blocks by key and order: the first row of each value comes from a
+    grouped minimum, and its running count from block sums.
+    """
+    if _largest(df, key) <= most:
+        first = F.row_number().over(Window.partitionBy(key, value).orderBy(*order)) == 1
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_first", first.cast("long")).withColumn("seen", F.sum("_first").over(w)).drop("_first")
+    rows = blocked(df, key, order)
+    at = F.struct(*order)
+    firsts = rows.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.min(at).alias("_at"))
+    same = rows[key].eqNullSafe(F.col("_k")) & rows[value].eqNullSafe(F.col("_v")) & (at == F.col("_at"))
+    rows = rows.join(firsts, same, "left").withColumn("_first", F.col("_at").isNotNull()).drop("_k", "_v", "_at")
+    beside = Window.partitionBy(key, "_block").orderBy(*order, value)  # of rows alike in key, order and value one counts
+    again = F.coalesce(F.lag("_first").over(beside) & F.lag(at).over(beside).eqNullSafe(at) & F.lag(value).over(beside).eqNullSafe(F.col(value)), F.lit(False))
+    rows = rows.withColumn("_first", (F.col("_first") & ~again).cast("long"))
+    return prefix_sum(rows, key, [*order, value], "_first", "seen").drop("_first", "_block")
+
+
+def _sessions(df: DataFrame, key: str, ts: str, gap: str, order: list[str], most: int) -> DataFrame:
+    """``df`` with ``session``: a number that rises with each row more than ``gap`` after the one before it."""
+    later = lambda before: F.coalesce(F.col(ts) > before + F.expr(f"interval {gap}"), F.lit(True)).cast("long")
+    if _largest(df, key) <= most:
+        w = Window.partitionBy(key).orderBy(*order)
+        return df.withColumn("_new", later(F.lag(ts).over(w))).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = blocked(df, key, order)
+    last = F.max_by(F.struct(F.col(ts).alias("ts")), F.struct(*order))
+    carried = _carried(rows, key, last, lambda w: F.lag("_total").over(w), "_earlier")
+    before = F.coalesce(F.lag(F.struct(F.col(ts).alias("ts"))).over(Window.partitionBy(key, "_block").orderBy(*order)), F.col("_earlier"))["ts"]
+    return prefix_sum(carried.withColumn("_new", later(before)).drop("_earlier"), key, order, "_new", "session").drop("_new", "_block")
+
+
+def two_tier(df: DataFrame, file: str, project: str, ts: str, fast: str, slow: str, most: int = MOST) -> DataFrame:
     """(tier, key, start, n): bursts of events of each file by the gap ``fast``, and of each project by ``slow``, as quick
-    checks of one file and full runs are put off; an event at a gap's very end still belongs."""
-    tick = "0.000001 seconds"
-    tier = lambda k, key, gap: df.groupBy(F.col(key).cast("string").alias("key"), F.session_window(ts, f"{gap} {tick}").alias("w")).agg(F.count("*").alias("n")).select(F.lit(k).alias("tier"), "key", F.col("w.start").alias("start"), "n")
+    checks of one file and full runs are put off; an event at a gap's very end still belongs. Events without time are left out."""
+
+    def tier(k: int, key: str, gap: str) -> DataFrame:
+        rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).where("ts is not null")
+        return _sessions(rows, "key", "ts", gap, ["ts"], most).groupBy("key", "session").agg(F.min("ts").alias("start"), F.count("*").alias("n")).select(F.lit(k).alias("tier"), "key", "start", "n")
+
     return tier(1, file, fast).unionByName(tier(2, project, slow))
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap: str, order: list[str]) -> DataFrame:
-    """(key, session, n): a row more than ``gap`` after the one before it starts a session; the batch form of a debounce."""
-    w = Window.partitionBy(key).orderBy(*order)
-    new = F.coalesce((F.col(ts) > F.lag(ts).over(w) + F.expr(f"interval {gap}")), F.lit(True)).cast("long")
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "session").agg(F.count("*").alias("n"))
+def sessions(df: DataFrame, key: str, ts: str, gap: str, order: list[str], most: int = MOST) -> DataFrame:
+    """(key, session, n): a row more than ``gap`` after the one before it starts a session; the batch form of a debounce.
+
+    If a key has more than ``most`` rows, rows are cut into blocks by key and order, so that no task has more than a block.
+    """
+    return _sessions(df, key, ts, gap, order, most).groupBy(key, "session").agg(F.count("*").alias("n"))
 
 
 def consecutive(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
