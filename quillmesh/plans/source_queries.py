@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions import lookups
+from quillmesh.functions import lookups, pattern_index
 from quillmesh.operators import flow, graph, relational as rel, resolution as res
 from quillmesh.plans.code_rules import cross_file_cycles, hook_findings
 from quillmesh.plans.table_queries import _edges, _LEVEL, table, trade
@@ -356,3 +356,25 @@ def last_call_flow(spark, d):
     c = F.col("c_custkey")
     calls = table(spark, d, "customer").select(F.floor(c / 3).cast("bigint").alias("hook"), c.alias("ord"), _text("f", c % 20).alias("name"), (c % 4).alias("passes"))
     return flow.setter_flows(calls, functions, inner).select("hook", "call", F.array_join("setters", ",").alias("setters"))
+
+
+_PATTERNS = """p AS (SELECT DISTINCT unnest(['^' || s_name || '$', 'er#0*' || s_suppkey || '$', '(1|2)' || s_nationkey || '$', 'Customer#0+' || s_nationkey || '[0-5]$', '^Customer.*' || s_suppkey % 97 || '.?$']) AS pattern FROM supplier),
+n AS (SELECT DISTINCT unnest([c_name, c_mktsegment]) AS name FROM customer)"""
+
+
+@query(f"WITH {_PATTERNS} SELECT name, pattern FROM n, p WHERE regexp_matches(name, pattern)")
+def pattern_hits(spark, d):
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    made = F.array(_text("^", F.col("s_name"), "$"), _text("er#0*", k, "$"), _text("(1|2)", n, "$"), _text("Customer#0+", n, "[0-5]$"), _text("^Customer.*", k % 97, ".?$"))
+    names = table(spark, d, "customer").select(F.explode(F.array("c_name", "c_mktsegment")).alias("name"))
+    return pattern_index.pattern_hits(names, "name", table(spark, d, "supplier").select(F.explode(made).alias("pattern")))
+
+
+@query(f"""WITH {_PATTERNS}, hit AS (SELECT name, CASE WHEN pattern LIKE '^%' THEN 'stable' ELSE 'unstable' END AS kind FROM n, p WHERE regexp_matches(name, pattern) UNION SELECT c_name, 'stable' FROM customer WHERE c_nationkey = 3)
+SELECT n.name, count(*) FILTER (kind = 'stable') > 0 AS stable, count(*) FILTER (kind = 'unstable') > 0 AS unstable FROM n LEFT JOIN hit ON hit.name = n.name GROUP BY n.name""")
+def judged_names(spark, d):
+    n, k, c = F.col("s_nationkey"), F.col("s_suppkey"), table(spark, d, "customer")
+    made = F.array(_text("^", F.col("s_name"), "$"), _text("er#0*", k, "$"), _text("(1|2)", n, "$"), _text("Customer#0+", n, "[0-5]$"), _text("^Customer.*", k % 97, ".?$"))
+    rules = table(spark, d, "supplier").select(F.explode(made).alias("value")).select(F.expr("if(value like '^%', 'stable', 'unstable')").alias("kind"), "value", F.lit(True).alias("is_pattern"))
+    rules = rules.union(c.where("c_nationkey = 3").select(F.lit("stable"), "c_name", F.lit(False)))
+    return pattern_index.judged_names(c.select(F.explode(F.array("c_name", "c_mktsegment")).alias("name")), "name", rules)
