@@ -13,7 +13,7 @@ from quillmesh.functions import lookups, pattern_index
 from quillmesh.operators import flow, graph, relational as rel, resolution as res
 from quillmesh.plans.code_rules import cross_file_cycles, hook_findings
 from quillmesh.plans.table_queries import _edges, _LEVEL, table, trade
-from quillmesh.sources import code_facts as facts
+from quillmesh.sources import code_facts as facts, config_documents as config
 from quillmesh.streaming import sinks
 
 QUERIES: dict = {}
@@ -378,3 +378,59 @@ def judged_names(spark, d):
     rules = table(spark, d, "supplier").select(F.explode(made).alias("value")).select(F.expr("if(value like '^%', 'stable', 'unstable')").alias("kind"), "value", F.lit(True).alias("is_pattern"))
     rules = rules.union(c.where("c_nationkey = 3").select(F.lit("stable"), "c_name", F.lit(False)))
     return pattern_index.judged_names(c.select(F.explode(F.array("c_name", "c_mktsegment")).alias("name")), "name", rules)
+
+
+_FOLDERS = ["packages", "apps", "libs", "kits", "mods/deep"]
+
+
+def config_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): a workspace for each nation, of a kind by its key, and a package for each of its suppliers."""
+    k = F.col("n_nationkey")
+    root = _text("/w/c", k)
+    marks = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("content")) for n, c in [
+        ("nx.json", "{}"), ("turbo.json", "{ /* none */ }"), ("lerna.json", '{"packages": ["kits/*",],}'), ("pnpm-workspace.yaml", "packages:\n  - 'apps/*'\n"),
+        ("package.json", '{"workspaces": {"packages": ["mods/**"]}}'), ("package.json", '{"name": "alone"}'),
+    ]))
+    more = lambda test, name, content: F.when(test, F.array(F.struct(F.lit(name).alias("name"), content.alias("content"))))
+    extra = [more(k % 6 == 1, "lerna.json", F.lit('{"packages": ["kits/*"]}')), more(k % 2 == 0, "loops.json", _text('{"minSeverity": "high", "stableHooks": ["use', k, '"]}')), more(k % 3 != 0, "tsconfig.json", F.lit('{"include": ["packages/**/*"]}'))]
+    none = F.array().cast("array<struct<name:string,content:string>>")
+    roots = table(spark, d, "nation").select(root.alias("dir"), F.explode(F.concat(F.array(F.element_at(marks, (k % 6 + 1).cast("int"))), *(F.coalesce(x, none) for x in extra))).alias("f"))
+    n, key = F.col("s_nationkey"), F.col("s_suppkey")
+    manifest = _text('{"name": "pkg', key, '", "dependencies": {"lib', key % 7, '": "1.', key, '", "own', key % 3, '": "2"}, "devDependencies": {"lib', key % 4, '": "0.', key, '"}}')
+    inner = F.concat(F.array(F.struct(F.lit("package.json").alias("name"), manifest.alias("content")), F.struct(F.lit("tsconfig.json").alias("name"), F.lit('{"references": [{"path": "./../../"}, {"path": "./build.json"}], "exclude": ["*.gen.ts"]}').alias("content"))), F.coalesce(more(key % 4 == 0, "loops.json", F.lit('{"ignore": ["x"], "strictMode": true} // own')), none))
+    packages = table(spark, d, "supplier").select(_text("/w/c", n, "/", F.element_at(F.array(*map(F.lit, _FOLDERS)), (key % 5 + 1).cast("int")), "/s", key).alias("dir"), F.explode(inner).alias("f"))
+    return roots.union(packages).select(F.concat("dir", F.lit("/"), "f.name").alias("path"), F.col("f.content").alias("content"))
+
+
+_PACKAGE = f"p AS (SELECT s_suppkey AS s, s_nationkey AS n, s_suppkey % 5 AS f, '/w/c' || s_nationkey AS root, '/w/c' || s_nationkey || '/' || list_extract({_FOLDERS}, (s_suppkey % 5 + 1)::INTEGER) || '/s' || s_suppkey AS dir FROM supplier)"
+
+
+@query(f"WITH {_PACKAGE} SELECT root, 'pkg' || s AS name, dir FROM p WHERE CASE n % 6 WHEN 0 THEN f < 3 WHEN 1 THEN f < 3 WHEN 2 THEN f = 3 WHEN 3 THEN f = 1 WHEN 4 THEN f = 4 ELSE false END")
+def workspace_packages(spark, d):
+    return config.workspace_packages(config_files(spark, d))
+
+
+@query(f"WITH {_PACKAGE} SELECT dir || '/package.json' AS path, unnest(CASE WHEN s % 7 = s % 4 THEN ['lib' || s % 4, 'own' || s % 3] ELSE ['lib' || s % 4, 'own' || s % 3, 'lib' || s % 7] END) AS package, unnest(CASE WHEN s % 7 = s % 4 THEN ['0.' || s, '2'] ELSE ['0.' || s, '2', '1.' || s] END) AS version FROM p")
+def manifest_dependencies(spark, d):
+    return config.dependencies(config.documents(config_files(spark, d), ["package.json"]))
+
+
+@query(f"""WITH {_PACKAGE} SELECT dir, CASE WHEN s % 4 <> 0 AND n % 2 = 0 THEN 'useBase,use' || n ELSE 'useBase' END AS stable, CASE WHEN s % 4 <> 0 AND n % 2 = 0 THEN 'high' ELSE 'low' END AS least, s % 4 = 0 AS strict, CASE WHEN s % 4 = 0 THEN 'x' ELSE '' END AS ignored FROM p""")
+def layered_settings(spark, d):
+    files = config_files(spark, d)
+    starts = files.where("path like '%/s%/package.json'").select(config.folder(F.col("path")).alias("dir_"))
+    got = config.layered_settings(starts, "dir_", config.documents(files, ["loops.json"]), {"stableHooks": ["useBase"], "minSeverity": "low", "strictMode": False})
+    return got.select(F.col("dir_").alias("dir"), F.array_join("stableHooks", ",").alias("stable"), F.col("minSeverity").alias("least"), F.col("strictMode").alias("strict"), F.array_join("ignore", ",").alias("ignored"))
+
+
+@query(f"""WITH {_PACKAGE} SELECT dir || '/tsconfig.json' AS src, CASE WHEN f = 4 THEN root || '/mods' WHEN n % 3 <> 0 THEN root || '/tsconfig.json' ELSE root END AS dst FROM p UNION ALL SELECT dir || '/tsconfig.json', dir || '/build.json' FROM p""")
+def project_references(spark, d):
+    return config.project_references(config_files(spark, d)).select("src", "dst")
+
+
+@query(f"""WITH {_PACKAGE}, t AS (SELECT *, unnest(['/a.ts', '/b.gen.ts']) AS file FROM p)
+SELECT dir || file AS path, CASE WHEN file = '/a.ts' THEN dir || '/tsconfig.json' WHEN f = 0 AND n % 3 <> 0 THEN root || '/tsconfig.json' END AS document FROM t""")
+def governing_documents(spark, d):
+    files = config_files(spark, d)
+    sources = files.where("path like '%/s%/package.json'").select(F.explode(F.array(*(F.concat(config.folder(F.col("path")), F.lit(x)) for x in ("/a.ts", "/b.gen.ts")))).alias("path"))
+    return config.governing_document(sources, files, "/w")
