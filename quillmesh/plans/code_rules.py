@@ -174,3 +174,26 @@ def cross_file_cycles(files: DataFrame) -> DataFrame:
     """(kind, a, b): context and call cycles of two files, each pair once by kind."""
     calls = call_cycles(files).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return mutual_contexts(files).select(F.lit("context").alias("kind"), "a", "b").union(calls.select(F.lit("call").alias("kind"), "a", "b"))
+
+
+def document_diagnostics(findings: DataFrame, cycles: DataFrame, documents: DataFrame) -> DataFrame:
+    """(path, kind, line, code): findings of each document of ``documents(path)``, and the import cycles it takes part in.
+
+    Paths meet in one form: without a scheme, with slashes, in small letters. ``findings(path, line, code)``,
+    ``cycles(cycle)``; a cycle is shown on line 1.
+    """
+    same = lambda c: F.lower(F.replace(F.regexp_replace(c, "^file:(//)?", ""), F.lit("\\"), F.lit("/")))
+    shown = documents.select("path", same(F.col("path")).alias("_at")).distinct()
+    own = findings.select(same(F.col("path")).alias("_at"), F.lit("finding").alias("kind"), "line", "code")
+    shared = cycles.select(F.explode(F.array_distinct("cycle")).alias("_p")).select(same(F.col("_p")).alias("_at"), F.lit("cycle").alias("kind"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("code"))
+    return shown.join(own.unionByName(shared), "_at").select("path", "kind", "line", "code")
+
+
+def confidence_text(confidence: Column, inferred: Column, strict: Column, depth: Column, conditional: Column) -> Column:
+    """Why a finding's confidence is what it is; empty without a reason. Null flags count as false."""
+    reasons = F.array_compact(F.array(
+        F.when(inferred & ~F.coalesce(strict, F.lit(False)), "type information is inferred (enable --strict for higher accuracy)"),
+        F.when(depth > 2, F.concat(F.lit("involves a "), depth.cast("string"), F.lit("-level cross-file dependency chain"))),
+        F.when(conditional, "the setState is inside a conditional block"),
+    ))
+    return F.when(F.size(reasons) > 0, F.concat(F.lit(" Confidence is "), confidence, F.lit(" because "), F.array_join(reasons, ", "), F.lit("."))).otherwise(F.lit(""))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import lookups, pattern_index
 from quillmesh.operators import flow, graph, relational as rel, resolution as res
-from quillmesh.plans.code_rules import cross_file_cycles, hook_findings
+from quillmesh.plans import code_rules
+from quillmesh.plans.code_rules import confidence_text, cross_file_cycles, hook_findings
 from quillmesh.plans.table_queries import _edges, _LEVEL, table, trade
-from quillmesh.sources import code_facts as facts, config_documents as config
+from quillmesh.sources import code_facts as facts, config_documents as config, module_paths
 from quillmesh.streaming import sinks
 
 QUERIES: dict = {}
@@ -434,3 +435,35 @@ def governing_documents(spark, d):
     files = config_files(spark, d)
     sources = files.where("path like '%/s%/package.json'").select(F.explode(F.array(*(F.concat(config.folder(F.col("path")), F.lit(x)) for x in ("/a.ts", "/b.gen.ts")))).alias("path"))
     return config.governing_document(sources, files, "/w")
+
+
+@query("""SELECT o_orderkey, CASE WHEN r = '' THEN '' ELSE ' Confidence is ' || lower(substr(o_orderpriority, 3)) || ' because ' || r || '.' END AS reason FROM (SELECT *, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN
+'type information is inferred (enable --strict for higher accuracy)' END, CASE WHEN o_custkey % 5 > 2 THEN 'involves a ' || o_custkey % 5 || '-level cross-file dependency chain' END, CASE WHEN o_orderstatus = 'P' THEN 'the setState is inside a conditional block' END], lambda x: x IS NOT NULL), ', ') AS r FROM orders)""")
+def confidence_texts(spark, d):
+    k = F.col("o_orderkey")
+    text = confidence_text(F.lower(F.expr("substring(o_orderpriority, 3)")), k % 2 == 0, k % 3 == 0, F.col("o_custkey") % 5, F.col("o_orderstatus") == "P")
+    return table(spark, d, "orders").select("o_orderkey", text.alias("reason"))
+
+
+@query(f"""WITH RECURSIVE {_IMPORTS}, e AS (SELECT DISTINCT src, dst FROM imports), paths AS (SELECT src AS head, [src] AS path, src AS last FROM e
+  UNION SELECT head, list_append(path, dst), dst FROM paths JOIN e ON last = src WHERE dst > head AND NOT list_contains(path, dst)), cycles AS (SELECT DISTINCT path FROM paths JOIN e ON last = src AND dst = head)
+SELECT 'file://' || upper(p) AS path, 'cycle' AS kind, 1 AS line, NULL::INTEGER AS code FROM (SELECT unnest(path) AS p FROM cycles) UNION ALL
+SELECT 'file:///APP/V' || o_orderkey || '.TSX', 'finding', (o_orderkey % 3 + 4 + {_by_shape(1)})::INTEGER, {_by_shape(4)} FROM orders WHERE {_by_shape(4)} IS NOT NULL AND o_orderkey % 2 = 0""")
+def document_diagnostics(spark, d):
+    """Documents as an editor names them: modules of nations, and every second component."""
+    uri = lambda files: files.select(F.concat(F.lit("file://"), F.upper("path")).alias("path"))
+    nations, parts = modules(spark, d), varied(spark, d)
+    shown = uri(nations).union(uri(parts.where("cast(substring(path, 7, length(path) - 10) as bigint) % 2 = 0")))
+    return code_rules.document_diagnostics(hook_findings(parts), code_rules.import_cycles(nations), shown)
+
+
+@query("""WITH w AS (SELECT n_nationkey AS n, unnest(['./util', '../c' || (n_nationkey + 1) % 25 || '/src/main', '@own/util', 'gone/x']) AS source FROM nation)
+SELECT '/w/c' || n || '/src/main.ts' AS path, source, CASE WHEN source = './util' OR source = '@own/util' AND n % 3 <> 0 THEN '/w/c' || n || '/src/util/index.tsx' END AS dst FROM w""")
+def resolved_imports(spark, d):
+    """Each nation's main file imports a folder by its index, a file that is not there, an alias of its project, and nothing."""
+    k = F.col("n_nationkey")
+    n, at = table(spark, d, "nation"), _text("/w/c", k)
+    alias = n.where("n_nationkey % 3 != 0").select(F.concat(at, F.lit("/tsconfig.json")).alias("path"), F.lit('{"compilerOptions": {"baseUrl": "src", "paths": {"@own/*": ["lost/*", "./*"]}}}').alias("content"))
+    sources = n.select(F.explode(F.array(F.concat(at, F.lit("/src/main.ts")), F.concat(at, F.lit("/src/util/index.tsx")))).alias("path"), F.lit("").alias("content"))
+    wanted = n.select(F.concat(at, F.lit("/src/main.ts")).alias("path"), F.explode(F.array(F.lit("./util"), _text("../c", (k + 1) % 25, "/src/main"), F.lit("@own/util"), F.lit("gone/x"))).alias("source"))
+    return module_paths.resolved_imports(wanted, alias.union(sources), "/w").select("path", "source", "dst")
