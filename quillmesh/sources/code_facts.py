@@ -6,12 +6,12 @@ here builds a syntax tree: imports and exports are what their head line shows, h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators.graph import closure
 from quillmesh.operators.resolution import expand_aliases
-from quillmesh.sources.regions import part, text_at, tokenized
+from quillmesh.sources.regions import matches, part, text_at, tokenized
 
 #: Hooks whose dependencies are read, and those that count as effects.
 DEP_HOOKS = ["useEffect", "useLayoutEffect", "useMemo", "useCallback", "useImperativeHandle"]
@@ -36,19 +36,6 @@ def likely_react(files: DataFrame) -> DataFrame:
     return files.where((F.length("content") <= LARGEST) & (F.col("path").rlike(r"\.[jt]sx$") | F.substring("content", 1, SNIFFED).rlike(_REACT)))
 
 
-def _found(files: DataFrame, pattern: str, *groups: str) -> DataFrame:
-    """(path, ord, line, one column per group) of each match, in file order.
-
-    The text is cut before and after each match; the lines of the cuts before it add up to its own.
-    """
-    cut = F.split(F.regexp_replace(F.translate("content", "\u0001\u0002", "  "), f"(?s)({pattern})", "\u0001$1\u0002"), "[\u0001\u0002]")
-    rows = files.select("path", F.posexplode(cut).alias("at", "part"))
-    breaks = F.length("part") - F.length(F.replace(F.col("part"), F.lit("\n"), F.lit("")))
-    above = F.sum(breaks).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.select("path", "part", "at", (F.coalesce(above, F.lit(0)) + 1).cast("int").alias("line")).where("at % 2 = 1")
-    return rows.select("path", F.expr("at div 2").cast("int").alias("ord"), "line", *(F.regexp_extract("part", f"(?s){pattern}", k).alias(g) for k, g in enumerate(groups, 1)))
-
-
 def _names(clause: Column) -> Column:
     """Local names of an import or dependency list."""
     parts = F.transform(F.split(clause, ","), lambda p: F.trim(F.regexp_replace(p, r"^\s*(?:type\s+)?(?:\S+\s+as\s+)?", "")))
@@ -58,13 +45,13 @@ def _names(clause: Column) -> Column:
 def imports(files: DataFrame, relative: bool = True) -> DataFrame:
     """(path, source, names, is_default, is_namespace, line) of static imports, requires and dynamic imports, those with a
     relative source unless all are asked for."""
-    static = _found(files, r"""\bimport\s+(?:type\s+)?([\w$*\s{},]+?)\s+from\s+['"]([^'"]+)['"]""", "clause", "source")
+    static = matches(files, r"""\bimport\s+(?:type\s+)?([\w$*\s{},]+?)\s+from\s+['"]([^'"]+)['"]""", "clause", "source")
     inner = F.regexp_extract("clause", r"(?s)\{(.*)\}", 1)
     head = F.trim(F.regexp_extract("clause", r"^\s*([\w$]+)\s*(?:,|$)", 1))
     star = F.regexp_extract("clause", r"\*\s+as\s+([\w$]+)", 1)
     named = F.filter(F.concat(F.array(head, star), _names(inner)), lambda n: n != "")
     rows = static.select("path", "source", named.alias("names"), (head != "").alias("is_default"), (star != "").alias("is_namespace"), "line")
-    other = _found(files, r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]\s*\)|\bimport\s+['"]([^'"]+)['"]""", "a", "b")
+    other = matches(files, r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]\s*\)|\bimport\s+['"]([^'"]+)['"]""", "a", "b")
     other = other.select("path", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("b")).alias("source"), F.array().cast("array<string>").alias("names"), F.lit(False).alias("is_default"), F.lit(False).alias("is_namespace"), "line")
     rows = rows.unionByName(other)
     return rows.where("source like '.%' or source like '/%'") if relative else rows
@@ -72,16 +59,20 @@ def imports(files: DataFrame, relative: bool = True) -> DataFrame:
 
 def renamed_imports(files: DataFrame) -> DataFrame:
     """(path, local, imported): names that an import gives another name in its file."""
-    static = _found(files, r"""\bimport\s+(?:type\s+)?[\w$*\s,]*\{([\w$\s,]+)\}\s*from\s+['"][^'"]+['"]""", "clause")
+    static = matches(files, r"""\bimport\s+(?:type\s+)?[\w$*\s,]*\{([\w$\s,]+)\}\s*from\s+['"][^'"]+['"]""", "clause")
     part = static.select("path", F.explode(F.regexp_extract_all("clause", F.lit(r"([\w$]+\s+as\s+[\w$]+)"), F.lit(1))).alias("part"))
     return part.select("path", F.regexp_extract("part", r"([\w$]+)$", 1).alias("local"), F.regexp_extract("part", r"^([\w$]+)", 1).alias("imported")).where("local != imported")
 
 
 def exports(files: DataFrame) -> DataFrame:
-    """(path, name, is_default, is_memoized, line)."""
-    rows = _found(files, r"\bexport\s+(default\s+)?(?:async\s+)?(?:(?:const|let|var|function\*?|class)\s+)?([\w$]+)(\s*=\s*(?:React\.)?memo\s*\(|\s*\(|)", "d", "name", "tail")
+    """(path, name, is_default, is_memoized, line): declarations, and the names that export lists give, those handed on from
+    other files among them."""
+    rows = matches(files, r"\bexport\s+(default\s+)?(?:async\s+)?(?:(?:const|let|var|function\*?|class)\s+)?([\w$]+)(\s*=\s*(?:React\.)?memo\s*\(|\s*\(|)", "d", "name", "tail")
     memo = F.col("tail").rlike("memo") | ((F.col("d") != "") & (F.col("name") == "memo"))
-    return rows.where(~F.col("name").isin("from", "type", "interface", "enum")).select("path", "name", (F.col("d") != "").alias("is_default"), memo.alias("is_memoized"), "line")
+    declared = rows.where(~F.col("name").isin("from", "type", "interface", "enum")).select("path", "name", (F.col("d") != "").alias("is_default"), memo.alias("is_memoized"), "line")
+    lists = matches(files, r"\bexport\s*\{([\w$\s,]*)\}", "clause").select("path", "line", F.explode(F.split("clause", ",")).alias("part")).where("trim(part) != '' and not trim(part) rlike '^type\\\\s'")
+    name = F.regexp_extract("part", r"([\w$]+)\s*$", 1)
+    return declared.unionByName(lists.select("path", name.alias("name"), (name == "default").alias("is_default"), F.lit(False).alias("is_memoized"), "line"))
 
 
 def _pairs(tokens: str) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators.relational import interval_lookup
 from quillmesh.plans.code_rules import hook_findings
-from quillmesh.sources.code_facts import hook_calls, hooks, state_pairs
-from quillmesh.sources.regions import nesting, region_table, tokenized
+from quillmesh.sources.code_facts import exports, hook_calls, hooks, imports, renamed_imports, state_pairs
+from quillmesh.sources.regions import matches, nesting, region_table, tokenized
 
 
 def brute(files):
@@ -130,3 +130,25 @@ def test_one_scan_without_a_shuffle_of_contents(spark):
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
     plan = hook_findings(table(spark, {"x": HEAD}))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_imports_and_exports_outside_comments_and_texts(spark):
+    text = """// import a from './a';
+/* import b from './b';
+*/ import c, { d as e } from './c'; /* x */ import * as f /* y */ from
+  './f';
+const s = "import g from './g'", t = `require('./h')`;
+const u = require('./u');
+export { c, e as default, type T, f as ff };
+export const V = React.memo(() => null);
+export { w } from './w';
+// export { no };
+"""
+    files = table(spark, {"/p": text, "/empty": "", "/q": "no"})
+    files = files.union(spark.createDataFrame([("/n", None)], files.schema))
+    assert sorted((r.source, r.names, r.line) for r in imports(files).collect()) == [("./c", ["c", "e"], 3), ("./f", ["f"], 3), ("./u", [], 6)]
+    assert [(r.local, r.imported) for r in renamed_imports(files).collect()] == [("e", "d")]
+    assert sorted((r.name, r.is_default, r.is_memoized, r.line) for r in exports(files).collect()) == [("V", False, True, 8), ("c", False, False, 7), ("default", True, False, 7), ("ff", False, False, 7), ("w", False, False, 9)]
+    assert [(r.ord, r.line, r.x) for r in matches(table(spark, {"a": "k1\n k2 'k3' k4"}), r"k(\d)", "x").orderBy("ord").collect()] == [(0, 1, "1"), (1, 2, "2"), (2, 2, "4")]
+    plan = imports(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
