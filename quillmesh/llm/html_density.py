@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each node's density is its characters per tag, lowered by the share of link characters and link tags. The sum of its
-children's densities finds the node that holds the article; from there the text is that of the ``main`` around it, or of the
-body, without boilerplate elements and, outside the article, without blocks of mostly link text.
+children's densities finds the subtree that holds the article, and the densities from there to the body set the threshold
+that blocks beside it must reach. Elements that by tag, role or name are no article have no density.
 """
 
 from __future__ import annotations
@@ -300,9 +300,8 @@ def _drop_menus(top: Node) -> None:
             stack += inner
 
 
-def _choose(nodes: list[Node]) -> None:
-    """Marks the article's root: the ``main`` around the maximum-sum subtree, or the body. On the way up from that subtree, or
-    from the article around it, only unmarked menus are dropped."""
+def _densest(nodes: list[Node]) -> Node:
+    """The block whose children's densities have the largest sum; of equal sums the outer one."""
     best: dict[int, Node] = {}
     for node in reversed(nodes):
         top = node
@@ -310,16 +309,48 @@ def _choose(nodes: list[Node]) -> None:
             if isinstance(kid, Node) and not kid.apart and best[id(kid)].tag in BLOCK and best[id(kid)].total > top.total:
                 top = best[id(kid)]
         best[id(node)] = top
-    path = [best[id(nodes[0])]]
+    return best[id(nodes[0])]
+
+
+#: Share of the least density between article and body that a block beside the article must reach.
+BESIDE = 0.2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _choose(nodes: list[Node]) -> None:
+    """Marks what holds the article: the maximum-sum subtree, or the ``article`` or else ``main`` around it, whole but for
+    boilerplate, and on the way up to the body every block beside it that is as dense as the threshold that this way sets.
+
+    The threshold is the least density of the nodes from the subtree to the body, times BESIDE; menus don't reach it. A heading
+    with the paragraphs after it, if any, goes with the kept block that follows them.
+    """
+    path = [_densest(nodes)]
     while path[-1].up is not None:
         path.append(path[-1].up)
-    whole = max((i for i, n in enumerate(path) if n.tag == "main"), default=len(path) - 1)
-    kept = max((i for i, n in enumerate(path[: whole + 1]) if n.tag == "article"), default=0)
-    for below, node in zip(path[kept:whole], path[kept + 1 : whole + 1], strict=True):
-        for kid in node.kids:
-            if isinstance(kid, Node) and not kid.apart and kid is not below:
-                _drop_menus(kid)
-    path[whole].chosen = True
+    kept = max((i for i, n in enumerate(path) if n.tag == "article"), default=max((i for i, n in enumerate(path) if n.tag == "main"), default=0))
+    least = BESIDE * min(n.density for n in path)
+    path[kept].chosen = True
+    for below, node in zip(path[kept:], path[kept + 1 :], strict=False):
+        before: list[Node] | None = None  # prose between here and the kept block that follows it directly
+        for kid in reversed(node.kids):
+            if isinstance(kid, str):
+                before = None if kid.strip() else before
+                continue
+            if kid is below:
+                before = []
+                continue
+            if kid.apart or not kid.chars:
+                continue
+            _drop_menus(kid)
+            kid.chosen = not kid.apart and kid.density > 0 and kid.density >= least
+            if before is not None and kid.tag in HEADINGS:
+                for head in [kid, *before]:
+                    head.chosen = True
+                before = []
+            elif kid.chosen:
+                before = []
+            elif before is not None:
+                before = [*before, kid] if kid.tag in PROSE else None
 
 
 def _blocks(root: Node) -> list[str]:

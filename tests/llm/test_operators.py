@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quillmesh.llm import jaccard_join, license_index, pair_rank, toxicity_cnn
+from quillmesh.llm import html_density, jaccard_join, license_index, pair_rank, toxicity_cnn
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import learn, quality_rules
 from quillmesh.llm.decontaminate import find_leaks
@@ -82,6 +82,79 @@ def test_main_text_keeps_layout_elements():
     assert main_text(f"<article><h1>Title</h1>{text}</article>{talk}<form>Your mail <input></form>").split("\n") == want
 
 
+def test_main_text_goes_by_densities(monkeypatch):
+    """Blocks without a name that gives them away are left out by their density, on either side of the article."""
+    p = lambda tag, n: f"<p>{tag} {'word ' * n}</p>"
+    apart = [
+        '<div class="thread"><div><b>Bob</b> I disagree with all of this</div><div><b>Ann</b> So do I</div></div>', '<div class="zz">We use cookies to improve this site. OK</div>', "<div>Copyright 2020 All rights reserved</div>",
+        '<div><a href="/">Home</a></div>', "<ul><li><a href=a>One page</a><li><a href=b>Another page</a></ul>", "<p>Share this</p>",
+    ]
+    pages = []
+    for root in ("article", "main", "div"):
+        article = f"<{root}>{p('first', 60)}{p('second', 70)}<p>Thin.</p>{p('third', 50)}</{root}>"
+        for extra in apart:
+            for page in (f"<body>{extra}{article}</body>", f"<body><div>{article}</div>{extra}</body>", f"<div><div>{extra}</div><div>{article}{extra}</div></div>"):
+                pages.append(page)
+                assert [x.split()[0] for x in main_text(page).split("\n")] == ["first", "second", "Thin.", "third"], page
+    two = f"<body><div>{p('a', 60) * 3}</div><div>{p('b', 60) * 2}</div><div>Copyright</div></body>"
+    assert [x.split()[0] for x in main_text(two).split("\n")] == ["a"] * 3 + ["b"] * 2
+    measure = html_density._measure
+
+    def flat(nodes):
+        measure(nodes)
+        for n in nodes:
+            n.density = n.total = 0.0
+
+    want = [main_text(x) for x in pages]
+    monkeypatch.setattr(html_density, "_measure", flat)
+    assert all(main_text(x) != w for x, w in zip(pages, want, strict=True))
+
+
+def test_densities_equal_their_definition():
+    """Random trees against sums and densities worked out from each node down, from scratch."""
+    rnd = random.Random(11)
+
+    def made(depth):
+        tag = rnd.choice(["div", "p", "section", "b", "a", "ul", "li"])
+        inner = "".join(made(depth + 1) if rnd.random() < 0.6 and depth < 5 else "x y " * rnd.randint(0, 9) for _ in range(rnd.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def below(node):
+        for k in node.kids:
+            if isinstance(k, str):
+                yield "chars", sum(not c.isspace() for c in k), None
+            else:
+                yield "tag", 1, k.tag
+                linked = k.tag == "a"
+                for kind, n, tag in below(k):
+                    yield ("link " + kind if linked and kind == "chars" else kind), n, tag
+
+    def numbers(node):
+        rows = list(below(node))
+        link = sum(n for kind, n, _ in rows if kind == "link chars")
+        return link + sum(n for kind, n, _ in rows if kind == "chars"), sum(kind == "tag" for kind, _, _ in rows), link, sum(kind == "tag" and t == "a" for kind, _, t in rows)
+
+    for _ in range(150):
+        body = html_density.parse("<body>" + "".join(made(0) for _ in range(4)) + "</body>").kids[-1]
+        body.up = None
+        nodes = html_density._walk(body)
+        html_density._measure(nodes)
+        c, _, lc, _ = numbers(body)
+        share, density = lc / max(c, 1), {}
+        for node in nodes:
+            c, t, lc, lt = numbers(node)
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == (c, t, lc, lt)
+            t1 = max(t, 1)
+            density[id(node)] = c / t1 * math.log(c / max(lc, 1) * t1 / max(lt, 1) + 1) / max(math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e) + 1), 1e-9) if c else 0.0
+            assert math.isclose(node.density, density[id(node)], rel_tol=1e-9, abs_tol=1e-12)
+
+        def total(node):
+            return sum((density[id(k)] if k.tag in html_density.BLOCK else total(k)) for k in node.kids if not isinstance(k, str))
+
+        sums = [(total(n), n) for n in nodes if n.tag in html_density.BLOCK or n is body]
+        assert math.isclose(max(x for x, _ in sums), total(html_density._densest(nodes)), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_main_text_odd_markup():
     assert main_text("<p title=it's>Hello</p><p>don't</p>") == "Hello\ndon't"
     assert main_text("<article><p>Our market <span class='share'>share</span> rose <a class=related href=x>again</a>.</p></article>") == "Our market share rose again."
