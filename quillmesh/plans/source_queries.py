@@ -34,6 +34,12 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+def spread(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table in as many partitions as there are cores at least: a small file becomes many source files."""
+    rows, cores = table(spark, d, name).select(*columns), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def modules(spark: SparkSession, d: str) -> DataFrame:
     """(path, content): a module for each nation with a renamed, a namespace and an aliased import."""
     k, r = F.col("n_nationkey"), F.col("n_regionkey")
@@ -102,7 +108,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     call = F.coalesce(*(F.when(F.col("o_orderpriority") == p, F.lit(c)) for p, c, _ in _EFFECTS))
     skip = F.when(F.col("o_orderstatus") == "P", F.lit("  // loop-ignore-next-line")).otherwise(F.lit(""))
     body = _text("import { useState, useEffect } from 'react';\nexport const View = () => {\n  const [tally, setTally] = useState(0);\n", skip, "\n  ", call, "\n};\n")
-    return table(spark, d, "orders").select(_text("/app/o", F.col("o_orderkey"), ".tsx").alias("path"), body.alias("content"))
+    return spread(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").select(_text("/app/o", F.col("o_orderkey"), ".tsx").alias("path"), body.alias("content"))
 
 
 _CODES = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN {c}" for p, _, c in _EFFECTS if c) + " END"
@@ -144,7 +150,7 @@ def varied(spark: SparkSession, d: str) -> DataFrame:
     setter = F.concat(F.lit("set"), F.initcap(name))
     shape = F.replace(F.regexp_replace(pick(F.floor(k / 4) % n, [s[0] for s in _SHAPES]), r"\bT\(", "@("), F.lit("S"), name)
     body = _text("import { useState } from 'react';\n", F.repeat(F.lit("// note (\n"), (k % 3).cast("int")), "export function View() {\nconst [", name, ", ", setter, "] = useState<A>(make());\n", F.replace(shape, F.lit("@("), F.concat(setter, F.lit("("))), "\n}\n")
-    return table(spark, d, "orders").select(_text("/app/v", k, ".tsx").alias("path"), body.alias("content"))
+    return spread(spark, d, "orders", "o_orderkey").select(_text("/app/v", k, ".tsx").alias("path"), body.alias("content"))
 
 
 def _by_shape(at: int, case=lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else v) -> str:
