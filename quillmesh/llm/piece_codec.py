@@ -21,8 +21,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks of up to 48 characters, and pairs of neighbours, that a worker remembers at most; 25 MB each, until a partition ends.
-REMEMBERED = 100_000
+#: Bytes of chunks, with their results, and of pairs of neighbours that a worker's younger generation holds; the older one holds
+#: as much. Chunks are forgotten with each partition.
+CHUNK_BYTES, PAIR_BYTES = 80 << 20, 24 << 20
+#: What Python takes for an entry of each kind besides its text.
+CHUNK_ENTRY, PAIR_ENTRY = 360, 110
+
+
+class Recent(dict):
+    """The entries added or looked for again of late: once they exceed ``most`` bytes they become the older generation, and what
+    that held is forgotten. ``get`` finds young entries only, ``recall`` takes an old one over."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size, self.old = most, 0, {}
+
+    def add(self, key, value, size: int):
+        if self.size + size > self.most:
+            self.old = self.copy()
+            super().clear()
+            self.size = 0
+        self[key] = value
+        self.size += size
+        return value
+
+    def recall(self, key, size: int):
+        value = self.old.get(key)
+        return None if value is None else self.add(key, value, size)
+
+    def clear(self) -> None:
+        super().clear()
+        self.size, self.old = 0, {}
 
 
 class PieceCodec:
@@ -50,8 +79,8 @@ class PieceCodec:
             if len(p) == 1 or self.merge(p) == [p]:
                 self.matches.add_word(p, (len(p), i))
         self.matches.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, tuple[str, str]] = {}
+        self.fits = Recent(PAIR_BYTES)  # by left << 20 | right
+        self.seen = Recent(CHUNK_BYTES)
         # no piece has a space mark after another character, so merges never cross the place before such a mark
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("the vocabulary has pieces over more than one word")
@@ -90,12 +119,13 @@ class PieceCodec:
 
     def fit(self, a: int, b: int) -> bool:
         """Whether b may follow a."""
-        got = self.fits.get((a, b))
+        key = a << 20 | b
+        got = self.fits.get(key)
+        if got is None:
+            got = self.fits.recall(key, PAIR_ENTRY)
         if got is None:
             pa_, pb = self.pieces[a], self.pieces[b]
-            got = self.fits[a, b] = self.merge(pa_ + pb) == [pa_, pb]
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
+            got = self.fits.add(key, self.merge(pa_ + pb) == [pa_, pb], PAIR_ENTRY)
         return got
 
     def walk(self, text: str) -> list[int]:
@@ -116,7 +146,7 @@ class PieceCodec:
                 if not dead[pos + size]:
                     if not ids:
                         break
-                    ok = fits((ids[-1], i))
+                    ok = fits(ids[-1] << 20 | i)
                     if ok or (ok is None and fit(ids[-1], i)):
                         break
                 option -= 1
@@ -180,20 +210,21 @@ class PieceCodec:
 
     def _keep(self, chunk: str, got: tuple[str, str]) -> tuple[str, str]:
         if len(chunk) <= 48:
-            if len(self.seen) < REMEMBERED:
-                self.seen[chunk] = got
+            self.seen.add(chunk, got, CHUNK_ENTRY + 2 * len(chunk) + len(got[0]))
         return got
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """Ids and decoded text of a chunk, remembered; a last character that can't merge is encoded alone."""
+        if (got := self.seen.get(chunk)) or (chunk in self.seen.old and (got := self._keep(chunk, self.seen.old[chunk]))):
+            return got
         if len(chunk) < 2 or chunk[-2:] in self.pairs:
             return self._encoded(chunk)
-        a, b = (self.seen.get(c) or self._encoded(c) for c in (chunk[:-1], chunk[-1]))
+        a, b = self._chunk(chunk[:-1]), self._chunk(chunk[-1])
         return self._keep(chunk, (f"{a[0]} {b[0]}", a[1] + b[1]))
 
     def forget(self) -> None:
+        """What is known of pairs stays, within its bytes: it is about the vocabulary, not about texts."""
         self.seen.clear()
-        self.fits.clear()
 
     def round_trip(self, text: str | None) -> tuple[str, str]:
         """(ids with the end id, in decimal and joined by spaces; the text decoded from them).
