@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quillmesh.llm import html_density, jaccard_join, license_index, pair_rank, toxicity_cnn
+from quillmesh.llm import html_density, jaccard_join, license_index, pair_rank, piece_codec, toxicity_cnn
 from quillmesh.llm.common import read
 from quillmesh.llm.decision_list import learn, quality_rules
 from quillmesh.llm.decontaminate import find_leaks
@@ -173,6 +173,21 @@ def test_main_text_takes_linear_time(piece):
     assert time.process_time() - began < 6
 
 
+def test_what_is_remembered_stays_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(piece_codec, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(piece_codec, "PAIR_BYTES", 2000)
+    small, model, rnd = piece_codec.PieceCodec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(9)
+    words = ["".join(rnd.choice("abcdeoistr.") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    for k in range(60):
+        text = " ".join(rnd.choices(words, k=40))
+        ids = [*model.encode(text), model.eos_id()]
+        assert small.round_trip(text) == (" ".join(map(str, ids)), model.decode(ids))
+        assert small.seen.size <= 4000 and small.fits.size <= 2000 and len(small.seen.old) <= 4000 // piece_codec.CHUNK_ENTRY
+    assert small.seen.old and small.fits.old
+    small.forget()
+    assert not small.seen and not small.seen.old and small.fits
+
+
 def test_pieces_equal_library(spark):
     model, rnd = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(5)
     letters = "ab \n\t▁ theé😀中文Ω\x00 ingtion<>s/0x9A"
