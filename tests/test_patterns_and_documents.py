@@ -49,6 +49,25 @@ def test_five_thousand_patterns_equal_a_loop(spark):
     assert "Cartesian" not in plan and "Join Cross" not in plan
 
 
+def test_long_pieces_spread_names_and_many_patterns_equal_a_loop(spark, monkeypatch):
+    """Names are dealt over all cores and never broadcast; more patterns than may be broadcast are shuffled, with the same hits."""
+    names = [f"Customer#{k:09d}" for k in range(400)] + ["a", ""]
+    patterns = [f"er#0*{k}$" for k in range(300)] + [f"^Supplier#{k:09d}$" for k in range(50)] + ["^Customer.*7.?$", "(1|2)3$", "Customer#0+1[0-5]$", "^$"]
+    table, rules = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = {(n, p) for n in names for p in patterns if re.search(p, n)}
+    for few in (pi.FEW, 0):
+        monkeypatch.setattr(pi, "FEW", few)
+        hits = pi.pattern_hits(table, "name", rules)
+        got = [tuple(r) for r in hits.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert few or "SortMergeJoin" in plan
+        if few:
+            assert hits.rdd.getNumPartitions() >= 4
+    # a pattern waits under its whole number, so that few names meet it in vain
+    assert pi._pieces("12345") == ["12345"] and pi._pieces("Supplier#00012") == ["Supplier", "er#00012"]
+
+
 def test_names_presets_and_custom_functions(spark):
     rules = spark.createDataFrame([("stable", "useStore", False), ("unstable", "^useRaw", True), ("stable", "Query$", True), ("unstable", "useStore", False)], "kind string, value string, is_pattern boolean")
     names = spark.createDataFrame([("useStore",), ("useRawQuery",), ("useQuery",), ("other",), (None,)], "hook string")
