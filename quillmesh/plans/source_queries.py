@@ -34,10 +34,16 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+#: Files that one task reads, roughly.
+TOGETHER = 100_000
+
+
 def spread(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    """Some columns of a table in as many partitions as there are cores at least: a small file becomes many source files."""
-    rows, cores = table(spark, d, name).select(*columns), spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Some columns of a table in as many partitions as there are cores at least, and no partition with many more rows than
+    ``TOGETHER``: a small file becomes many source files."""
+    rows = table(spark, d, name).select(*columns)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TOGETHER))
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
 
 
 def modules(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators.graph import closure
 from quillmesh.operators.resolution import expand_aliases
-from quillmesh.sources.regions import matches, part, text_at, tokenized
+from quillmesh.sources.regions import by_file, matches, part, read_once, text_at
 
 #: Hooks whose dependencies are read, and those that count as effects.
 DEP_HOOKS = ["useEffect", "useLayoutEffect", "useMemo", "useCallback", "useImperativeHandle"]
@@ -86,11 +86,13 @@ def _pairs(tokens: str) -> Column:
 
 def state_pairs(files: DataFrame) -> DataFrame:
     """(path, state, setter): of equal state names in a file the last one counts."""
-    return tokenized(files).select("path", F.explode(_pairs("tokens")).alias("p")).select("path", "p.state", "p.setter")
+    return by_file(read_once(files).select("files", F.explode(_pairs("tokens")).alias("p")).select("files", "p.state", "p.setter"))
 
 
-def hook_calls(files: DataFrame, *keep: str) -> DataFrame:
-    """(path, keep..., pairs, hook, line, at, n_args, deps, body) of each hook call, one scan without a shuffle.
+def hook_calls(files: DataFrame) -> DataFrame:
+    """(content, files, pairs, hook, line, at, n_args, deps, body) of each hook call of a content, one scan without a shuffle.
+
+    ``files(path)`` are those that have the content, as ``read_once`` gives them; ``by_file`` turns rows into rows of each file.
 
     ``body`` are the tokens of the arguments before the dependencies; ``deps`` the root names of the entries of the last
     argument, null unless that is an array behind another argument. ``pairs`` are the file's states and setters.
@@ -99,7 +101,7 @@ def hook_calls(files: DataFrame, *keep: str) -> DataFrame:
     own = lambda t: ~before(t, 1).isin(".", "function") | ((before(t, 1) == ".") & (before(t, 2) == "React"))
     heads = F.filter("tokens", lambda t: t["text"].isin(DEP_HOOKS) & (text_at("tokens", t["at"] + 1) == "(") & (F.get("tokens", t["at"] + 1)["mate"] >= 0) & own(t))
     calls = F.transform(heads, lambda t: part("tokens", t["at"], F.get("tokens", t["at"] + 1)["mate"]))
-    rows = tokenized(files, *keep).select("path", *keep, _pairs("tokens").alias("pairs"), F.explode(calls).alias("call"))
+    rows = read_once(files).select("content", "files", _pairs("tokens").alias("pairs"), F.explode(calls).alias("call"))
     token = lambda at: F.get("call", at - F.col("at"))
     rows = rows.select("*", F.col("call")[0]["text"].alias("hook"), F.col("call")[0]["line"].alias("line"), F.col("call")[0]["at"].alias("at"), F.element_at("call", -1)["at"].alias("close"))
     cuts = F.transform(F.filter("call", lambda t: (t["text"] == ",") & (t["region"] == F.col("at") + 1) & (t["at"] + 1 != F.col("close"))), lambda t: t["at"])
@@ -110,13 +112,13 @@ def hook_calls(files: DataFrame, *keep: str) -> DataFrame:
     entries = F.transform(F.filter("call", lambda t: (t["at"] == F.col("last")) | ((t["text"] == ",") & (t["region"] == F.col("last")))), lambda t: token(t["at"] + 1)["text"])
     deps = F.when(listed, F.filter(entries, lambda x: x.rlike("^[A-Za-z_$]")))
     body = part("call", F.lit(2), F.when(F.col("n_args") > 1, F.col("last") - 2 - F.col("at")).otherwise(F.col("close") - 1 - F.col("at")))
-    return rows.select("path", *keep, "pairs", "hook", "line", "at", "n_args", deps.alias("deps"), body.alias("body"))
+    return rows.select("content", "files", "pairs", "hook", "line", "at", "n_args", deps.alias("deps"), body.alias("body"))
 
 
 def hooks(files: DataFrame) -> DataFrame:
     """(path, line, hook, body, deps): deps is null without an array, and holds the root names of its entries; the body's
     tokens are parted by blanks."""
-    return hook_calls(files).select("path", "line", "hook", F.array_join(F.transform("body", lambda t: t["text"]), " ").alias("body"), "deps")
+    return by_file(hook_calls(files).select("files", "line", "hook", F.array_join(F.transform("body", lambda t: t["text"]), " ").alias("body"), "deps"))
 
 
 def silent_lines(content: Column, marker: str) -> Column:

@@ -80,30 +80,54 @@ def _tokens(contents: list[str]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(begin)).astype(np.int32)), rows)
 
 
-def tokenized(files: DataFrame, *keep: str) -> DataFrame:
-    """(path, keep..., tokens) of each file; a null content has no tokens."""
+def read_once(files: DataFrame, *keep: str) -> DataFrame:
+    """(content, files, tokens): what each content is read off to, and the ``files(path, keep...)`` that have it.
+
+    Files of one content that arrive in one batch are read once; a content may come again in another batch. A null content is
+    empty and has no tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            contents, start, size = b.column(0).to_pylist(), 0, 0
+            if not b.num_rows:
+                continue
+            texts = b.column(0).dictionary_encode()
+            contents, at = texts.dictionary.to_pylist(), texts.indices.to_numpy()
+            order = pa.array(np.argsort(at, kind="stable"))
+            rows = pa.StructArray.from_arrays([c.take(order) for c in b.columns[1:]], names=b.schema.names[1:])
+            owners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(contents)))]).astype(np.int32)), rows)
+            start, size = 0, 0
             for k, c in enumerate(contents):
                 size += len(c)
                 if size >= _TOGETHER or k + 1 == len(contents):
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, k + 1 - start) for c in b.columns[1:]), _tokens(contents[start : k + 1])], names=[*b.schema.names[1:], "tokens"])
+                    n = k + 1 - start
+                    yield pa.RecordBatch.from_arrays([texts.dictionary.slice(start, n), owners.slice(start, n), _tokens(contents[start : k + 1])], names=["content", "files", "tokens"])
                     start, size = k + 1, 0
 
     rows = files.select(F.coalesce("content", F.lit("")).alias("content"), "path", *keep)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("tokens", ArrayType(StructType.fromDDL(TOKEN)))]))
+    content, *own = rows.schema.fields
+    return rows.mapInArrow(run, StructType([content, StructField("files", ArrayType(StructType(own))), StructField("tokens", ArrayType(StructType.fromDDL(TOKEN)))]))
+
+
+def by_file(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows about contents, with ``files``, as rows of each file: path, ``keep`` and the other columns."""
+    rest = [c for c in rows.columns if c != "files"]
+    return rows.select(F.explode("files").alias("_file"), *rest).select(*(F.col(f"_file.{c}").alias(c) for c in ("path", *keep)), *rest)
+
+
+def tokenized(files: DataFrame, *keep: str) -> DataFrame:
+    """(path, keep..., tokens) of each file; a null content has no tokens."""
+    return by_file(read_once(files, *keep).select("files", "tokens"), *keep)
 
 
 def region_table(files: DataFrame) -> DataFrame:
     """(path, region, parent, bracket, head, first, last, line, end_line): each bracket pair with the token before it."""
-    rows = tokenized(files).select("path", "tokens", F.explode(F.filter("tokens", lambda t: t["text"].isin("(", "[", "{") & (t["mate"] >= 0))).alias("t"))
+    rows = read_once(files).select("files", "tokens", F.explode(F.filter("tokens", lambda t: t["text"].isin("(", "[", "{") & (t["mate"] >= 0))).alias("t"))
     token = lambda at: F.get("tokens", at)
-    return rows.select(
-        "path", F.col("t.at").alias("region"), F.col("t.region").alias("parent"), F.col("t.text").alias("bracket"), token(F.col("t.at") - 1)["text"].alias("head"),
+    return by_file(rows.select(
+        "files", F.col("t.at").alias("region"), F.col("t.region").alias("parent"), F.col("t.text").alias("bracket"), token(F.col("t.at") - 1)["text"].alias("head"),
         F.col("t.at").alias("first"), F.col("t.mate").alias("last"), F.col("t.line").alias("line"), token(F.col("t.mate"))["line"].alias("end_line"),
-    )
+    ))
 
 
 def part(tokens: Column | str, first: Column, last: Column) -> Column:
