@@ -58,6 +58,12 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def label_of_id(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of all ids with a label; of repeated labels the largest counts."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    return known.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep=None, most_bytes: int | None = None) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents, those with the smallest id hashes.
 

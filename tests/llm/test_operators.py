@@ -13,6 +13,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm import html_density, jaccard_join, license_index, pair_rank, piece_codec, toxicity_cnn
@@ -483,6 +484,25 @@ def test_quality_held_out(spark):
     assert rank_quality(docs(spark, ODD), labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_learns_from_every_label(spark):
+    """Labels beyond any sample's size count: only the rows behind the first 12,000 ids by hash are marked bad."""
+    text = lambda bad: "%% " * 30 if bad else "some plain words of a text " * 8
+    ids = spark.range(16_000).withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")))
+    rows = [(r.id, r.place > 15_000) for r in ids.collect()]
+    table = spark.createDataFrame([(i, text(bad)) for i, bad in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(not bad)) for i, bad in rows], "doc_id bigint, quality int")
+    got = {r.doc_id: r.predicted for r in rank_quality(table, labels, shard=5_000).collect()}
+    assert sum(got[i] == int(not bad) for i, bad in rows) > 0.99 * len(rows)
+
+
+def test_places_in_order_are_exact(spark):
+    rnd = random.Random(3)
+    values = sorted([rnd.gauss(0, 1) for _ in range(300)] + [0.5] * 40 + [1e9, -1e9, 1e-12, 2e-12])
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 2, 150, 240, len(values) - 1, values.index(0.5) + 20):
+        assert pair_rank.neighbours(rows, "v", k) == (values[k - 1], values[k])
+
+
 def _leaks(rows, items, percent=80):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = {}
