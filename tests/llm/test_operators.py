@@ -437,6 +437,16 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs(spark, ODD).columns and kept.count() == len(ODD)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Labels beyond any sample's size count: the only toxic rows stand behind the first 6,000 ids by hash."""
+    ids = spark.range(8_000).withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")))
+    rows = [(r.id, r.place > 7_000) for r in ids.collect()]
+    table = spark.createDataFrame([(i, "nice words of a day " * 3 + ("foulness" if bad else "kindness")) for i, bad in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(bad)) for i, bad in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(table, labels, shard=2_000).collect()}
+    assert sum(got[i] == int(bad) for i, bad in rows) > 0.99 * len(rows)
+
+
 def test_toxicity_scores_by_loops():
     import numpy as np
 
