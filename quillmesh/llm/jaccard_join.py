@@ -152,43 +152,98 @@ def _fits(percent: int) -> str:
     return f"100 * least(n, m) >= {percent} * greatest(n, m) and 1 + least(i, j) + least(n - i - 1, m - j - 1) >= {need} and {bits} <= n + m - 2 * {need}"
 
 
-#: A member of a list, as a chunk holds it.
-MEMBER = ["id", "component", "n", "i", *SKETCH]
+#: A member of a list, as a chunk holds it, and how many elements of its prefix before the shared one go with it.
+MEMBER, BEFORE = ["id", "component", "n", "i", *SKETCH], 8
+
+
+def _with_before(mixed: DataFrame, long: DataFrame, cut: DataFrame) -> DataFrame:
+    """The members in lists of ``long(sig, size)``, with ``before``, the last elements of their prefix before the list's, and
+    ``least``: so many common ones there mean that an earlier list has both members as well. That is one element, or two in
+    lists of two-element subsets, whose first element is among them. Ids with several sets have none."""
+    rows = mixed.join(long.select("sig"), "sig")
+    one = cut.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("sets"), F.min("pre").alias("pre")).where("sets = 1").select("id", "pre")
+    before = F.expr(f"if(pre is null, cast(array() as array<bigint>), slice(pre, greatest(1, i - {BEFORE - 1}), least(i, {BEFORE})))").alias("before")
+    least = F.when(F.xxhash64(F.lit(1), F.expr("get(pre, i)")) == F.col("sig"), 1).otherwise(2).alias("least")
+    return rows.join(one, "id", "left").select("sig", *MEMBER, before, least)
+
+
+def _chunks(mixed: DataFrame, long: DataFrame) -> DataFrame:
+    """(x, y): each two chunks of a list in ``long(sig, size)`` whose members may lie in different components.
+
+    A component of a quarter of a chunk or more has chunks of its own, which don't meet each other; smaller ones share chunks.
+    A list's left chunks are dealt in sixteens, and its right ones repeated for each sixteen, so that no task has all pairs.
+    """
+    held = mixed.join(long, "sig")
+    parts = held.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    own = f"4 * k > {CHUNK}"
+    piece = f"if({own}, struct(component as block, 1 + pmod(xxhash64(id), (k + {CHUNK - 1}) div {CHUNK}) as piece), struct(pmod(xxhash64(component), (size + {CHUNK - 1}) div {CHUNK}) as block, 0L as piece))"
+    member = F.struct(*(c for c in mixed.columns if c != "sig")).alias("x")
+    rows = held.join(parts, ["sig", "component"]).select("sig", F.expr(piece).alias("chunk"), member, (F.floor(F.col("size") / (16 * CHUNK)) + 1).alias("deals"))
+    rows = rows.groupBy("sig", "chunk", "deals").agg(F.collect_list("x").alias("x"))
+    left = rows.withColumn("deal", F.expr("pmod(xxhash64(chunk), deals)")).drop("deals")
+    right = rows.select("sig", F.col("chunk").alias("chunk2"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)).alias("deal"))
+    return left.join(right, ["sig", "deal"]).where("chunk <= chunk2 and not (chunk.piece > 0 and chunk2.piece > 0 and chunk.block = chunk2.block)").select("x", "y")
+
+
+def _padded(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of BEFORE places for each list, and which of them are filled."""
+    filled = np.arange(BEFORE) < column.value_lengths().to_numpy(zero_copy_only=False)[:, None]
+    out = np.zeros(filled.shape, np.int64)
+    out[filled] = column.flatten().to_numpy()
+    return out, filled
 
 
 def _chunk_pairs(mixed: DataFrame, long: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(a, b): pairs of different components in the lists of ``long(sig, size)`` that no bound rules out, at least once each.
 
-    A list is cut into chunks by id, and each two of its chunks meet in one row. With ``nearest`` a member is only paired with
-    the nearest member, by sketch, of each other component in a chunk.
+    With ``nearest`` a member is only paired with the nearest member, by sketch, of each other component in a chunk. Where
+    ``mixed`` has ``before`` and ``least``, near copies, which share most of their prefixes, leave the first list that has both
+    and not each one.
     """
-    chunk = F.expr(f"cast(pmod(xxhash64(id), (size + {CHUNK - 1}) div {CHUNK}) as int)").alias("chunk")
-    rows = mixed.join(long, "sig").select("sig", chunk, F.struct(*MEMBER).alias("x")).groupBy("sig", "chunk").agg(F.collect_list("x").alias("x"))
-    both = rows.join(rows.select("sig", F.col("chunk").alias("chunk2"), F.col("x").alias("y")), "sig").where("chunk <= chunk2").select("x", "y")
-
-    def columns(cell: pa.ListArray) -> dict[str, np.ndarray]:
-        return {c: cell.field(c).to_numpy(zero_copy_only=False) for c in MEMBER}
+    both, known = _chunks(mixed, long), "before" in mixed.columns
+
+    def columns(cell: pa.StructArray) -> dict[str, np.ndarray]:
+        got = {c: cell.field(c).to_numpy(zero_copy_only=False) for c in MEMBER + ["least"] * known}
+        return got | ({"before": _padded(cell.field("before"))} if known else {})
+
+    def later(x: dict, y: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs an earlier list has as well."""
+        (u, uf), (v, vf), out = x["before"], y["before"], [np.empty(0, bool)]
+        for k in range(0, len(a), 20_000):
+            p, q = a[k : k + 20_000], b[k : k + 20_000]
+            same = (u[p][:, :, None] == v[q][:, None, :]) & uf[p][:, :, None] & vf[q][:, None, :]
+            out.append(same.sum((1, 2)) >= np.maximum(x["least"][p], y["least"][q]))
+        return np.concatenate(out)
+
+    def pairs(x: dict, y: dict, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        n, m, i, j = x["n"][rows, None], y["n"], x["i"][rows, None], y["i"]
+        need = (percent * (n + m) + 99 + percent) // (100 + percent)
+        bound = 1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1)
+        # unsigned, as numpy counts the bits of a negative number's absolute value
+        apart = sum(np.bitwise_count((x[c][rows, None] ^ y[c]).view(np.uint64)).astype(np.int64) for c in SKETCH)
+        ok = (x["component"][rows, None] != y["component"]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (bound >= need) & (apart <= n + m - 2 * need)
+        a, b = np.nonzero(ok)
+        if nearest and len(a):
+            order = np.lexsort((y["id"][b], apart[a, b], y["component"][b], a))
+            a, b = a[order], b[order]
+            first = np.ones(len(a), bool)
+            first[1:] = (a[1:] != a[:-1]) | (y["component"][b[1:]] != y["component"][b[:-1]])
+            a, b = a[first], b[first]
+        a = a + rows.start
+        if known and len(a):
+            first = ~later(x, y, a, b)
+            a, b = a[first], b[first]
+        return x["id"][a], y["id"][b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = columns(batch.column("x")[k].values), columns(batch.column("y")[k].values)
-                n, m, i, j = x["n"][:, None], y["n"], x["i"][:, None], y["i"]
-                need = (percent * (n + m) + 99 + percent) // (100 + percent)
-                bound = 1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1)
-                # unsigned, as numpy counts the bits of a negative number's absolute value
-                apart = sum(np.bitwise_count((x[c][:, None] ^ y[c]).view(np.uint64)).astype(np.int64) for c in SKETCH)
-                ok = (x["component"][:, None] != y["component"]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (bound >= need) & (apart <= n + m - 2 * need)
-                a, b = np.nonzero(ok)
-                if nearest and len(a):
-                    order = np.lexsort((y["id"][b], apart[a, b], y["component"][b], a))
-                    a, b = a[order], b[order]
-                    first = np.ones(len(a), bool)
-                    first[1:] = (a[1:] != a[:-1]) | (y["component"][b[1:]] != y["component"][b[:-1]])
-                    a, b = a[first], b[first]
-                a, b = x["id"][a], y["id"][b]
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                step = max(1, CHUNK * CHUNK // len(y["id"]))
+                for at in range(0, len(x["id"]), step):
+                    a, b = pairs(x, y, slice(at, at + step))
+                    found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -227,8 +282,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
     single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", *SKETCH, "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", *SKETCH, "i", F.xxhash64(F.lit(1), "s").alias("sig"))
     firsts = F.expr("slice(pre, 1, p + 1)").alias("pre")
-    subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), y -> xxhash64(2, least(x, y), greatest(x, y)))))"
-    double = cut.where(F.col("n") < border).select("id", "n", *SKETCH, firsts).select("id", "n", *SKETCH, F.lit(0).alias("i"), F.explode(F.expr(subsets)).alias("sig"))
+    subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), (y, k) -> struct(i + 1 + k as i, xxhash64(2, least(x, y), greatest(x, y)) as sig))))"
+    double = cut.where(F.col("n") < border).select("id", "n", *SKETCH, firsts).select("id", "n", *SKETCH, F.inline(F.expr(subsets)))
     entries = single.unionByName(double)
     lists = entries.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sig")
     members = scratch.table(entries.join(lists, "sig"), "members")
@@ -262,7 +317,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         mixed = scratch.table(mixed if turn == 0 else mixed.where(F.col("size") > LISTED), f"mixed{turn}")
         if mixed.isEmpty():
             break
-        cross = _chunk_pairs(named, mixed.where(F.col("size") > LISTED), percent, turn == 0)
+        long = mixed.where(F.col("size") > LISTED)
+        cross = _chunk_pairs(_with_before(named, long, cut), long, percent, turn == 0)
         if turn == 0:
             short = named.join(mixed.where(F.col("size") <= LISTED).select("sig"), "sig")
             right = short.select("sig", F.col("component").alias("component2"), *(F.col(c).alias(d) for c, d in other.items()))
