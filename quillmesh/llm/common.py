@@ -29,7 +29,8 @@ def own_dir(application: str) -> str:
 class Scratch:
     """Tables written to the shared folder, so that later steps survive lost executors.
 
-    ``table`` writes and rereads a DataFrame; ``free`` deletes every table written so far but those named.
+    ``table`` writes and rereads a DataFrame, in folders by the columns ``by``, which come last then; ``free`` deletes every
+    table written so far but those named.
     """
 
     def __init__(self, spark: SparkSession):
@@ -37,10 +38,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.root}/{name}"
         self.paths[name] = path
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *keep: str) -> None:

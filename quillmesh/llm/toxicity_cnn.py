@@ -195,7 +195,7 @@ def _texts(column: pa.ListArray) -> list[np.ndarray]:
 
 def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, lang, ids, tie, y) of all documents of ``known(doc_id, y)``. A bounded filter of their ids is looked up first,
-    so that hardly any other text is read into words and moved; the join behind it is exact."""
+    so that hardly any other text is read into words and moved; the join behind it is exact, and alike at every size."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     mask = np.zeros(SLOTS // 8, np.uint8)
     for r in known.select(slot.alias("h")).groupBy(F.expr("h div 32768").alias("b")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("m")).collect():
@@ -213,7 +213,28 @@ def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.withColumn("slot", slot).mapInArrow(run, "doc_id bigint, lang string, ids array<bigint>, tie bigint").join(known, "doc_id")
+    return rows.withColumn("slot", slot).mapInArrow(run, "doc_id bigint, lang string, ids array<bigint>, tie bigint").join(known.hint("merge"), "doc_id")
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each run of one shard, as shards lie one behind the other, in an order that doesn't depend on tasks."""
+    held, shard = [], None
+    for b in batches:
+        number = b.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1), len(number)]
+        for at, end in zip(edges[:-1], edges[1:], strict=True):
+            if end > at and held and number[at] != shard:
+                yield _ordered(held)
+                held = []
+            if end > at:
+                held.append(b.slice(at, end - at))
+                shard = number[at]
+    if held:
+        yield _ordered(held)
+
+
+def _ordered(held: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("y", "ascending")]).combine_chunks()
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep=None, label: str = "toxic", shard: int = SHARD) -> tuple[TextCnn, dict[str, float]]:
@@ -248,25 +269,27 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, label: str = "toxic", sha
         seen[r["at"]], hits[r["at"]] = r.seen, r.hits
     base = toxic / n
     shards = max(-(-n // shard), -(-words // SHARD_WORDS))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)).alias("shard"), "doc_id", "tie", "y", "ids")
+    # a folder and a file each shard, so that turns read them whole and move none; more than a row group learns as two shards
+    dealt = rows.select("doc_id", "tie", "y", "ids", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)).alias("shard"))
+    dealt = scratch.table(dealt.repartition(shards, "shard"), "dealt", ("shard",))
     columns = [f"d{k}" for k in range(2 * DIM)]
 
     def learner(start: np.ndarray, turn: int):
-        def learn(part: pa.Table) -> pa.Table:
-            part = part.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("y", "ascending")]).combine_chunks()
-            own = TextCnn()
-            own.begin(np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), base)
-            own.restore(start)
-            own.turn(_texts(part["ids"].chunk(0)), (part["y"].to_numpy() > 0).astype(np.float64), base, np.random.default_rng(3 + turn))
-            change = own.state() - start
-            at = np.flatnonzero(change.any(1))
-            return pa.table({"at": pa.array(at.astype(np.int32)), "n": pa.array(np.full(len(at), float(len(part)))), **{c: pa.array(change[at, k] * len(part)) for k, c in enumerate(columns)}})
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in shards_of(batches):
+                own = TextCnn()
+                own.begin(np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), base)
+                own.restore(start)
+                own.turn(_texts(part["ids"].chunk(0)), (part["y"].to_numpy() > 0).astype(np.float64), base, np.random.default_rng(3 + turn))
+                change = own.state() - start
+                at = np.flatnonzero(change.any(1))
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "n": pa.array(np.full(len(at), float(len(part)))), **{c: pa.array(change[at, k] * len(part)) for k, c in enumerate(columns)}})
 
         return learn
 
     for turn in range(EPOCHS if model.begin(seen, hits, base) else 0):
         start = model.state()
-        parts = dealt.groupBy("shard").applyInArrow(learner(start, turn), f"at int, n double, {', '.join(f'{c} double' for c in columns)}")
+        parts = dealt.mapInArrow(learner(start, turn), f"at int, n double, {', '.join(f'{c} double' for c in columns)}")
         mean = parts.groupBy("at").agg(*((F.sum(c) / F.sum("n")).alias(c) for c in columns)).toPandas()
         start[mean["at"].to_numpy()] += np.round(mean[columns].to_numpy(), 9)
         model.restore(start)

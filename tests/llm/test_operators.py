@@ -472,6 +472,18 @@ def test_toxicity_learns_from_every_label(spark):
     assert sum(got[i] == int(bad) for i, bad in rows) > 0.99 * len(rows)
 
 
+def test_toxicity_shards_come_whole():
+    """However batches are cut, each shard comes whole and in order."""
+    import pyarrow as pa
+
+    rows = [(s, d) for s in (3, 1, 7) for d in (5, 2, 9, 4)]
+    for size in (1, 3, 5, 12):
+        batches = [pa.RecordBatch.from_pylist([{"doc_id": d, "tie": 0, "y": 0, "ids": [d] * d, "shard": s} for s, d in rows[k : k + size]]) for k in range(0, 12, size)]
+        got = [(t["shard"].unique().to_pylist(), t["doc_id"].to_pylist(), t["ids"].to_pylist()) for t in toxicity_cnn.shards_of(iter(batches))]
+        assert got == [([s], [2, 4, 5, 9], [[d] * d for d in (2, 4, 5, 9)]) for s in (3, 1, 7)]
+    assert list(toxicity_cnn.shards_of(iter([]))) == []
+
+
 def test_toxicity_scores_by_loops():
     import numpy as np
 
