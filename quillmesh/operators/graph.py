@@ -49,12 +49,17 @@ def dependents(edges: DataFrame, depth: int | None = None) -> DataFrame:
     return closure(turned, depth).select(F.col("src").alias("node"), F.col("dst").alias("dependent"), "depth")
 
 
+def _moved(side: DataFrame) -> DataFrame:
+    """A join's side that is shuffled however small: loops would send the driver a broadcast of it in each round."""
+    return side.hint("merge")
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """The edges left when nodes without an edge in or out are taken away again and again: all cycles lie among them."""
     e = written(edges.select("src", "dst").distinct())
     before = None
     for _ in count():
-        left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = e.join(_moved(e.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_moved(e.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         e = written(left.select("src", "dst"))
         now = e.count()
         if now == before:
@@ -68,8 +73,8 @@ def _settled(edges: DataFrame) -> DataFrame:
     colors = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("color", F.col("node")))
     frontier = colors
     while True:
-        ahead = frontier.join(edges.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("new"))
-        after = written(colors.join(ahead, "node", "left").select("node", F.coalesce(F.least("color", "new"), "color").alias("color"), (F.col("new") < F.col("color")).alias("fell")))
+        ahead = frontier.join(_moved(edges.withColumnRenamed("src", "node")), "node").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("new"))
+        after = written(colors.join(_moved(ahead), "node", "left").select("node", F.coalesce(F.least("color", "new"), "color").alias("color"), (F.col("new") < F.col("color")).alias("fell")))
         colors, frontier = after.select("node", "color"), after.where("fell").select("node", "color")
         if frontier.isEmpty():
             return colors
@@ -86,12 +91,12 @@ def strong_parts(edges: DataFrame) -> DataFrame:
     left, found = on_cycles(e.where("src != dst")), None
     while not left.isEmpty():
         colors = _settled(left)
-        ends = left.join(colors.select(F.col("node").alias("src"), "color"), "src").join(colors.select(F.col("node").alias("dst"), F.col("color").alias("_color")), "dst")
+        ends = left.join(_moved(colors.select(F.col("node").alias("src"), "color")), "src").join(_moved(colors.select(F.col("node").alias("dst"), F.col("color").alias("_color"))), "dst")
         same = written(ends.where("color = _color").select("src", "dst", "color"))
         seen = frontier = written(colors.where("node = color"))
         for d in count(1):
-            back = frontier.select(F.col("node").alias("dst"), "color").join(same, ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
-            frontier = written(back.join(seen, ["node", "color"], "left_anti"))
+            back = frontier.select(F.col("node").alias("dst"), "color").join(_moved(same), ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
+            frontier = written(back.join(_moved(seen), ["node", "color"], "left_anti"))
             if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)
@@ -99,9 +104,9 @@ def strong_parts(edges: DataFrame) -> DataFrame:
                 seen = written(seen)
         found = written(seen if found is None else found.unionByName(seen))
         gone = seen.select("node")
-        left = on_cycles(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        left = on_cycles(left.join(_moved(gone.withColumnRenamed("node", "src")), "src", "left_anti").join(_moved(gone.withColumnRenamed("node", "dst")), "dst", "left_anti"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return nodes.withColumn("part", F.col("node")) if found is None else nodes.join(found, "node", "left").select("node", F.coalesce("color", "node").alias("part"))
+    return nodes.withColumn("part", F.col("node")) if found is None else nodes.join(_moved(found), "node", "left").select("node", F.coalesce("color", "node").alias("part"))
 
 
 def inner_edges(edges: DataFrame) -> DataFrame:

@@ -70,6 +70,12 @@ def test_strong_parts(spark):
     assert graph.strong_parts(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_strong_parts_broadcast_nothing(spark):
+    parts = graph.strong_parts(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "src int, dst int"))
+    assert {tuple(r) for r in parts.collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert "Broadcast" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dominator_trees(spark):
     rnd = random.Random(4)
     edges = [(g, a, b) for g in range(8) for a in range(10) for b in range(10) if rnd.random() < 0.15] + [(9, k, k + 1) for k in range(10_000)]
