@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Scratch
+from quillmesh.llm.common import Scratch, map_texts
 from quillmesh.llm.components import components
 
 #: A shingle in the pools of this many sets goes to the end of the order. It steers cost, not results.
@@ -88,7 +88,7 @@ def _sets(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 columns = [part.column("id"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), *(pa.array(b) for b in bits.T), _lists(sets)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", *SKETCH, "pool"])
 
-    return df.mapInArrow(run, f"id bigint, key binary, n bigint, {' bigint, '.join(SKETCH)} bigint, pool array<bigint>")
+    return map_texts(df, run, f"id bigint, key binary, n bigint, {' bigint, '.join(SKETCH)} bigint, pool array<bigint>")
 
 
 def _linked(df: DataFrame, width: int, percent: int) -> DataFrame:
@@ -105,7 +105,7 @@ def _linked(df: DataFrame, width: int, percent: int) -> DataFrame:
                     keep.append(100 * both >= percent * (len(u) + len(v) - both) > 0)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return df.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return map_texts(df.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
 #: A side of up to this many short rows is broadcast after counting it; a larger one is shuffled.

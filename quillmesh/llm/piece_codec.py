@@ -15,11 +15,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import map_texts
+
 SPACE = "▁"
 #: Bytes of chunks, with their results, and of pairs of neighbours that a worker's younger generation holds; the older one holds
 #: as much. Chunks are forgotten with each partition.
@@ -223,8 +226,14 @@ class PieceCodec:
         return self._keep(chunk, (f"{a[0]} {b[0]}", a[1] + b[1]))
 
     def forget(self) -> None:
-        """What is known of pairs stays, within its bytes: it is about the vocabulary, not about texts."""
+        """What is known of pairs stays, within its bytes: it is about the vocabulary, not about texts. Their keys are made anew
+        once the chunks are gone: made between the chunks, they would hold the worker's memory around them."""
+        size, generations = self.fits.size, [np.array([list(g), [*g.values()]], np.int64) for g in (self.fits, self.fits.old)]
         self.seen.clear()
+        self.fits.clear()
+        young, self.fits.old = (dict(zip(keys.tolist(), map(bool, oks), strict=True)) for keys, oks in generations)
+        self.fits.update(young)
+        self.fits.size = size
 
     def round_trip(self, text: str | None) -> tuple[str, str]:
         """(ids with the end id, in decimal and joined by spaces; the text decoded from them).
@@ -272,4 +281,4 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
         c.forget()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)
+    return map_texts(rows, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)

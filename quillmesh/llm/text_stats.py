@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import map_texts
+
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
@@ -79,24 +81,28 @@ def measure(text: str | None) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dups, again], ratios
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(x) for x in batch.column("text").to_pylist()]
-        counts = np.array([r[0] for r in rows], np.int64).reshape(-1, len(COUNTS))
-        ratios = np.array([r[1] for r in rows], np.float64).reshape(-1, len(RATIOS))
-        rest = [batch.column(i) for i, f in enumerate(batch.schema.names) if f != "text"]
-        names = [f for f in batch.schema.names if f != "text"]
-        yield pa.RecordBatch.from_arrays(
-            rest + [pa.array(counts[:, i]) for i in range(len(COUNTS))] + [pa.array(ratios[:, i]) for i in range(len(RATIOS))],
-            names=names + COUNTS + RATIOS,
-        )
+def _batches(text: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure(x.as_py()) for x in batch.column(text)]
+            counts = np.array([r[0] for r in rows], np.int64).reshape(-1, len(COUNTS))
+            ratios = np.array([r[1] for r in rows], np.float64).reshape(-1, len(RATIOS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in names] + [pa.array(counts[:, i]) for i in range(len(COUNTS))] + [pa.array(ratios[:, i]) for i in range(len(RATIOS))],
+                names=names + COUNTS + RATIOS,
+            )
+
+    return run
 
 
-def text_stats(df: DataFrame, *carry: str) -> DataFrame:
+def text_stats(df: DataFrame, *carry: str, text: str = "text") -> DataFrame:
     """``carry`` columns plus COUNTS (bigint) and RATIOS (double) of each row's whole ``text``.
 
-    One output row per input row, no shuffle. Null texts count as empty: all zero.
+    One output row per input row, no shuffle. Null texts count as empty: all zero. A ``text`` that is a carried string goes to
+    the workers once.
     """
     head = df.select(*carry).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head] + [f"{c} bigint" for c in COUNTS] + [f"{c} double" for c in RATIOS])
-    return df.select(*carry, F.col("text").cast("string").alias("text")).mapInArrow(_batches, schema)
+    once = text in carry and head[text].dataType.simpleString() == "string"
+    rows = df.select(*carry) if once else df.select(*carry, F.col(text).cast("string").alias("_text"))
+    return map_texts(rows, _batches(text if once else "_text", list(carry)), schema)

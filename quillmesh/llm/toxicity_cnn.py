@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Scratch, label_of_id, remainder
+from quillmesh.llm.common import Scratch, label_of_id, map_texts, remainder
 
 #: Labelled documents and words of one shard, roughly: a task holds eight bytes for each word. Every one is in a shard.
 SHARD, SHARD_WORDS = 6_000, 8 << 20
@@ -213,7 +213,7 @@ def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.withColumn("slot", slot).mapInArrow(run, "doc_id bigint, lang string, ids array<bigint>, tie bigint").join(known.hint("merge"), "doc_id")
+    return map_texts(rows.withColumn("slot", slot), run, "doc_id bigint, lang string, ids array<bigint>, tie bigint").join(known.hint("merge"), "doc_id")
 
 
 def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -333,7 +333,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), (remainder("doc_id", folds) == held).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, flagged boolean")
+    return map_texts(rows, run, "doc_id bigint, held_out boolean, score double, predicted int, flagged boolean")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -351,4 +351,4 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> Data
                 limit = [cuts.get(x, 0.5) for x in b.column(lang).to_pylist()] if lang is not None else [0.5] * b.num_rows
                 yield b.filter(pa.array(s < np.array(limit)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

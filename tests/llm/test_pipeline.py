@@ -1,12 +1,18 @@
 """The pipeline's stages, on null and repeated ids and against brute force on each stage's own input."""
 
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import corpus_pipeline
+import pyarrow as pa
 import sentencepiece
 from test_operators import MODEL, _components, _leaks, _stats
 
-from quillmesh.llm.common import Scratch, read
+from quillmesh.llm.common import BATCH_BYTES, BATCH_SETTING, Scratch, read
+from quillmesh.llm.text_stats import text_stats
 from quillmesh.llm.toxicity_cnn import WordBuckets, fit, word_ids
 
 ROWS = "doc_id bigint, text string, row_key string"
@@ -62,3 +68,48 @@ def test_clashing_columns(spark, tmp_path):
         got = stage(spark, docs, str(tmp_path))
         assert got.columns == docs.columns and 0 < got.count() <= 4
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded(spark, tmp_path):
+    """After a stage is planned, texts of 30 MB go to a worker a few MB at a time, and rules send them once, with the same rows."""
+    rows = [(k, " ".join(f"w{k + j}" for j in range(1500)), "en") for k in range(3000)]
+    docs = Scratch(spark).table(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1), "long")
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.conf.unset(BATCH_SETTING)
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert spark.conf.get(BATCH_SETTING) == str(BATCH_BYTES)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    sent = docs.mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in sent) == len(rows) and max(r.size for r in sent) < 2 * BATCH_BYTES < sum(r.size for r in sent)
+    assert sorted(map(tuple, kept.collect())) == rows
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"text#\d+ AS ", plan)) == 1, plan
+    spark.conf.set(BATCH_SETTING, "9m")
+    text_stats(docs, "doc_id")
+    assert spark.conf.get(BATCH_SETTING) == "9m"
+    spark.conf.unset(BATCH_SETTING)
+
+
+def test_codec_returns_memory():
+    """Pairs that are kept must not hold the memory of the chunks that are forgotten."""
+    code = f"""
+import gc, os
+from quillmesh.llm.piece_codec import PieceCodec
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+c, parts = PieceCodec({MODEL!r}), [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+words = [x + y + z for x in parts for y in parts for z in parts[::2]]
+start = held()
+for k in range(0, len(words), 50):
+    c.round_trip(" ".join(words[k : k + 50]))
+top, n, size, total = held(), (len(c.fits), len(c.fits.old)), c.fits.size, sum(k * (1 + v) for k, v in c.fits.items())
+c.forget()
+gc.collect()
+print(start, top, held(), n)
+assert (len(c.fits), len(c.fits.old)) == n and c.fits.size == size and total == sum(k * (1 + v) for k, v in c.fits.items()) and not c.seen
+assert held() - start < 0.6 * (top - start)
+"""
+    assert subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": str(Path(corpus_pipeline.__file__).parent)}).returncode == 0
