@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of rows that Spark sends to a Python worker at once, and the setting that holds them.
 BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The setting by which a query's shuffle files go as it ends.
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +35,26 @@ def own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"quillmesh-{application}-")
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files as they end. Else those stay until the driver collects its garbage, and
+    the shuffles of all steps lie on disk at once. For queries that run once, as a query run again would have to shuffle again."""
+    before = spark.conf.get(CLEAN_SETTING, None)
+    spark.conf.set(CLEAN_SETTING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SETTING)
+        else:
+            spark.conf.set(CLEAN_SETTING, before)
+
+
 class Scratch:
     """Tables written to the shared folder, so that later steps survive lost executors.
 
-    ``table`` writes and rereads a DataFrame, in folders by the columns ``by``, which come last then; ``free`` deletes every
-    table written so far but those named.
+    ``table`` writes and rereads a DataFrame, in folders by the columns ``by``, which come last then; nothing of its shuffles
+    stays. Tables of whole texts are much smaller by the ``compression`` zstd. ``free`` deletes every table written so far but those named.
     """
 
     def __init__(self, spark: SparkSession):
@@ -44,10 +62,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def table(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: tuple[str, ...] = (), compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         self.paths[name] = path
-        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+        with shuffles_end(self.spark):
+            df.write.mode("overwrite").partitionBy(*by).parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *keep: str) -> None:

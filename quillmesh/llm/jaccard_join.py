@@ -130,11 +130,13 @@ def _prefixes(sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared) of the pairs that sizes and prefixes don't rule out.
+    """(a, b, shared) of the written ``pairs`` that sizes and prefixes don't rule out.
 
     Up to where the first of two prefixes ends, both are known whole: what one has there and the other lacks is missing from
     the other set. Rare shingles stand first, so the edits that part two copies of one text are among them.
     """
+    ids = _sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    cut = cut.join(ids, "id", "left_semi")
     side = lambda id_, x: cut.select(F.col("id").alias(id_), F.expr(f"struct(n, light, pre as e, size(pre) > light as late, element_at(pre, -1) as last) as {x}"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     both = both.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
@@ -258,13 +260,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    every = scratch.table(_sets(source, width, percent, False), "pools")
+    pools = scratch.table(_sets(source, width, percent, False), "pools")
+    every = scratch.table(pools.select("id", "key", "n"), "every")
     smallest = percent // (100 - percent)  # smaller sets only link with equal ones
     classes = every.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     copies = every.select("id", "key").join(classes.withColumnRenamed("id", "least"), "key").where("id > least").select("id", "key").distinct()
     copies = _sized(scratch.table(copies, "copies"))
     first = lambda sets: sets.where(F.col("id").isNotNull() & (F.col("n") >= smallest)).join(copies, ["id", "key"], "left_anti")
-    sets = first(every).select("id", "n", *SKETCH, "pool")
+    sets = first(pools).select("id", "n", *SKETCH, "pool")
 
     # the global order, and the size from which inverted lists are cheaper than subsets
     counts = scratch.table(sets.select(F.explode("pool").alias("s")).groupBy("s").count().where("count > 1"), "counts")
@@ -275,19 +278,25 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     longest = int(2 * scan) - 1  # a prefix of p elements has p * (p + 1) / 2 subsets, and scans p lists
     border = max(smallest, (longest * 100) // (100 - percent))
 
-    near = scratch.table(_prefixes(sets, heavy, percent), "near")
+    # each set has a number, as an id may have several sets
+    near = scratch.table(_prefixes(sets, heavy, percent).withColumn("row", F.monotonically_increasing_id()), "near")
+    scratch.free("every", "copies", "counts", "near")
     short = _sized(near.where("not full").select("id").distinct())
     far = _prefixes(first(_sets(source.join(short, "id", "left_semi"), width, percent, True)).select("id", "n", *SKETCH, "pool"), heavy, percent)
-    cut = near.where("full").unionByName(scratch.table(far, "far")).drop("full")
+    far = scratch.table(far.withColumn("row", -1 - F.monotonically_increasing_id()), "far")
+    cut = near.where("full").unionByName(far).drop("full")
 
-    single = cut.where(F.col("n") >= border * percent // 100).select("id", "n", *SKETCH, "p", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("id", "n", *SKETCH, "i", F.xxhash64(F.lit(1), "s").alias("sig"))
+    # most entries are alone in their list: only numbers of sets are shuffled with them, sizes and sketches join the rest
+    single = cut.where(F.col("n") >= border * percent // 100).select("row", F.posexplode(F.expr("slice(pre, 1, p)")).alias("i", "s")).select("row", "i", F.xxhash64(F.lit(1), "s").alias("sig"))
     firsts = F.expr("slice(pre, 1, p + 1)").alias("pre")
     subsets = "flatten(transform(pre, (x, i) -> transform(slice(pre, i + 2, size(pre)), (y, k) -> struct(i + 1 + k as i, xxhash64(2, least(x, y), greatest(x, y)) as sig))))"
-    double = cut.where(F.col("n") < border).select("id", "n", *SKETCH, firsts).select("id", "n", *SKETCH, F.inline(F.expr(subsets)))
+    double = cut.where(F.col("n") < border).select("row", firsts).select("row", F.inline(F.expr(subsets)))
     entries = single.unionByName(double)
-    lists = entries.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sig")
-    members = scratch.table(entries.join(lists, "sig"), "members")
-    scratch.free("pools", "copies", "near", "far", "members")
+    lists = entries.groupBy("sig").count().where("count > 1").select("sig")
+    shared = scratch.table(entries.join(lists, "sig"), "shared")
+    members = scratch.table(shared.join(cut.select("row", "id", "n", *SKETCH), "row").drop("row"), "members")
+    kept = ("every", "near", "far", "members")
+    scratch.free(*kept)
     # of several members the one with the shared shingle earliest stands for them: it has few rare ones, so it is nearest to
     # what they have in common
     other = {"id": "b", "n": "m", "i": "j"} | {c: f"{c}2" for c in SKETCH}
@@ -296,7 +305,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     # turn 0: each member with one pivot; turn 1: what that leaves apart, of long lists the nearest members of each two
     # components; turn 2: all that is still apart in long lists
     pairs = members.join(pivots, "sig").where(f"id != b and {_fits(percent)}").select(F.col("id").alias("a"), "b").distinct()
-    pairs = _possible(pairs, cut, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    pairs = _possible(scratch.table(pairs, "cross"), cut, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = tried = None
     for turn in range(3):
@@ -308,7 +317,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         links = scratch.table(found if links is None else links.unionByName(found), f"links{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         parts = scratch.table(components(links, scratch, f"turn{turn}"), f"parts{turn}")
-        scratch.free("pools", "copies", "near", "far", "members", *(f"{x}{k}" for x in ("pairs", "links", "parts") for k in range(turn + 1)))
+        scratch.free(*kept, *(f"{x}{k}" for x in ("pairs", "links", "parts") for k in range(turn + 1)))
         if turn == 2:
             break
         # lists whose members lie in several components; after turn 1 the short ones are done
@@ -317,16 +326,20 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         mixed = scratch.table(mixed if turn == 0 else mixed.where(F.col("size") > LISTED), f"mixed{turn}")
         if mixed.isEmpty():
             break
+        # each step is written, so that no two of them shuffle at a time
+        held = scratch.table(named.join(mixed, "sig"), f"held{turn}")
         long = mixed.where(F.col("size") > LISTED)
-        cross = _chunk_pairs(_with_before(named, long, cut), long, percent, turn == 0)
+        chunked = scratch.table(_with_before(held.where(F.col("size") > LISTED).drop("size"), long, cut), f"chunked{turn}")
+        cross = _chunk_pairs(chunked, long, percent, turn == 0)
         if turn == 0:
-            short = named.join(mixed.where(F.col("size") <= LISTED).select("sig"), "sig")
+            short = held.where(F.col("size") <= LISTED)
             right = short.select("sig", F.col("component").alias("component2"), *(F.col(c).alias(d) for c, d in other.items()))
             listed = short.join(right, "sig").where(f"id > b and component != component2 and {_fits(percent)}").select(F.col("id").alias("a"), "b")
             cross = cross.unionByName(listed)
-        pairs = _possible(cross.distinct().join(tried, ["a", "b"], "left_anti"), cut, percent).select("a", "b")
+        cross = scratch.table(cross.distinct().join(tried, ["a", "b"], "left_anti"), f"cross{turn}")
+        pairs = _possible(cross, cut, percent).select("a", "b")
 
-    scratch.free("pools", f"parts{turn}")
+    scratch.free("every", f"parts{turn}")
     of_set = classes.join(parts, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
     out = every.select("id", "key", "n").join(of_set, "key", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -4,14 +4,17 @@ import os
 import re
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import corpus_pipeline
 import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 from test_operators import MODEL, _components, _leaks, _stats
 
-from quillmesh.llm.common import BATCH_BYTES, BATCH_SETTING, Scratch, read
+from quillmesh.llm.common import BATCH_BYTES, BATCH_SETTING, CLEAN_SETTING, Scratch, read, shared_dir
+from quillmesh.llm.jaccard_join import jaccard_components
 from quillmesh.llm.text_stats import text_stats
 from quillmesh.llm.toxicity_cnn import WordBuckets, fit, word_ids
 
@@ -113,3 +116,37 @@ assert (len(c.fits), len(c.fits.old)) == n and c.fits.size == size and total ==
 assert held() - start < 0.6 * (top - start)
 """
     assert subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": str(Path(corpus_pipeline.__file__).parent)}).returncode == 0
+
+
+def test_tables_leave_no_shuffle(spark):
+    """A written table's shuffle files go as it ends, without a collection of the driver's garbage; the session's setting stays."""
+    folders = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.glob("*/shuffle_*")}
+    old = files()
+    counts = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()
+    assert Scratch(spark).table(counts.join(counts.withColumnRenamed("count", "c"), "k"), "counts").count() == 5000
+    small, end = 2000, time.time() + 20  # a count's own shuffle is a row for each task
+    while (left := sum(f.stat().st_size for f in files() - old if f.exists())) > small and time.time() < end:
+        time.sleep(0.2)
+    assert left <= small
+    assert spark.conf.get(CLEAN_SETTING, None) in (None, "false")
+    spark.conf.set(CLEAN_SETTING, "true")
+    Scratch(spark).table(counts, "counts")
+    assert spark.conf.get(CLEAN_SETTING) == "true"
+    spark.conf.unset(CLEAN_SETTING)
+
+
+def test_near_duplicates_leave_few_tables(spark, tmp_path):
+    """Of what the stage writes, only rows and what is small stay; an id with several texts is one node, though its sets have numbers of their own."""
+    text = lambda c, *gone: " ".join(f"{c}{k}" for k in range(200) if k not in gone)
+    rows = [(10 * g + j, text(f"t{g}x", *range(j)), "") for g in range(40) for j in range(3)]
+    rows += [(900, text("p"), ""), (900, text("q"), ""), (901, text("p", 3), ""), (902, text("q", 5), ""), (903, text("p", *range(100)), "")]
+    docs = Scratch(spark).table(spark.createDataFrame(rows, ROWS), "docs")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = corpus_pipeline.ngram_jaccard(spark, docs, str(tmp_path))
+    left = {t.name for d in set(folder.iterdir()) - before for t in d.iterdir()}
+    assert left == {"rows", "gone", "every", *(t for t in left if t.startswith("parts"))} and len(left) == 4
+    assert sorted(r.doc_id for r in got.collect()) == [*range(0, 400, 10), 900, 900, 903]
+    nodes = {r.doc_id: r.component_id for r in jaccard_components(docs.where("doc_id >= 900"), width=5, percent=80).collect()}
+    assert nodes == {900: 900, 901: 900, 902: 900, 903: 903}
